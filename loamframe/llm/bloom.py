@@ -21,10 +21,9 @@ BITS_PER_KEY = 16
 _SALTS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15))
 
 
-def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+def place(keys: np.ndarray, salt: np.uint64, bits: int) -> np.ndarray:
     """Bit numbers of int64 or uint64 keys; bits is a power of two."""
-    h = keys.astype(np.uint64, copy=False) if keys.dtype != np.int64 else keys.view(np.uint64)
-    return [(mix(h ^ s) & np.uint64(bits - 1)).astype(np.int64) for s in _SALTS]
+    return (mix(keys.view(np.uint64) ^ salt) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def size_for(n: int) -> int:
@@ -41,8 +40,9 @@ def build(keys: DataFrame, column: str, n: int) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(bits, dtype=bool)
         for batch in batches:
-            for at in places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits):
-                found[at] = True
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for salt in _SALTS:
+                found[place(own, salt, bits)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(bits // 8, dtype=np.uint8)
@@ -53,8 +53,9 @@ def build(keys: DataFrame, column: str, n: int) -> np.ndarray:
 
 
 def may_hold(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """False only for keys that are not in the filter."""
-    out = np.ones(len(keys), dtype=bool)
-    for at in places(keys, len(packed) * 8):
-        out &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-    return out
+    """Indices of the keys that may be in the filter, among them all that are."""
+    left = np.arange(len(keys))
+    for salt in _SALTS:
+        at = place(keys[left], salt, len(packed) * 8)
+        left = left[(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+    return left

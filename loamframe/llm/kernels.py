@@ -116,4 +116,4 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None = No
     """A list column from concatenated values and the length of each list."""
     offs = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offs[1:])
-    return pa.ListArray.from_arrays(pa.array(offs), pa.array(values, type=kind))
+    return pa.ListArray.from_arrays(pa.array(offs), values if isinstance(values, pa.Array) else pa.array(values, type=kind))

@@ -146,7 +146,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.flatnonzero(bloom.may_hold(packed.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+            near = bloom.may_hold(packed.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
             batch = batch.take(pa.array(near))
             for i, j, buf, offs in K.pieces(batch.column(1)):
                 values, counts = sets_of(buf, offs, width)
