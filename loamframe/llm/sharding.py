@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamframe.llm.ranking import hash_bucket, ranked
+from loamframe.llm.storage import keep
 
 BITS = 5
 #: Buckets that the rows of one cell are spread over.
@@ -55,52 +56,38 @@ def size_bytes(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def hilbert_index(levels: Sequence[Column], bits: int) -> Column:
-    """Index on the Hilbert curve of a cell with len(levels) coordinates of `bits` bits each.
+def with_hilbert_index(rows: DataFrame, levels: Sequence[str], bits: int, name: str) -> DataFrame:
+    """rows with the index on the Hilbert curve of a cell with `bits` bits in each of the columns `levels`.
 
-    Coordinates are first rotated and reflected from the highest bit down, then
-    Gray-coded; their bits, interleaved, are the index.  The state is an array, so
-    that each step is written once however often its values are used.
+    Coordinates are rotated and reflected from the highest bit down, then
+    Gray-coded; their bits, interleaved, are the index.  Each step is a projection
+    of its own, so that compiled code computes every value once.
     """
     n = len(levels)
-    x = F.array(*[c.cast("int") for c in levels])
-
-    def turn(x: Column, step: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1), F.lit(bits - 1) - (step / n).cast("int"))
-        axis = (step % n).cast("int")
-        low = bit - 1
-        here, first = F.get(x, axis), F.get(x, F.lit(0))
-        swap = first.bitwiseXOR(here).bitwiseAND(low)
-        set_ = here.bitwiseAND(bit) != 0
-        return F.transform(
-            x,
-            lambda v, i: F.when(set_, F.when(i == 0, v.bitwiseXOR(low)).otherwise(v)).otherwise(
-                F.when((i == 0) | (i == axis), F.when(axis == 0, v).otherwise(v.bitwiseXOR(swap))).otherwise(v)
-            ),
-        )
-
-    steps = F.sequence(F.lit(0), F.lit(n * (bits - 1) - 1))
-    turned = F.aggregate(steps, x, turn)
-
-    def gray(x: Column, axis: Column) -> Column:
-        return F.transform(x, lambda v, i: F.when(i == axis, v.bitwiseXOR(F.get(x, axis - 1))).otherwise(v))
-
-    coded = F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), turned, gray) if n > 1 else turned
-    flips = F.aggregate(
-        F.sequence(F.lit(1), F.lit(bits - 1)),
-        F.lit(0),
-        lambda t, k: F.when(
-            F.get(coded, F.lit(n - 1)).bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0,
-            t.bitwiseXOR(F.call_function("shiftleft", F.lit(1), k) - 1),
-        ).otherwise(t),
-    )
-    final = F.transform(coded, lambda v: v.bitwiseXOR(flips))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(n * bits - 1)),
-        F.lit(0).cast("long"),
-        lambda acc, k: acc * 2
-        + F.call_function("shiftright", F.get(final, (k % n).cast("int")), F.lit(bits - 1) - (k / n).cast("int")).bitwiseAND(F.lit(1)).cast("long"),
-    )
+    xs = [f"_x{i}" for i in range(n)]
+    rows = rows.withColumns({x: F.col(c).cast("int") for x, c in zip(xs, levels, strict=True)})
+    for bit in range(bits - 1, 0, -1):
+        q, low = 1 << bit, F.lit((1 << bit) - 1)
+        for x in xs:
+            here, first = F.col(x), F.col(xs[0])
+            is_set = here.bitwiseAND(F.lit(q)) != 0
+            if x == xs[0]:
+                rows = rows.withColumns({x: F.when(is_set, here.bitwiseXOR(low)).otherwise(here)})
+            else:
+                swap = first.bitwiseXOR(here).bitwiseAND(low)
+                rows = rows.withColumns({xs[0]: first.bitwiseXOR(F.when(is_set, low).otherwise(swap)), x: F.when(is_set, here).otherwise(here.bitwiseXOR(swap))})
+    for before, x in zip(xs, xs[1:], strict=False):
+        rows = rows.withColumns({x: F.col(x).bitwiseXOR(F.col(before))})
+    flips = F.lit(0)
+    for bit in range(bits - 1, 0, -1):
+        flips = flips.bitwiseXOR(F.when(F.col(xs[-1]).bitwiseAND(F.lit(1 << bit)) != 0, (1 << bit) - 1).otherwise(0))
+    rows = rows.withColumns({"_flips": flips})
+    rows = rows.withColumns({x: F.col(x).bitwiseXOR(F.col("_flips")) for x in xs})
+    index = F.lit(0).cast("long")
+    for bit in range(bits - 1, -1, -1):
+        for x in xs:
+            index = index * 2 + F.shiftright(F.col(x), bit).bitwiseAND(F.lit(1))
+    return rows.withColumns({name: index.cast("long")}).drop(*xs, "_flips")
 
 
 def with_shards(rows: DataFrame, cell: str, id_col: str, shards: int, law: str = "rows") -> DataFrame:
@@ -155,8 +142,8 @@ def shard_documents(df: DataFrame, shards: int = 8, law: str = "rows", dimension
     metadata = [d.column for d in dimensions if d.column != "size"]
     rows = df.select(F.col(id_col), size_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), *metadata)
     rows = rows.select(id_col, "size", "text_crc32", *[d.level(BITS).alias(f"level_{d.column}") for d in dimensions])
-    rows = rows.withColumn("cell", hilbert_index([F.col(f"level_{d.column}") for d in dimensions], BITS))
-    return with_shards(rows, "cell", id_col, shards, law)
+    rows = with_hilbert_index(rows, [f"level_{d.column}" for d in dimensions], BITS, "cell")
+    return with_shards(keep(rows), "cell", id_col, shards, law)
 
 
 def manifest(assigned: DataFrame) -> DataFrame:
