@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamframe.llm import decontaminate, mixing, neardup, quality, sharding, storage, tokencount, toxicity, warc
+from loamframe.llm import chat, decontaminate, licenses, mixing, neardup, quality, sharding, storage, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,10 +90,75 @@ def op8_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+EXTRA_CONVERSATION = -7
+
+
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold the template's marks."""
+    said = "\\### Assistant: </turn> ok"
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(EXTRA_CONVERSATION).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    return chat.digests(chat.format_windows(found.unionByName(extra), budget=512, history_turns=2, history_budget=128))
+
+
+OP9_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (
+  SELECT *, row_number() OVER w AS pos, 2 + len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens,
+    length(role) + len(regexp_extract_all(role, '[\\<\n]')) + length(text) + len(regexp_extract_all(text, '[\\<]')) AS chars
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (
+  SELECT *, pos = 1 AND role = 'system' AS lead,
+    max(CASE WHEN pos = 1 AND role = 'system' THEN tokens END) OVER (PARTITION BY conv_id) AS st,
+    max(CASE WHEN pos = 1 AND role = 'system' THEN chars END) OVER (PARTITION BY conv_id) AS sc FROM o),
+p AS (SELECT *, sum(CASE WHEN lead THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos) AS e, greatest(1, 512 - 128 - coalesce(st, 0)) AS step FROM s),
+k AS (SELECT *, floor((e - tokens) / step) AS low, floor((e - 1) / step) AS high FROM p),
+g AS (
+  SELECT *, coalesce(pos > 1 AND NOT lag(lead) OVER w AND (low <> lag(low) OVER w OR high <> lag(high) OVER w), false) AS cut,
+    CASE WHEN NOT lag(lead) OVER w THEN lag(tokens) OVER w END AS t1, lag(chars) OVER w AS c1,
+    CASE WHEN NOT lag(lead, 2) OVER w THEN lag(tokens, 2) OVER w END AS t2, lag(chars, 2) OVER w AS c2
+  FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY pos))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(15 + chars) + coalesce(sum(coalesce(17 + sc, 0) + CASE WHEN t1 <= 128 THEN 17 + c1 + CASE WHEN t1 + t2 <= 128 THEN 17 + c2 ELSE 0 END ELSE 0 END) FILTER (cut), 0) AS BIGINT) AS formatted_chars
+FROM g GROUP BY conv_id
+"""
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _op10_sql() -> str:
+    values = ", ".join(f"('{name}', {k}, '{text}')" for name, texts in licenses.TEMPLATES.items() for k, text in enumerate(texts))
+    words = r"list_filter(string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+    bigrams = "CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
+    t = licenses.THRESHOLD
+    return rf"""
+WITH t AS (SELECT license, k, {words.format("notice")} AS w FROM (VALUES {values}) v(license, k, notice)),
+tb AS (SELECT license, k, {bigrams} AS b FROM t),
+u AS (
+  SELECT doc_id, unnest(list_concat(string_split(text, chr(10)),
+    CASE WHEN regexp_matches(text, '\n\s*\n') THEN regexp_split_to_array(text, '\n\s*\n') ELSE [] END, [text])) AS unit
+  FROM documents WHERE text IS NOT NULL),
+uw AS (SELECT DISTINCT doc_id, {words.format("unit")} AS w FROM u),
+ub AS (SELECT doc_id, array_to_string(w, ' ') AS unit, {bigrams} AS b FROM uw WHERE len(w) BETWEEN 1 AND 400),
+d AS (
+  SELECT doc_id, unit, license, 2.0 * len(list_intersect(ub.b, tb.b)) / (len(ub.b) + len(tb.b)) AS dice
+  FROM ub JOIN tb ON len(ub.b) BETWEEN len(tb.b) * {t} / {2 - t} - 1e-9 AND len(tb.b) * {2 - t} / {t} + 1e-9 AND list_has_any(ub.b, tb.b))
+SELECT doc_id, license, max(dice) AS dice, count(DISTINCT unit) AS n_units FROM d WHERE dice >= {t} GROUP BY doc_id, license
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_web_archive": OP3_SQL, "op6_near_duplicates": OP6_SQL}
+    return {"op3_web_archive": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op9_chat_windows": OP9_SQL, "op10_license_scan": _op10_sql()}
