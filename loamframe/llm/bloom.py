@@ -59,3 +59,27 @@ def may_hold(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
         at = place(keys[left], salt, len(packed) * 8)
         left = left[(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
     return left
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """df without the rows whose id_col (a long) is in the column `id` of ids; rows with a null id stay.
+
+    Rows that the filter rules out pass as they are, so only the others, few more
+    than are dropped, are shuffled to the exact join.
+    """
+    packed = df.sparkSession.sparkContext.broadcast(build(ids, "id", ids.count()))
+    at = df.columns.index(id_col)
+
+    def split(suspect: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(at)
+                near = np.zeros(batch.num_rows, dtype=bool)
+                near[may_hold(packed.value, own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))] = True
+                near &= own.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(near == suspect))
+
+        return work
+
+    clear, suspects = (df.mapInArrow(split(x), df.schema) for x in (False, True))
+    return clear.union(suspects.join(ids.select(F.col("id").alias("_id")), F.col(id_col) == F.col("_id"), "left_anti"))

@@ -216,5 +216,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows that leak an item; rows with a null id stay."""
-    found = leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_leaks")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("_leaks"), "left_anti")
+    found = keep(leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("id")).distinct())
+    return bloom.without(docs, found, id_col)

@@ -152,3 +152,10 @@ def mix(df: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share
         .withColumn("copies", copies)
         .select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """df's rows as often as the mix takes them; rows with one id are all taken as often as the one taken most."""
+    taken = mix(df, id_col=id_col, **options).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    rows = df.join(taken, F.col(id_col).eqNullSafe(F.col("_id")))
+    return rows.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")

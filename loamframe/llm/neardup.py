@@ -282,3 +282,10 @@ def near_duplicates(df: DataFrame, similarity: Similarity = Similarity(), id_col
     component = F.coalesce("component", F.col("id"))
     out = rows.select("id", "n").join(found, "id", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(df: DataFrame, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one document of each component, the one with the smallest id; rows with a null id stay."""
+    found = near_duplicates(df, similarity, id_col, text_col)
+    dropped = keep(found.where("NOT kept").select(F.col(id_col).alias("id")).distinct())
+    return bloom.without(df, dropped, id_col)

@@ -48,11 +48,15 @@ FROM held
 """
 
 
-def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8, law="rows")
+def shard_digest(docs: DataFrame) -> DataFrame:
+    placed = sharding.shard_documents(docs, shards=8, law="rows")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -212,30 +212,37 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return Model(features, weights, bias, leak)
 
 
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+
+
+def score_piece(buf: np.ndarray, offs: np.ndarray, m: Model) -> tuple[np.ndarray, pa.Array]:
+    """Scores of a piece of lower-cased texts, and each text's offending sentences."""
+    n = len(offs) - 1
+    starts, ends, rows, sentence = words_and_sentences(buf, offs)
+    s, f = sentence_features(buf, starts, ends, sentence, m.features)
+    own, where = np.unique(s, return_inverse=True)
+    z = np.bincount(where, m.weights[f], len(own)) + m.bias
+    first = np.searchsorted(sentence, own)
+    last = np.searchsorted(sentence, own, side="right") - 1
+    row = rows[first] if len(own) else own
+    total = 1 - (1 - m.leak) * np.exp(-np.bincount(row, np.logaddexp(0, z), n))
+    p = 1 / (1 + np.exp(-z))
+    bad = p >= OFFENDS
+    chars = np.concatenate(([0], np.cumsum(buf & 0xC0 != 0x80)))
+    base = chars[offs[row[bad]]]
+    spans = pa.StructArray.from_arrays([pa.array(chars[starts[first[bad]]] - base), pa.array(chars[ends[last[bad]]] - base), pa.array(p[bad])], fields=list(SPAN))
+    return total, K.ragged(spans, K.counts_by_row(row[bad], n), SPAN)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of docs (id, text): id, score and the offending sentences with their code-point spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for i, j, buf, offs in K.pieces(lowered(batch.column(1))):
-                starts, ends, rows, sentence = words_and_sentences(buf, offs)
-                s, f = sentence_features(buf, starts, ends, sentence, m.features)
-                own, where = np.unique(s, return_inverse=True)
-                z = np.bincount(where, m.weights[f], len(own)) + m.bias
-                first = np.searchsorted(sentence, own)
-                last = np.searchsorted(sentence, own, side="right") - 1
-                row = rows[first] if len(own) else own
-                hazard = np.bincount(row, np.logaddexp(0, z), j - i)
-                total = 1 - (1 - m.leak) * np.exp(-hazard)
-                p = 1 / (1 + np.exp(-z))
-                bad = p >= OFFENDS
-                chars = np.concatenate(([0], np.cumsum(buf & 0xC0 != 0x80)))
-                base = chars[offs[row[bad]]]
-                spans = pa.StructArray.from_arrays([pa.array(chars[starts[first[bad]]] - base), pa.array(chars[ends[last[bad]]] - base), pa.array(p[bad])], fields=list(span))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(total), K.ragged(spans, K.counts_by_row(row[bad], j - i), span)], names=["id", "score", "sentences"])
+                total, spans = score_piece(buf, offs, shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(total), spans], names=["id", "score", "sentences"])
 
     return docs.mapInArrow(work, "id long, score double, sentences array<struct<start:long,end:long,score:double>>")
 
@@ -245,10 +252,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """id and toxic of the labels that may be learnt from."""
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).na.drop()
+    return known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
+
+
 def detect(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Per row of df: id, held_out, score, predicted and the offending sentences; labels has id_col and label_col."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).na.drop()
-    known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    found = score(docs, train(docs, known, sample_rows))
+    found = score(docs, train(docs, known_labels(labels, id_col, label_col), sample_rows))
     return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences")
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """df without the rows that score threshold or more; all columns pass through, without a join."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast(train(docs, known_labels(labels, id_col, label_col), sample_rows))
+    at = df.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, offs in K.pieces(lowered(batch.column(at))):
+                yield batch.slice(i, j - i).filter(pa.array(score_piece(buf, offs, shared.value)[0] < threshold))
+
+    return df.mapInArrow(work, df.schema)
