@@ -15,6 +15,7 @@ scanned as one document; an empty table gives no rows; other columns are not rea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +70,32 @@ def bigrams(w: Column) -> Column:
     return F.when(n < 2, w).otherwise(F.array_distinct(pairs))
 
 
+def telling_pattern(notices: list[list[str]], threshold: float, least_letters: int = 4) -> str:
+    """A pattern that is found in every unit that reaches the threshold with one of the notices.
+
+    Of each notice more bigrams are chosen than a match can lack: those of a few
+    longer words that many notices share, and single bigrams where these are not enough.
+    """
+    pairs = [set(zip(n, n[1:], strict=False)) or {(n[0],)} for n in notices]
+    need = [len(p) - math.ceil(threshold / (2 - threshold) * len(p) - 1e-9) + 1 for p in pairs]
+    held: list[set] = [set() for _ in notices]
+    chosen: set[str] = set()
+
+    def gain(word: str) -> int:
+        new = (len({x for x in p if word in x} - h) for p, h in zip(pairs, held, strict=True))
+        return sum(min(k, max(0, n - len(h))) for k, n, h in zip(new, need, held, strict=True))
+
+    words = sorted({w for n in notices for w in n if len(w) >= least_letters}, key=lambda w: (-len(w), w))
+    while words and gain(best := max(words, key=gain)):
+        chosen.add(best)
+        for p, h in zip(pairs, held, strict=True):
+            h |= {x for x in p if best in x}
+    for p, h, n in zip(pairs, held, need, strict=True):
+        for x in sorted(p - h, key=lambda x: (-len("".join(x)), x))[: max(0, n - len(h))]:
+            chosen.add(r"[^\p{L}\p{N}]+".join(x))
+    return "(?iu)" + "|".join(sorted(chosen))
+
+
 def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and licence found: id, license, dice (the best) and n_units (units that match).
 
@@ -76,17 +103,18 @@ def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, th
     """
     spark = df.sparkSession
     rows = [(name, k, text) for name, texts in sorted(templates.items()) for k, text in enumerate(texts)]
-    known = spark.createDataFrame(rows, "license string, template int, notice string").select("license", "template", bigrams(words(F.col("notice"))).alias("b"))
-    known = known.select("license", "template", "b", F.size("b").alias("m")).where("m > 0")
+    known = spark.createDataFrame(rows, "license string, template int, notice string").withColumn("w", words(F.col("notice")))
+    known = known.select("license", "template", "w", bigrams(F.col("w")).alias("b")).withColumn("m", F.size("b")).where("m > 0")
     limits = known.agg(F.min("m").alias("least"), F.max("m").alias("most"), F.array_distinct(F.flatten(F.collect_list("b"))).alias("all")).first()
     if limits.least is None:
         return df.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_units")).limit(0)
     low, high = limits.least * threshold / (2 - threshold), limits.most * (2 - threshold) / threshold
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     blocks = F.when(F.regexp_like("text", F.lit(r"\n\s*\n")), F.split("text", r"\n\s*\n")).otherwise(F.array().cast("array<string>"))
-    # n words have n - 1 bigrams at most; a text whose bigrams could repeat is left in
+    telling = telling_pattern([r.w for r in known.select("w").collect()], threshold)
     whole = F.when(F.contains("text", F.lit("\n")), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = df.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), blocks, whole))).alias("unit"))
+    units = df.select(F.col(id_col).alias("id"), text.alias("text")).where(F.col("text").rlike(telling)).select("id", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), blocks, whole))).alias("unit"))
+    units = units.where(F.col("unit").rlike(telling))
     sized = units.withColumn("w", words(F.col("unit"))).where(F.size("w") > 0).select("id", F.array_join("w", " ").alias("unit"), bigrams(F.col("w")).alias("b"))
     fit = sized.where(F.size("b").between(low - 1e-9, high + 1e-9) & F.arrays_overlap("b", F.array(*map(F.lit, limits["all"])))).select("id", F.xxhash64("unit").alias("unit"), "b").distinct()
     entries = known.select("license", "template", "m", F.explode("b").alias("bigram"))
