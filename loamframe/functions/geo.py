@@ -140,7 +140,7 @@ def contains(ring: Column | str, x: Column | str, y: Column | str) -> Column:
     crossings = F.aggregate(
         _edges(as_col(ring)),
         F.lit(0),
-        lambda n, e: n + F.when(((e.p.y > y) != (e.q.y > y)) & (x < (e.q.x - e.p.x) * (y - e.p.y) / F.nullif(e.q.y - e.p.y, F.lit(0.0)) + e.p.x, ), 1).otherwise(0),
+        lambda n, e: n + F.when(((e.p.y > y) != (e.q.y > y)) & (x < (e.q.x - e.p.x) * (y - e.p.y) / F.nullif(e.q.y - e.p.y, F.lit(0.0)) + e.p.x), 1).otherwise(0),
     )
     return crossings % 2 == 1
 
