@@ -8,13 +8,14 @@ pieces of bounded size; a single longer text forms a piece of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 21
+#: Small enough for the arrays of a piece to stay in a core's cache and a task's memory to stay low.
+PIECE_BYTES = 1 << 18
 _U = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
@@ -47,22 +48,23 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of consecutive pieces of a string column."""
+def pieces(texts: pa.Array, limit: int = PIECE_BYTES, prepare: Callable[[pa.Array], pa.Array] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of consecutive pieces of a string column, each prepared by itself."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
-    if n == 0:
-        return
-    _, offsets, data = texts.buffers()
-    offs = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + n + 1]
-    buf = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < n:
-        j = int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1
-        j = min(n, max(j, i + 1))
-        yield i, j, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        before = int(ends[i - 1]) if i else 0
+        j = min(n, max(i + 1, int(np.searchsorted(ends, before + limit, side="right"))))
+        piece = pc.fill_null(texts.slice(i, j - i).cast(pa.large_string()), "")
+        if prepare is not None:
+            piece = prepare(piece)
+        _, offsets, data = piece.buffers()
+        offs = np.frombuffer(offsets, dtype=np.int64)[piece.offset : piece.offset + j - i + 1]
+        buf = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+        yield i, j, buf[offs[0] : offs[-1]], offs - offs[0]
         i = j
 
 

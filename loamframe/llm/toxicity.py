@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -37,6 +36,8 @@ SAMPLE_ROWS = 20_000
 #: Telling features, at most, and the least log-likelihood ratio and rate ratio of one.
 VOCABULARY, LEAST_RATIO, LEAST_LIFT = 4096, 30.0, 3.0
 PREFIXES = range(3, 9)
+#: Bytes of texts whose features are counted together.
+COUNTED_BYTES = 1 << 20
 #: A sentence with at least this chance offends.
 OFFENDS = 0.3
 
@@ -55,10 +56,6 @@ class Model:
     leak: float
 
 
-def lowered(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-
-
 def word_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indices of words, feature hashes), one kind of feature after another."""
     yield np.arange(len(starts)), K.span_hashes(buf, starts, ends)
@@ -90,7 +87,7 @@ def sampled(docs: DataFrame, ids: np.ndarray, work, schema: str) -> DataFrame:
             at = np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)
             rows = np.flatnonzero(shared.value[at] == own)
             if len(rows):
-                yield from work(lowered(batch.column(1).take(pa.array(rows))), at[rows])
+                yield from work(batch.column(1).take(pa.array(rows)), at[rows])
 
     return docs.where(F.col("id").isNotNull()).mapInArrow(pick, schema)
 
@@ -100,7 +97,7 @@ def telling_features(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> np.
     labels = docs.sparkSession.sparkContext.broadcast(toxic)
 
     def count(texts: pa.Array, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i, j, buf, offs in K.pieces(texts):
+        for i, j, buf, offs in K.pieces(texts, COUNTED_BYTES, pc.utf8_lower):
             starts, ends, rows, _ = words_and_sentences(buf, offs)
             bad = labels.value[at[i:j]]
             for words, h in word_features(buf, starts, ends):
@@ -189,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     shared = docs.sparkSession.sparkContext.broadcast(features)
 
     def bags(texts: pa.Array, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i, j, buf, offs in K.pieces(texts):
+        for i, j, buf, offs in K.pieces(texts, prepare=pc.utf8_lower):
             starts, ends, rows, sentence = words_and_sentences(buf, offs)
             s, f = sentence_features(buf, starts, ends, sentence, shared.value)
             row = rows[np.searchsorted(sentence, s)] if len(s) else s
@@ -199,16 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 names=["doc", "sentence", "feature"],
             )
 
-    rows = sampled(docs, ids, bags, "doc long, sentence long, feature long").toPandas()  # few rows a sampled document
-    rows = rows.sort_values(["doc", "sentence", "feature"])
-    docs_, where = np.unique(rows["doc"].to_numpy(), return_inverse=True)
+    rows = sampled(docs, ids, bags, "doc long, sentence long, feature long").toPandas().to_numpy()  # few rows a sampled document
+    docs_, where = np.unique(rows[:, 0], return_inverse=True)
     if not len(docs_):
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, min(0.1, share))
-    full = rows["feature"].to_numpy() >= 0
-    pair = pd.MultiIndex.from_arrays([where[full], rows["sentence"].to_numpy()[full]])
-    instance, names = pd.factorize(pair)
-    bag = np.array([x[0] for x in names], dtype=np.int64)
-    weights, bias, leak = fit(bag, instance.astype(np.int64), rows["feature"].to_numpy()[full], toxic[docs_], len(features))
+    full = rows[:, 2] >= 0
+    sentences, instance = np.unique(np.column_stack((where[full], rows[full, 1])), axis=0, return_inverse=True)
+    weights, bias, leak = fit(sentences[:, 0], instance.ravel(), rows[full, 2], toxic[docs_], len(features))
     return Model(features, weights, bias, leak)
 
 
@@ -240,7 +234,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, offs in K.pieces(lowered(batch.column(1))):
+            for i, j, buf, offs in K.pieces(batch.column(1), prepare=pc.utf8_lower):
                 total, spans = score_piece(buf, offs, shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(total), spans], names=["id", "score", "sentences"])
 
@@ -273,7 +267,7 @@ def without_toxic(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, offs in K.pieces(lowered(batch.column(at))):
+            for i, j, buf, offs in K.pieces(batch.column(at), prepare=pc.utf8_lower):
                 yield batch.slice(i, j - i).filter(pa.array(score_piece(buf, offs, shared.value)[0] < threshold))
 
     return df.mapInArrow(work, df.schema)
