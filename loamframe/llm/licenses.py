@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,30 +72,38 @@ def bigrams(w: Column) -> Column:
     return F.when(n < 2, w).otherwise(F.array_distinct(pairs))
 
 
-def telling_pattern(notices: list[list[str]], threshold: float, least_letters: int = 4) -> str:
-    """A pattern that is found in every unit that reaches the threshold with one of the notices.
+def telling_parts(notices: list[list[str]], threshold: float, least_letters: int = 7) -> list[tuple[str, ...]]:
+    """Words and bigrams of which every unit that reaches the threshold with one of the notices holds at least one.
 
-    Of each notice more bigrams are chosen than a match can lack: those of a few
-    longer words that many notices share, and single bigrams where these are not enough.
+    Of each notice more bigrams are covered than a match can lack: by a few long
+    words that many notices share, and by single bigrams where these are not enough.
     """
     pairs = [set(zip(n, n[1:], strict=False)) or {(n[0],)} for n in notices]
     need = [len(p) - math.ceil(threshold / (2 - threshold) * len(p) - 1e-9) + 1 for p in pairs]
     held: list[set] = [set() for _ in notices]
-    chosen: set[str] = set()
+    chosen: set[tuple[str, ...]] = set()
 
     def gain(word: str) -> int:
-        new = (len({x for x in p if word in x} - h) for p, h in zip(pairs, held, strict=True))
+        new = (len({x for x in p if any(word in w for w in x)} - h) for p, h in zip(pairs, held, strict=True))
         return sum(min(k, max(0, n - len(h))) for k, n, h in zip(new, need, held, strict=True))
 
     words = sorted({w for n in notices for w in n if len(w) >= least_letters}, key=lambda w: (-len(w), w))
     while words and gain(best := max(words, key=gain)):
-        chosen.add(best)
+        chosen.add((best,))
         for p, h in zip(pairs, held, strict=True):
-            h |= {x for x in p if best in x}
+            h |= {x for x in p if any(best in w for w in x)}
     for p, h, n in zip(pairs, held, need, strict=True):
-        for x in sorted(p - h, key=lambda x: (-len("".join(x)), x))[: max(0, n - len(h))]:
-            chosen.add(r"[^\p{L}\p{N}]+".join(x))
-    return "(?iu)" + "|".join(sorted(chosen))
+        chosen.update(sorted(p - h, key=lambda x: (-len("".join(x)), x))[: max(0, n - len(h))])
+    return sorted(chosen)
+
+
+def holds_any(text: Column, parts: list[tuple[str, ...]]) -> Column:
+    """Whether a text holds one of the parts in any case; the text is lower-cased once."""
+
+    def found(low: Column) -> Column:
+        return reduce(or_, [F.contains(low, F.lit(p[0])) if len(p) == 1 else low.rlike(r"[^\p{L}\p{N}]+".join(p)) for p in parts])
+
+    return F.exists(F.array(F.lower(text)), found)
 
 
 def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,10 +121,10 @@ def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, th
     low, high = limits.least * threshold / (2 - threshold), limits.most * (2 - threshold) / threshold
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     blocks = F.when(F.regexp_like("text", F.lit(r"\n\s*\n")), F.split("text", r"\n\s*\n")).otherwise(F.array().cast("array<string>"))
-    telling = telling_pattern([r.w for r in known.select("w").collect()], threshold)
+    telling = telling_parts([r.w for r in known.select("w").collect()], threshold)
     whole = F.when(F.contains("text", F.lit("\n")), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = df.select(F.col(id_col).alias("id"), text.alias("text")).where(F.col("text").rlike(telling)).select("id", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), blocks, whole))).alias("unit"))
-    units = units.where(F.col("unit").rlike(telling))
+    units = df.select(F.col(id_col).alias("id"), text.alias("text")).where(holds_any(F.col("text"), telling)).select("id", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), blocks, whole))).alias("unit"))
+    units = units.where(holds_any(F.col("unit"), telling))
     sized = units.withColumn("w", words(F.col("unit"))).where(F.size("w") > 0).select("id", F.array_join("w", " ").alias("unit"), bigrams(F.col("w")).alias("b"))
     fit = sized.where(F.size("b").between(low - 1e-9, high + 1e-9) & F.arrays_overlap("b", F.array(*map(F.lit, limits["all"])))).select("id", F.xxhash64("unit").alias("unit"), "b").distinct()
     entries = known.select("license", "template", "m", F.explode("b").alias("bigram"))
