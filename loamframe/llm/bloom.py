@@ -61,6 +61,14 @@ def may_hold(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return left
 
 
+def free_name(df: DataFrame, name: str = "_key") -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """df without the rows whose id_col (a long) is in the column `id` of ids; rows with a null id stay.
 
@@ -82,4 +90,5 @@ def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
         return work
 
     clear, suspects = (df.mapInArrow(split(x), df.schema) for x in (False, True))
-    return clear.union(suspects.join(ids.select(F.col("id").alias("_id")), F.col(id_col) == F.col("_id"), "left_anti"))
+    name = free_name(df)
+    return clear.union(suspects.join(ids.select(F.col("id").alias(name)), F.col(id_col) == F.col(name), "left_anti"))

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamframe.llm.bloom import free_name
 from loamframe.llm.ranking import ranked
 
 #: Weights of the sources in code-point order, repeating.
@@ -156,6 +157,7 @@ def mix(df: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share
 
 def mixed(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """df's rows as often as the mix takes them; rows with one id are all taken as often as the one taken most."""
-    taken = mix(df, id_col=id_col, **options).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = df.join(taken, F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")
+    key, times, copy = (free_name(df, x) for x in ("_mixed_id", "_mixed_times", "_mixed_copy"))
+    taken = mix(df, id_col=id_col, **options).groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
+    rows = df.join(taken, F.col(id_col).eqNullSafe(F.col(key)))
+    return rows.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), times)).alias(copy)).drop(copy)

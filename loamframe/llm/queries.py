@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamframe.llm import chat, decontaminate, licenses, mixing, neardup, quality, sharding, storage, tokencount, toxicity, warc
+from loamframe.llm import chat, decontaminate, licenses, mixing, neardup, quality, sharding, tokencount, toxicity, warc
+from loamframe.storage import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = storage.fresh_path(spark, "archive")
+    path = fresh_path(spark, "archive")
     warc.archive(table(spark, sf_dir, "pages"), path)
     found = warc.read_archive(spark, path)
     return found.select(

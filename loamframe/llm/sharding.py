@@ -21,8 +21,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamframe.llm.bloom import free_name
 from loamframe.llm.ranking import hash_bucket, ranked
-from loamframe.llm.storage import keep
+from loamframe.storage import keep
 
 BITS = 5
 #: Buckets that the rows of one cell are spread over.
@@ -162,6 +163,7 @@ def prune(shards: DataFrame, **levels: int) -> DataFrame:
 
 def write(df: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """Write df's rows as one folder of Parquet files per shard, in slot order; ids must be unique."""
-    placed = assigned.select(F.col(id_col).alias("_id"), "shard", "slot")
-    rows = df.join(placed, F.col(id_col) == F.col("_id")).drop("_id")
+    key = free_name(df)
+    placed = assigned.select(F.col(id_col).alias(key), "shard", "slot")
+    rows = df.drop("shard", "slot").join(placed, F.col(id_col).eqNullSafe(F.col(key))).drop(key)
     rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
