@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loamframe.llm import decontaminate, mixing, neardup, toxicity
 from loamframe.llm.queries import shard_digest, table
-from loamframe.llm.storage import written
+from loamframe.storage import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
