@@ -59,7 +59,7 @@ def utm_project(lon: Column | str, lat: Column | str, zone: Column | str) -> Col
 def haversine_km(lon1: Column | str, lat1: Column | str, lon2: Column | str, lat2: Column | str) -> Column:
     lon1, lat1, lon2, lat2 = (F.radians(as_col(c)) for c in (lon1, lat1, lon2, lat2))
     h = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin((lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.when(h.isNotNull(), 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0)))))
 
 
 def interleave(x: Column | str, y: Column | str, bits: int = 16) -> Column:

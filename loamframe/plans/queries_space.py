@@ -91,7 +91,7 @@ _CELL = " + ".join(f"(((cx >> {k}) & 1) << {2 * k}) + (((cy >> {k}) & 1) << {2 *
 _GAPS = f"""WITH p AS ({_LONLAT}), c AS (SELECT *, CAST(least(floor((lon + 180) / 360 * 65536), 65535) AS BIGINT) AS cx, CAST(least(floor((lat + 90) / 180 * 65536), 65535) AS BIGINT) AS cy FROM p),
 o AS (SELECT c_custkey, lon, lat, {_CELL} AS cell FROM c),
 l AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM o WINDOW w AS (ORDER BY cell, c_custkey)),
-d AS (SELECT *, 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))) AS km FROM l),
+d AS (SELECT *, CASE WHEN plon IS NOT NULL THEN 2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))) END AS km FROM l),
 g AS (SELECT *, CAST(sum(CASE WHEN km > 400 THEN 1 ELSE 0 END) OVER (ORDER BY cell, c_custkey) AS BIGINT) AS "group" FROM d),
 i AS (SELECT *, "group" > 0 AND "group" < (SELECT max("group") FROM g) AS inside FROM g)"""
 
