@@ -135,8 +135,8 @@ def ratio_above(part: Callable[[Texts], np.ndarray], whole: Callable[[Texts], np
 
 DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("symbols_per_word", ratio_above(lambda t: t.n_symbols, lambda t: t.n_words, 0.1)),
-    Rule("repeated_lines", ratio_above(lambda t: t.n_dup_lines, lambda t: K.counts_by_row(t.lines[2], t.n), 0.3)),
-    Rule("repeated_windows", ratio_above(lambda t: t.n_repeat_words, lambda t: t.n_words, 0.3)),
+    Rule("repeated_lines", ratio_above(lambda t: t.n_dup_lines, lambda t: K.counts_by_row(t.lines[2], t.n), 0.5)),
+    Rule("repeated_windows", ratio_above(lambda t: t.n_repeat_words, lambda t: t.n_words, 0.45)),
     Rule("upper_case", ratio_above(lambda t: t.byte_counts(_IS_UPPER), lambda t: t.byte_counts(_IS_LETTER), 0.4)),
     Rule("shouting", ratio_above(lambda t: t.byte_counts(_IS_SHOUT), lambda t: t.n_words, 0.3)),
     Rule("digits", ratio_above(lambda t: t.byte_counts(_IS_DIGIT), lambda t: t.word_chars, 0.3)),
