@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from loamframe.llm.bloom import free_name
 from loamframe.llm.ranking import ranked
+from loamframe.storage import keep
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -131,13 +132,14 @@ def mix(df: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share
 
     share is the part of all words that the mix holds, cap the most passes over a source.
     """
-    rows = df.select(
+    slim = df.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("_order"),
         F.xxhash64(F.col(text_col)).alias("_text"),
     )
+    rows = keep(slim)  # so that texts are read and counted once
     sizes = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     goals = targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
     goals = goals.select(F.col("source").alias("_s"), "source_size", "target")
