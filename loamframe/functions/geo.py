@@ -38,22 +38,49 @@ def utm_epsg(lat: Column | str, zone: Column | str) -> Column:
     return (F.when(lat >= 0, 32600).otherwise(32700) + zone).cast("int")
 
 
+#: WGS 84: semi-major axis, third flattening and the scaled rectifying radius.
+_AXIS, _FLATTENING = 6378137.0, 1 / 298.257223563
+_N = _FLATTENING / (2 - _FLATTENING)
+_RADIUS = 0.9996 * _AXIS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+
+
+def _series(factors: tuple[float, ...], a: Column, b: Column) -> tuple[Column, Column]:
+    """Sums of f * cos(2ja) * sinh(2jb) and of f * sin(2ja) * cosh(2jb)."""
+    along, up = F.lit(0.0), F.lit(0.0)
+    for j, f in enumerate(factors, 1):
+        along = along + f * F.cos(2 * j * a) * F.sinh(2 * j * b)
+        up = up + f * F.sin(2 * j * a) * F.cosh(2 * j * b)
+    return along, up
+
+
 def utm_project(lon: Column | str, lat: Column | str, zone: Column | str) -> Column:
     """struct<x, y> in metres by the Krueger series to the third order (WGS 84)."""
     lon, lat, zone = as_col(lon), as_col(lat), as_col(zone)
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    n = _N
     alphas = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     e = 2 * math.sqrt(n) / (1 + n)
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    s = F.sin(phi)
+    s, lam = F.sin(F.radians(lat)), F.radians(lon - (zone * 6 - 183))
     t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x = eta + sum((al * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, al in enumerate(alphas, 1)), F.lit(0.0))
-    y = xi + sum((al * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, al in enumerate(alphas, 1)), F.lit(0.0))
-    k = 0.9996 * big
-    return F.struct((500000 + k * x).alias("x"), (F.when(lat < 0, 10000000.0).otherwise(0.0) + k * y).alias("y"))
+    along, up = _series(alphas, xi, eta)
+    return F.struct((500000 + _RADIUS * (eta + along)).alias("x"), (F.when(lat < 0, 10000000.0).otherwise(0.0) + _RADIUS * (xi + up)).alias("y"))
+
+
+def utm_unproject(x: Column | str, y: Column | str, zone: Column | str, south: Column | bool = False) -> Column:
+    """struct<lon, lat> of metres in a zone; the inverse of utm_project."""
+    x, y, zone = as_col(x), as_col(y), as_col(zone)
+    south = F.lit(south) if isinstance(south, bool) else south
+    n = _N
+    betas = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    deltas = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = (y - F.when(south, 10000000.0).otherwise(0.0)) / _RADIUS, (x - 500000) / _RADIUS
+    along, up = _series(betas, xi, eta)
+    xi, eta = xi - up, eta - along
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, d in enumerate(deltas, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return F.struct((zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))).alias("lon"), F.degrees(lat).alias("lat"))
 
 
 def haversine_km(lon1: Column | str, lat1: Column | str, lon2: Column | str, lat2: Column | str) -> Column:

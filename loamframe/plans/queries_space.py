@@ -82,6 +82,14 @@ def utm_zone_epsg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_custkey", "zone", geo.utm_letter("lat").alias("letter"), geo.utm_epsg("lat", "zone").alias("epsg"))
 
 
+@query(f"SELECT c_custkey, round(lon + 1e-9, 6)::DOUBLE AS lon, round(lat + 1e-9, 6)::DOUBLE AS lat FROM ({_LONLAT}) WHERE lat < 72")
+def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points projected to their zone's metres and back."""
+    p = lonlat(spark, sf_dir).where("lat < 72").withColumn("zone", geo.utm_zone("lon", "lat")).withColumn("p", geo.utm_project("lon", "lat", "zone"))
+    back = p.withColumn("b", geo.utm_unproject("p.x", "p.y", "zone", F.col("lat") < 0))
+    return back.select("c_custkey", arith.rounded("b.lon", 6).alias("lon"), arith.rounded("b.lat", 6).alias("lat"))
+
+
 @query(f"""WITH p AS ({_LONLAT}) SELECT c_custkey, round(2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(50 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(50)) * pow(sin(radians(10 - lon) / 2), 2)))) + 1e-9, 3) AS km FROM p""")
 def haversine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lonlat(spark, sf_dir).select("c_custkey", arith.rounded(geo.haversine_km("lon", "lat", F.lit(10.0), F.lit(50.0)), 3).alias("km"))
