@@ -111,6 +111,21 @@ def mask_dilated(cube: DataFrame, flag: Column, kernel: Sequence[tuple[int, int]
     return mask(cube.join(hit, list(keys), "left"), F.col("_hit").isNotNull(), bands).drop("_hit")
 
 
+def mask_dilated_square(cube: DataFrame, flag: Column, size: int, bands: Sequence[str], keys: Sequence[str] = (*PIXEL, "t")) -> DataFrame:
+    """Bands are null within a square of `size` pixels around flagged pixels of a full raster.
+
+    A flag spreads along its row, then along the columns, by two range windows, so
+    that no row is repeated however large the square is.  Pixels that the raster
+    lacks do not carry a flag on; `mask_dilated` serves sparse cubes.
+    """
+    x, y, *others = keys
+    r = size // 2
+    along = Window.partitionBy(y, *others).orderBy(x).rangeBetween(-r, r)
+    across = Window.partitionBy(x, *others).orderBy(y).rangeBetween(-r, r)
+    spread = cube.withColumn("_flag", F.coalesce(flag, F.lit(False))).withColumn("_flag", F.max("_flag").over(along))
+    return mask(spread.withColumn("_flag", F.max("_flag").over(across)), F.col("_flag"), bands).drop("_flag")
+
+
 def mask_convolved(cube: DataFrame, flag: Column, kernel: Sequence[tuple[int, int, float]], threshold: float, bands: Sequence[str], keys: Sequence[str] = (*PIXEL, "t")) -> DataFrame:
     """Bands are null where the kernel-weighted share of flagged neighbours is above the threshold."""
     x, y, *others = keys
@@ -166,8 +181,3 @@ def nearest_pixel(points: DataFrame, raster: DataFrame, size: int = 10, x: str =
     on = points.withColumn("_cx", F.floor(F.col(x) / size)).withColumn("_cy", F.floor(F.col(y) / size))
     cells = raster.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size)).drop("x", "y")
     return on.join(cells, ["_cx", "_cy"], "left").drop("_cx", "_cy")
-
-
-def last_before(cube: DataFrame, keys: Sequence[str], t_col: str, band: str) -> DataFrame:
-    """cube with the band's value at the previous time of the same keys."""
-    return cube.withColumn(f"{band}_before", F.lag(band).over(Window.partitionBy(*keys).orderBy(t_col)))

@@ -15,6 +15,7 @@ from loamframe.plans.specs import FeatureOptions, Intervals, feature_names
 #: Cube-to-cube steps by name; `register` adds one.
 PROCESSES: dict[str, Callable[..., DataFrame]] = {
     "mask_dilated": C.mask_dilated,
+    "mask_dilated_square": C.mask_dilated_square,
     "mask_convolved": C.mask_convolved,
     "mask_by_layer": C.mask_by_layer,
     "interpolate_linear": temporal.interpolate_linear,
@@ -53,7 +54,7 @@ def optical_bands(cube: DataFrame, options: FeatureOptions, landcover: DataFrame
     if options.scene_band in cube.columns:
         clouded = ~F.col(options.scene_band).isin(list(options.clear_classes))
         if options.dilation:
-            cube = C.mask_dilated(cube, clouded, C.square_kernel(options.dilation), bands, keys)
+            cube = C.mask_dilated_square(cube, clouded, options.dilation, bands, keys)
         else:
             cube = C.mask(cube, clouded, bands)
     if landcover is not None:

@@ -10,6 +10,8 @@ from loamframe.operators import cube as C
 from loamframe.operators import temporal as T
 from loamframe.plans.catalog import query, table
 from loamframe.plans.specs import Intervals
+from loamframe.streaming.runs import completed, table_stream
+from loamframe.streaming.streams import interval_means
 
 START = "2024-01-01"
 MONTH = Intervals(days=30, step=1, overlap=1, reducer="median")
@@ -158,11 +160,19 @@ def mask_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEAR = "SELECT DISTINCT p_partkey % 40 + dx.i AS x, p_partkey // 40 + dy.i AS y FROM part, range(-1, 2) dx(i), range(-1, 2) dy(i) WHERE p_size > 45"
 
 
-@query(f"WITH h AS ({_NEAR}) SELECT p_partkey % 40 AS x, p_partkey // 40 AS y, CASE WHEN h.x IS NULL THEN p_retailprice END AS p_retailprice FROM part LEFT JOIN h ON h.x = p_partkey % 40 AND h.y = p_partkey // 40")
+_DILATED = f"WITH h AS ({_NEAR}) SELECT p_partkey % 40 AS x, p_partkey // 40 AS y, CASE WHEN h.x IS NULL THEN p_retailprice END AS p_retailprice FROM part LEFT JOIN h ON h.x = p_partkey % 40 AND h.y = p_partkey // 40"
+
+
+@query(_DILATED)
 def mask_dilation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.mask_dilated(grid(spark, sf_dir), F.col("scene") > 45, C.square_kernel(3), ["p_retailprice"], ["x", "y"]).select("x", "y", "p_retailprice")
 
 
+@query(_DILATED)
+def mask_dilation_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.mask_dilated_square(grid(spark, sf_dir), F.col("scene") > 45, 3, ["p_retailprice"], ["x", "y"]).select("x", "y", "p_retailprice")
+
+
 @query("""WITH w AS (SELECT i, j, exp(-(i * i + j * j) / 2.0) AS w FROM range(-2, 3) a(i), range(-2, 3) b(j)),
 s AS (SELECT p_partkey % 40 + i AS x, p_partkey // 40 + j AS y, sum(w / (SELECT sum(w) FROM w)) AS s FROM part, w WHERE p_size > 40 GROUP BY ALL)
 SELECT p_partkey % 40 AS x, p_partkey // 40 AS y, CASE WHEN coalesce(s, 0) <= 0.3 THEN p_retailprice END AS p_retailprice FROM part LEFT JOIN s ON s.x = p_partkey % 40 AND s.y = p_partkey // 40""")
@@ -270,3 +280,15 @@ def nearest_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     raster = grid(spark, sf_dir).select((F.col("x") * 10 + 5).alias("x"), (F.col("y") * 10 + 5).alias("y"), "scene")
     points = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 400).alias("x"), F.col("c_nationkey").alias("y"))
     return C.nearest_pixel(points, raster, 10).select("c_custkey", "scene")
+
+
+_WEEKS = Intervals(days=30, step=7, overlap=7, reducer="mean")
+
+
+@query("""SELECT event_type, k::INT AS k, round(avg(value) + 1e-9, 4) AS mean FROM events
+JOIN range(3) r(k) ON date_diff('day', DATE '2024-01-01', ts::DATE) >= k * 7 AND date_diff('day', DATE '2024-01-01', ts::DATE) < k * 7 + 14 GROUP BY ALL""")
+def stream_interval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window means of a stream of the events' files, run until all are read."""
+    events = table_stream(spark, sf_dir, "events.parquet")
+    found = completed(interval_means(events, _WEEKS, START, ["event_type"], late="40 days"), "stream")
+    return found.withColumn("mean", arith.rounded("mean"))

@@ -195,10 +195,6 @@ def without_overlaps(parcels: DataFrame, id_col: str, size: float) -> DataFrame:
     return parcels.join(spatial.overlapping_groups(parcels, id_col, size), id_col).where(F.col(id_col) == F.col("group")).drop("group")
 
 
-def stratum_constants(group: float, zone: float) -> dict[str, float]:
-    return {"groupID": group, "zoneID": zone}
-
-
 def season_of(t: Column, start_month: int = 3) -> Column:
     """Agricultural year of a date: it begins in start_month."""
     return F.year(t) - F.when(F.month(t) < start_month, 1).otherwise(0)

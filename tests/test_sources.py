@@ -7,7 +7,7 @@ from loamframe.functions import geo, text
 from loamframe.operators import learning, metrics
 from loamframe.plans import workflows
 from loamframe.sources import readers, sinks
-from loamframe.streaming import streams
+from loamframe.streaming import runs, streams
 from loamframe.plans.specs import Intervals
 
 
@@ -98,6 +98,15 @@ def test_streamed_means_equal_batch(spark, stream_dir):
     assert a == {(r.event_type, r.k): round(r.value, 9) for r in batch.collect()} and len(a) > 10
 
 
+def test_a_folder_streams_like_a_file(spark, sf, stream_dir):
+    folder, name = stream_dir.rsplit("/", 1)
+    counts = []
+    for where, table in ((folder, name), (sf, "events.parquet")):
+        events = runs.table_stream(spark, where, table)
+        counts.append(runs.completed(events.groupBy("event_type").count(), "test-stream").agg(F.sum("count")).first()[0])
+    assert counts[0] == counts[1] == spark.read.parquet(stream_dir).count()
+
+
 def test_streamed_sessions(spark, stream_dir):
     schema = spark.read.parquet(stream_dir).schema
     events = spark.readStream.schema(schema).parquet(stream_dir)
