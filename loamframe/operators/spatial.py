@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamframe.functions import geo
-from loamframe.storage import keep
+from loamframe.operators.graph import components
 
 
 def covering_cells(polygons: DataFrame, ring_col: str, size: float) -> DataFrame:
@@ -111,23 +111,17 @@ def convex_hulls(points: DataFrame, group_col: str, x: str = "x", y: str = "y",
     return whole.groupBy(F.col("g").alias(group_col)).agg(ring.alias("ring"))
 
 
-def overlapping_groups(boxes: DataFrame, id_col: str, size: float, rounds: int = 20) -> DataFrame:
+def overlapping_groups(boxes: DataFrame, id_col: str, size: float) -> DataFrame:
     """id and group (smallest id) of boxes (minx, miny, maxx, maxy) that overlap, directly or over others.
 
-    Boxes meet in shared grid cells; labels then sink to the smallest one among
-    overlapping boxes until they stay, at most `rounds` times.
+    Boxes meet in shared grid cells of the given size; what overlaps is then joined to components.
     """
     ring = geo.box_ring("minx", "miny", "maxx", "maxy")
     cells = covering_cells(boxes.withColumn("_ring", ring), "_ring", size).drop("_ring")
-    a = cells.select("_cx", "_cy", F.col(id_col).alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("minx", "miny", "maxx", "maxy")])
-    b = cells.select("_cx", "_cy", F.col(id_col).alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")])
+    sides = ("minx", "miny", "maxx", "maxy")
+    a = cells.select("_cx", "_cy", F.col(id_col).alias("a"), *[F.col(c).alias(f"a_{c}") for c in sides])
+    b = cells.select("_cx", "_cy", F.col(id_col).alias("b"), *[F.col(c).alias(f"b_{c}") for c in sides])
     meet = (F.col("a_minx") < F.col("b_maxx")) & (F.col("b_minx") < F.col("a_maxx")) & (F.col("a_miny") < F.col("b_maxy")) & (F.col("b_miny") < F.col("a_maxy"))
-    edges = keep(a.join(b, ["_cx", "_cy"]).where(meet & (F.col("a") != F.col("b"))).select("a", "b").distinct())
-    labels = boxes.select(F.col(id_col).alias("id"), F.col(id_col).alias("group"))
-    for _ in range(rounds):
-        around = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("group").alias("m"))
-        new = keep(labels.join(around, F.col("id") == F.col("a"), "left").select("id", F.col("group").alias("old"), F.least("group", "m").alias("group")))
-        labels = new.select("id", "group")
-        if new.where(F.col("group") != F.col("old")).isEmpty():
-            break
-    return labels.withColumnRenamed("id", id_col)
+    links = a.join(b, ["_cx", "_cy"]).where(meet & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    groups = components(links).select(F.col("id").alias(id_col), F.col("component").alias("_group"))
+    return boxes.select(id_col).join(groups, id_col, "left").select(id_col, F.coalesce("_group", id_col).alias("group"))

@@ -115,10 +115,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 1000).alias("nir"), F.col("l_quantity").alias("red"), (F.col("l_discount") * 100).alias("swir"), (F.col("l_tax") * 100).alias("green"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round((l_extendedprice / 1000 - l_quantity) / nullif(l_extendedprice / 1000 + l_quantity, 0) + 1e-9, 4) AS nd,
-  round((l_discount * 100 - l_tax * 100) / nullif(l_discount * 100 + l_tax * 100, 0) + 1e-9, 4) AS nd2 FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, round((l_extendedprice / 1000 - l_quantity) / nullif(l_extendedprice / 1000 + l_quantity, 0) + 1e-9, 4) + 0.0 AS nd,
+  round((l_discount * 100 - l_tax * 100) / nullif(l_discount * 100 + l_tax * 100, 0) + 1e-9, 4) + 0.0 AS nd2 FROM lineitem""")
 def idx_normalized_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).select("l_orderkey", "l_linenumber", arith.rounded(arith.normalized_difference("nir", "red")).alias("nd"), arith.rounded(arith.normalized_difference("swir", "green")).alias("nd2"))
+    return lines(spark, sf_dir).select("l_orderkey", "l_linenumber", (arith.rounded(arith.normalized_difference("nir", "red")) + 0.0).alias("nd"), (arith.rounded(arith.normalized_difference("swir", "green")) + 0.0).alias("nd2"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS red, l_extendedprice / 1000 AS nir, l_discount * 100 AS swir FROM lineitem),
