@@ -90,7 +90,10 @@ def points_in_polygons(polygons: DataFrame, id_col: str, ring_col: str = "ring",
 
 
 def decile_medians(df: DataFrame, value_col: str, id_col: str, bins: int = 10) -> DataFrame:
-    """One row per equal-frequency bin of the values: the row nearest the bin's median, ties to the smallest id."""
+    """One row per equal-frequency bin of the values: the row nearest the bin's median, ties to the smallest id.
+
+    Quantiles are exact, so the distinct values must fit one task; it serves grids of tiles.
+    """
     edges = df.agg(F.percentile(value_col, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_e"))
     over = F.size(F.filter(F.col("_e"), lambda e: e < F.col(value_col)))
     binned = df.where(F.col(value_col).isNotNull()).join(F.broadcast(edges)).withColumn("bin", over).drop("_e")
