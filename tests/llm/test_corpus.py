@@ -459,5 +459,13 @@ def test_queries_match_their_sql(spark, sf, name):
     assert rows(found.toPandas()) == rows(rel.df())
 
 
+@pytest.mark.parametrize("number", [4, 9, 10])
+def test_native_operators_run_no_python(spark, sf, number):
+    name, query = next((k, q) for k, q in queries.queries().items() if k.startswith(f"op{number}_"))
+    text = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "InPandas" not in text and "InArrow" not in text, name
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
 def test_numbered_queries_are_registered():
     assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 11))

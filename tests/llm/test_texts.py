@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loamframe.llm import bloom, kernels, licenses, neardup, quality, tokencount
@@ -212,6 +214,15 @@ def test_token_count_of_odd_texts(text, library):
     assert counter.count([text, "a b", text]) == [len(library.encode(t, add_special_tokens=False).ids) for t in (text, "a b", text)]
 
 
+_COUNTER = tokencount.Counter(tokencount.load_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text(st.one_of(st.sampled_from("abcdeEÉsſ'’ \n\t\u2003<|>123½ßΣİ漢😀\u0301"), st.characters(exclude_categories=["Cs", "Cn"], max_codepoint=0x2FFF)), max_size=60))
+def test_token_count_of_any_text(library, text):
+    assert _COUNTER.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
 def test_small_memory_of_words_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(tokencount, "CACHE_WORDS", 3)
     monkeypatch.setattr(tokencount, "CACHE_CHARS", 4)
