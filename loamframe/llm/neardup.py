@@ -216,7 +216,7 @@ def leftover(groups: DataFrame, labels: DataFrame, docs: DataFrame, similarity:
     named = keep(named.join(open_, "centre", "left_semi"))
     if named.isEmpty():
         return groups.sparkSession.createDataFrame([], "a long, b long")
-    sets = full_sets(docs, named.select(F.col("rep").alias("id")).distinct(), similarity.width).withColumnRenamed("id", "rep")
+    sets = keep(full_sets(docs, named.select(F.col("rep").alias("id")).distinct(), similarity.width)).withColumnRenamed("id", "rep")
     whole = named.join(sets, "rep")
     salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
     x = whole.where("component <> main").select("centre", salt.alias("salt"), F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("values").alias("va"))
@@ -250,7 +250,8 @@ def near_duplicates(df: DataFrame, similarity: Similarity = Similarity(), id_col
     star = long_.where((F.col("rep") != F.col("centre")) & similarity.sizes_fit(F.col("n"), F.col("nc"))).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
     pairs = keep(estimated(few.union(star).distinct(), reps, similarity))
 
-    sets = full_sets(docs, keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), similarity.width)
+    # kept, so that they are made once and that large partitions of the joins with them can be split
+    sets = keep(full_sets(docs, keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), similarity.width))
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.col("est").desc(), "a"))
     links = keep(links.union(verified(pairs.withColumn("k", best).where("k <= 2"), sets, similarity)))
     labels = components(links)
