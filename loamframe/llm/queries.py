@@ -91,6 +91,30 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM (
+    SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS x FROM l WHERE len(w) > 2)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g, range(3) s(k) WHERE n > 1 GROUP BY doc_id),
+o AS (SELECT doc_id, max(n) AS top FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM l) GROUP BY ALL) GROUP BY doc_id),
+f AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(lines) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS upper, len(regexp_extract_all(t, '[A-Za-z]')) AS letters,
+    len(regexp_extract_all(t, '[!?]')) AS shouts, len(regexp_extract_all(t, '[0-9]')) AS digits, coalesce(top, 0) AS top
+  FROM l LEFT JOIN r USING (doc_id) LEFT JOIN o USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols > 0.1::DOUBLE * n_words OR n_dup_lines > 0.5::DOUBLE * n_lines OR n_repeat_words > 0.45::DOUBLE * n_words OR upper > 0.4::DOUBLE * letters
+    OR shouts > 0.3::DOUBLE * n_words OR digits > 0.3::DOUBLE * word_chars OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR top > 0.25::DOUBLE * n_words) AS kept
+FROM b
+"""
+
+
 def op8_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -166,4 +190,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_web_archive": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op9_chat_windows": OP9_SQL, "op10_license_scan": _op10_sql()}
+    return {"op3_web_archive": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_windows": OP9_SQL, "op10_license_scan": _op10_sql()}
