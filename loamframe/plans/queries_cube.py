@@ -234,6 +234,15 @@ def merge_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.merge(a, b, ["pixel"])
 
 
+@query("""SELECT pixel, a.clicks, b.spent FROM (SELECT user_id AS pixel, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY ALL) a
+FULL JOIN (SELECT o_custkey AS pixel, round(sum(o_totalprice) + 1e-9, 2) AS spent FROM orders GROUP BY ALL) b USING (pixel)""")
+def merge_cubes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """merge_cubes over all orders."""
+    a = series(spark, sf_dir).where("band = 'click'").groupBy("pixel").agg(F.count("value").alias("clicks"))
+    b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("pixel")).agg(arith.rounded(F.sum("o_totalprice"), 2).alias("spent"))
+    return C.merge(a, b, ["pixel"])
+
+
 @query("""WITH a AS (SELECT user_id AS pixel, ts::DATE AS t, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ALL),
 b AS (SELECT user_id AS pixel, ts::DATE AS t, max(value) AS value FROM events WHERE event_type = 'error' GROUP BY ALL)
 SELECT pixel, t::VARCHAR AS t, coalesce(a.value, b.value) AS value FROM a FULL JOIN b USING (pixel, t)""")

@@ -90,6 +90,14 @@ def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("c_custkey", arith.rounded("b.lon", 6).alias("lon"), arith.rounded("b.lat", 6).alias("lat"))
 
 
+@query(f"SELECT c_custkey, round(lon + 1e-9, 6)::DOUBLE AS lon, round(lat + 1e-9, 6)::DOUBLE AS lat FROM ({_LONLAT})")
+def utm_round_trip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """utm_round_trip over all latitudes, special zones too."""
+    p = lonlat(spark, sf_dir).withColumn("zone", geo.utm_zone("lon", "lat")).withColumn("p", geo.utm_project("lon", "lat", "zone"))
+    back = p.withColumn("b", geo.utm_unproject("p.x", "p.y", "zone", F.col("lat") < 0))
+    return back.select("c_custkey", arith.rounded("b.lon", 6).alias("lon"), arith.rounded("b.lat", 6).alias("lat"))
+
+
 @query(f"""WITH p AS ({_LONLAT}) SELECT c_custkey, round(2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians(50 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(50)) * pow(sin(radians(10 - lon) / 2), 2)))) + 1e-9, 3) AS km FROM p""")
 def haversine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lonlat(spark, sf_dir).select("c_custkey", arith.rounded(geo.haversine_km("lon", "lat", F.lit(10.0), F.lit(50.0)), 3).alias("km"))
@@ -187,6 +195,17 @@ def expected_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflows.expected_gaps(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tile")), dates, catalogue).withColumn("date", F.col("date").cast("string"))
 
 
+@query("""WITH c AS (SELECT DISTINCT c_nationkey AS tile, o_orderdate::DATE AS date FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT t.tile, d.date::VARCHAR AS date FROM (SELECT n_nationkey AS tile FROM nation) t CROSS JOIN (SELECT DISTINCT o_orderdate::DATE AS date FROM orders) d
+LEFT JOIN c ON c.tile = t.tile AND c.date = d.date WHERE c.tile IS NULL""")
+def expected_gaps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """expected_gaps over all dates."""
+    orders = table(spark, sf_dir, "orders")
+    catalogue = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("tile"), F.to_date("o_orderdate").alias("date"))
+    dates = orders.select(F.to_date("o_orderdate").alias("date")).distinct()
+    return workflows.expected_gaps(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tile")), dates, catalogue).withColumn("date", F.col("date").cast("string"))
+
+
 @query("""WITH RECURSIVE b AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 500)::DOUBLE AS x, (s_suppkey * 53 % 300)::DOUBLE AS y FROM supplier),
 e AS (SELECT a.id AS i, c.id AS j FROM b a JOIN b c ON a.x < c.x + 12 AND c.x < a.x + 12 AND a.y < c.y + 12 AND c.y < a.y + 12 AND a.id <> c.id),
 r AS (SELECT id AS s, id AS t FROM b UNION SELECT r.s, e.j FROM r JOIN e ON e.i = r.t)

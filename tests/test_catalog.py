@@ -58,3 +58,16 @@ def test_the_rest_stands_alone(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q) and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+
+
+WHOLE = ["merge_cubes", "expected_gaps", "ranked_counts", "any_detected", "detection_counts", "utm_round_trip"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_queries_hold_more_than_the_cut_ones(spark, sf, name):
+    whole, cut = QUERIES[f"{name}_whole"](spark, sf), QUERIES[name](spark, sf)
+    if name == "detection_counts":
+        whole, cut = (x.groupBy().sum("n") for x in (whole, cut))
+        assert whole.first()[0] > cut.first()[0]
+    else:
+        assert whole.count() > cut.count()
