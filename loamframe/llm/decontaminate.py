@@ -5,7 +5,10 @@ the literal one, lower-cased tokens as they are, and the template one, in which
 numbers, units after numbers and names (capitalised words inside a sentence) are
 typed placeholders.  Windows of WIDTH tokens of the benchmark are hash-joined
 with those of the documents; template windows count only if they hold a
-placeholder and at least LEAST_LITERALS literal tokens.
+placeholder and at least LEAST_LITERALS literal tokens.  Where WIDTH tokens hold
+fewer, the window is widened: to the right up to the next literal token that
+makes them enough, at the item's end to the left; an item of fewer literal tokens
+in all, but at least one, is one template as a whole.
 
 Matched template windows are aligned by the distance of their positions.  Along
 one alignment every slot pairs a benchmark value with a document value; the
@@ -48,7 +51,7 @@ UNITS = (
 ).split()
 
 _U = np.uint64
-_LITERAL, _TEMPLATE, _WHOLE = _U(0x243F6A8885A308D3), _U(0x13198A2E03707344), _U(0xA4093822299F31D0)
+_LITERAL, _TEMPLATE, _WHOLE, _WIDE = _U(0x243F6A8885A308D3), _U(0x13198A2E03707344), _U(0xA4093822299F31D0), _U(0x082EFA98EC4E6C89)
 _NUM, _UNIT, _NAME = (K.mix(np.array([x], dtype=np.uint64))[0] for x in (11, 22, 33))
 _CLASS = np.zeros(256, dtype=np.int8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -116,6 +119,61 @@ class Tokens:
                 h = K.mix(h * _U(0x9E3779B97F4A7C15) + self.template[at + k])
             yield K.mix(h ^ _TEMPLATE ^ _U(w)), at, w, True
 
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: literal tokens before it (and in all), first and end token of its row, end of the window
+        widened to the right and first token of the one widened to the left, or -1 where the row is too short."""
+        m = len(self.rows)
+        literals = np.concatenate(([0], np.cumsum(~self.slot)))
+        at = np.concatenate((np.flatnonzero(~self.slot), [-1]))
+        counts = K.counts_by_row(self.rows, self.n)
+        ends = np.cumsum(counts)[self.rows] if m else self.rows
+        firsts = ends - counts[self.rows] if m else self.rows
+        k = literals[:m] + LEAST_LITERALS - 1
+        right = np.where(k < literals[-1], at[np.minimum(k, len(at) - 1)] + 1, -1)
+        k = literals[1:] - LEAST_LITERALS
+        left = np.where(k >= 0, at[np.maximum(k, 0)], -1)
+        return literals, firsts, ends, np.where(right <= ends, right, -1), np.where(left >= firsts, left, -1)
+
+    def span_templates(self, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Template hash of windows of any width."""
+        m = len(self.rows)
+        sums = np.zeros(m + 1, dtype=np.uint64)
+        np.cumsum(self.template * K.powers(m + 1)[:m], out=sums[1:])
+        return K.mix((sums[at + width] - sums[at]) * K.inverse_powers(m + 1)[at] ^ _WIDE ^ K.mix(width.astype(np.uint64)))
+
+    def wide_windows(self, longest: int, wholes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(hashes, first tokens, widths) of widened template windows of at most `longest` tokens, and of windows
+        of the given widths that hold too few literal tokens."""
+        literals, firsts, ends, right, left = self.spans()
+        tokens = np.arange(len(self.rows))
+        width = right - tokens
+        at = np.flatnonzero((right >= 0) & (width > WIDTH) & (width <= longest))
+        yield self.span_templates(at, width[at]), at, width[at]
+        width = tokens + 1 - left
+        last = np.flatnonzero((left >= 0) & (width > WIDTH) & (width <= longest))
+        yield self.span_templates(left[last], width[last]), left[last], width[last]
+        for w in wholes:
+            at = np.flatnonzero(tokens + w <= ends)
+            held = literals[at + w] - literals[at]
+            at = at[(held > 0) & (held < min(LEAST_LITERALS, w))]
+            yield self.span_templates(at, np.full(len(at), w)), at, np.full(len(at), w)
+
+    def wide_places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows whose template is too short, with the wider one that stands for each: hashes, tokens where the
+        narrow and the wide ones begin, and widths."""
+        literals, firsts, ends, right, left = self.spans()
+        at = np.arange(len(self.rows))
+        own = np.minimum(ends - firsts, WIDTH)
+        at = at[(own >= LEAST_LITERALS) & (at + own <= ends)]
+        own = own[at]
+        held, whole = literals[at + own] - literals[at], literals[ends[at]] - literals[firsts[at]]
+        poor = (held < LEAST_LITERALS) & (held < own) & (whole > 0)
+        at, whole = at[poor], whole[poor]
+        last = left[ends[at] - 1]
+        start = np.where(whole < LEAST_LITERALS, firsts[at], np.where(right[at] >= 0, at, last))
+        end = np.where((whole >= LEAST_LITERALS) & (right[at] >= 0), right[at], ends[at])
+        return self.span_templates(start, end - start), at, start, end - start
+
     def wholes(self, longest: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the whole text of rows with 1 to longest tokens, and their first token."""
         counts = K.counts_by_row(self.rows, self.n)
@@ -135,14 +193,16 @@ def unit_hashes() -> np.ndarray:
     return np.sort(K.span_hashes(buf, starts, ends))
 
 
-WINDOW_SCHEMA = "id long, hash long, pos int, width int, template boolean, n_tokens int, slots array<long>"
+WINDOW_SCHEMA = "id long, hash long, pos int, start int, width int, span int, template boolean, n_tokens int, slots array<long>"
 
 
-def window_rows(texts: DataFrame, widths: list[int], packed: np.ndarray | None = None) -> DataFrame:
+def window_rows(texts: DataFrame, widths: list[int], packed: np.ndarray | None = None, longest: int = 0, wholes: list[int] | None = None) -> DataFrame:
     """Windows of every text (id, text): hash, position, width, channel, the text's tokens and the values in slots (0 elsewhere).
 
-    A text of fewer than LEAST_LITERALS tokens gives itself, with width 0.  With a
-    filter only windows that it may hold are given.
+    A text of fewer than LEAST_LITERALS tokens gives itself, with width 0.  A widened
+    template begins at `start` and has `span` tokens; for `wholes` None each stands
+    at the position and width of its narrow window, else at its own.  With a filter
+    only windows that it may hold are given.
     """
     spark = texts.sparkSession
     units = unit_hashes()
@@ -155,21 +215,27 @@ def window_rows(texts: DataFrame, widths: list[int], packed: np.ndarray | None =
                 counts = K.counts_by_row(t.rows, t.n)
                 first = np.cumsum(counts) - counts
                 ids = batch.column(0).slice(i, j - i)
-                for h, at, w, template in [*t.windows(widths), (*t.wholes(LEAST_LITERALS - 1), 0, False)]:
+                found = [(h, at, at, np.full(len(at), w), np.full(len(at), w), template) for h, at, w, template in [*t.windows(widths), (*t.wholes(LEAST_LITERALS - 1), 0, False)]]
+                if wholes is None:
+                    h, at, start, span = t.wide_places()
+                    found.append((h, at, start, np.minimum(counts[t.rows[at]], WIDTH), span, True))
+                else:
+                    found += [(h, at, at, span, span, True) for h, at, span in t.wide_windows(longest, wholes)]
+                for h, at, start, width, span, template in found:
                     if shared is not None:
                         near = bloom.may_hold(shared.value, h)
-                        h, at = h[near], at[near]
+                        h, at, start, width, span = (x[near] for x in (h, at, start, width, span))
                     if not len(h):
                         continue
                     row = t.rows[at]
                     if template:
-                        each = at[:, None] + np.arange(w)
-                        values = np.where(t.slot[each], t.literal[each].view(np.int64), 0).ravel()
-                        slots = K.ragged(values, np.full(len(at), w), pa.int64())
+                        each = np.arange(span.sum()) + np.repeat(start - (np.cumsum(span) - span), span)
+                        slots = K.ragged(np.where(t.slot[each], t.literal[each].view(np.int64), 0), span, pa.int64())
                     else:
                         slots = pa.nulls(len(at), pa.list_(pa.int64()))
-                    columns = [ids.take(pa.array(row)), h.view(np.int64), (at - first[row]).astype(np.int32), np.full(len(at), w, np.int32), np.full(len(at), template), counts[row].astype(np.int32), slots]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "hash", "pos", "width", "template", "n_tokens", "slots"])
+                    places = [(x - first[row]).astype(np.int32) for x in (at, start)]
+                    columns = [ids.take(pa.array(row)), h.view(np.int64), *places, width.astype(np.int32), span.astype(np.int32), np.full(len(at), template), counts[row].astype(np.int32), slots]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "hash", "pos", "start", "width", "span", "template", "n_tokens", "slots"])
 
     return texts.where(F.col("id").isNotNull()).mapInArrow(work, WINDOW_SCHEMA)
 
@@ -183,16 +249,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_
     entries = keep(
         window_rows(items, list(range(LEAST_LITERALS, WIDTH + 1)))
         .where(F.col("width") == own)
-        .select(F.col("id").alias("item"), "hash", "template", "width", F.col("pos").alias("item_pos"), "n_tokens", F.col("slots").alias("item_slots"))
+        .select(F.col("id").alias("item"), "hash", "template", "width", "span", F.col("pos").alias("item_pos"), F.col("start").alias("item_start"), "n_tokens", F.col("slots").alias("item_slots"))
     )
     widths = sorted(r.width for r in entries.select("width").distinct().collect() if r.width)  # three at most
+    wide = entries.where(F.col("template") & ((F.col("span") > F.col("width")) | (F.size(F.filter("item_slots", lambda v: v == 0)) < LEAST_LITERALS)))
+    lengths = [(r.span, r.whole) for r in wide.select("span", (F.size(F.filter("item_slots", lambda v: v == 0)) < LEAST_LITERALS).alias("whole")).distinct().collect()]
+    longest, wholes = max((n for n, whole in lengths if not whole), default=0), sorted(n for n, whole in lengths if whole)
     n_item = entries.where("NOT template").groupBy("item").agg(F.count_distinct("item_pos").alias("n_item"))
     packed = bloom.build(entries, "hash", entries.count())
-    found = window_rows(texts, widths, packed).select("id", "hash", "template", "pos", "slots")
+    found = window_rows(texts, widths, packed, longest, wholes).select("id", "hash", "template", "pos", "slots")
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p.a != 0)
     aligned = (
         found.join(entries, ["hash", "template"])
-        .select("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "template", F.coalesce(pairs, F.array().cast("array<struct<a:long,b:long>>")).alias("pairs"))
+        .select("id", "item", (F.col("pos") - F.col("item_start")).alias("shift"), "item_pos", "template", F.coalesce(pairs, F.array().cast("array<struct<a:long,b:long>>")).alias("pairs"))
         .groupBy("id", "item", "shift")
         .agg(
             F.collect_set(F.struct("item_pos", "template")).alias("places"),

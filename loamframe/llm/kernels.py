@@ -22,6 +22,7 @@ _rng = np.random.Generator(np.random.PCG64(20240611))
 BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
 _powers = np.ones(1, dtype=np.uint64)
+_inverse_powers = np.ones(1, dtype=np.uint64)
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -48,6 +49,16 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """The first n powers of the hash base's inverse."""
+    global _inverse_powers
+    if len(_inverse_powers) < n:
+        full = np.full(max(n, 2 * len(_inverse_powers), 1024), pow(int(_BASE), -1, 1 << 64), dtype=np.uint64)
+        full[0] = 1
+        _inverse_powers = np.multiply.accumulate(full)
+    return _inverse_powers[:n]
+
+
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES, prepare: Callable[[pa.Array], pa.Array] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive pieces of a string column, each prepared by itself."""
     if isinstance(texts, pa.ChunkedArray):

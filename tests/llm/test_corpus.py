@@ -60,6 +60,25 @@ def test_short_items_and_edges(spark, items, messy, no_documents):
     assert kept.columns == messy.columns and kept.count() == messy.count() - 1
 
 
+@pytest.mark.parametrize(
+    "item,text,kind",
+    [
+        ("Add 12 km and 7 km to 30 km.", "Now: Add 15 km and 9 km to 41 km. Done", "reparameterised"),
+        ("Compute 17 + 25 - 3", "Please compute 18 + 21 - 4 now", "reparameterised"),
+        ("Compute 17 + 25 - 3 + 9 - 11", "compute 1 + 2 - 4 + 5 - 6", "reparameterised"),
+        ("Multiply 3 m by 4 m, 5 m and 6 m, then subtract 7 kg, 8 kg, 9 kg", "We multiply 13 m by 14 m, 15 m and 16 m, then subtract 17 kg, 18 kg, 19 kg", "reparameterised"),
+        ("Add 12 km and 7 km to 30 km.", "Add 12 km and 7 km to 30 km.", "verbatim"),
+        ("Add 12 km and 7 km to 30 km.", "Take 15 km or 9 km from 41 km.", None),
+        ("Compute 17 + 25 - 3", "Please compute 18 + 21 now, says everyone", None),
+        ("12 + 25 - 3", "the years 18 21 4 and more", None),
+    ],
+)
+def test_items_dense_in_slots(spark, item, text, kind):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame([(7, text), (8, "")], "doc_id long, text string"), items).collect()
+    assert [(r.doc_id, r.kind) for r in found] == ([(7, kind)] if kind else [])
+
+
 def tokens(text):
     return [t for t in re.findall(r"[^\W\d_]+|\d+", text.lower())]
 
