@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become tokens, runs of letters or of digits.  Two channels are searched:
+Texts become tokens, runs of letters or numbers; runs of digits that one '.' or ','
+joins are one number.  Two channels are searched:
 the literal one, lower-cased tokens as they are, and the template one, in which
 numbers, units after numbers and names (capitalised words inside a sentence) are
 typed placeholders.  Windows of WIDTH tokens of the benchmark are hash-joined
@@ -11,9 +12,9 @@ makes them enough, at the item's end to the left; an item of fewer literal token
 in all, but at least one, is one template as a whole.
 
 Matched template windows are aligned by the distance of their positions.  Along
-one alignment every slot pairs a benchmark value with a document value; the
-pairing must be one to one, else the alignment is no re-parameterised question
-and its template windows do not count.
+one alignment every slot pairs a benchmark value with a document value, and one
+benchmark value has one document value; template windows that hold a value with
+several do not count.  Two benchmark values may become the same.
 
 A document leaks an item if, with consistent slots, at least `coverage` of the
 item's windows are found in it.  `kind` is verbatim if literal windows alone reach
@@ -56,6 +57,7 @@ _NUM, _UNIT, _NAME = (K.mix(np.array([x], dtype=np.uint64))[0] for x in (11, 22,
 _CLASS = np.zeros(256, dtype=np.int8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _CLASS[list(range(48, 58))] = 2
+_MARKS = np.array(list(b".,"), dtype=np.uint8)
 _IS_TERM = np.isin(np.arange(256), list(b".!?:;\n"))
 
 
@@ -89,7 +91,23 @@ class Tokens:
         self.rows = np.concatenate((a[2], b[2]))[order]
         number = order >= len(a[0])
         self.literal = K.span_hashes(low, self.starts, ends)
-        m = len(order)
+        #: of each token, its position in its row among runs of letters or digits
+        counts = K.counts_by_row(self.rows, self.n)
+        self.run = np.arange(len(order)) - (np.cumsum(counts) - counts)[self.rows]
+        # digits joined by one mark are one number
+        joined = np.zeros(len(order), dtype=bool)
+        joined[1:] = number[1:] & number[:-1] & (self.rows[1:] == self.rows[:-1]) & (self.starts[1:] == ends[:-1] + 1)
+        at = np.flatnonzero(joined)
+        joined[at] = np.isin(buf[ends[at - 1]], _MARKS)
+        if joined.any():
+            head = np.flatnonzero(~joined)
+            length = np.diff(np.append(head, len(order)))
+            rank = np.arange(len(order)) - np.repeat(head, length)
+            together = K.mix(np.add.reduceat(self.literal * K.powers(int(length.max()))[rank], head))
+            self.literal = np.where(length > 1, together, self.literal[head])
+            ends = ends[head + length - 1]
+            self.starts, self.rows, self.run, number = (x[head] for x in (self.starts, self.rows, self.run, number))
+        m = len(self.rows)
         same = np.zeros(m, dtype=bool)
         same[1:] = self.rows[1:] == self.rows[:-1]
         after_number = np.zeros(m, dtype=bool)
@@ -193,11 +211,11 @@ def unit_hashes() -> np.ndarray:
     return np.sort(K.span_hashes(buf, starts, ends))
 
 
-WINDOW_SCHEMA = "id long, hash long, pos int, start int, width int, span int, template boolean, n_tokens int, slots array<long>"
+WINDOW_SCHEMA = "id long, hash long, run int, pos int, start int, width int, span int, template boolean, n_tokens int, slots array<long>"
 
 
 def window_rows(texts: DataFrame, widths: list[int], packed: np.ndarray | None = None, longest: int = 0, wholes: list[int] | None = None) -> DataFrame:
-    """Windows of every text (id, text): hash, position, width, channel, the text's tokens and the values in slots (0 elsewhere).
+    """Windows of every text (id, text): hash, position among runs of letters or digits and among tokens, width, channel, the text's tokens and the values in slots (0 elsewhere).
 
     A text of fewer than LEAST_LITERALS tokens gives itself, with width 0.  A widened
     template begins at `start` and has `span` tokens; for `wholes` None each stands
@@ -234,14 +252,14 @@ def window_rows(texts: DataFrame, widths: list[int], packed: np.ndarray | None =
                     else:
                         slots = pa.nulls(len(at), pa.list_(pa.int64()))
                     places = [(x - first[row]).astype(np.int32) for x in (at, start)]
-                    columns = [ids.take(pa.array(row)), h.view(np.int64), *places, width.astype(np.int32), span.astype(np.int32), np.full(len(at), template), counts[row].astype(np.int32), slots]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "hash", "pos", "start", "width", "span", "template", "n_tokens", "slots"])
+                    columns = [ids.take(pa.array(row)), h.view(np.int64), t.run[at].astype(np.int32), *places, width.astype(np.int32), span.astype(np.int32), np.full(len(at), template), counts[row].astype(np.int32), slots]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "hash", "run", "pos", "start", "width", "span", "template", "n_tokens", "slots"])
 
     return texts.where(F.col("id").isNotNull()).mapInArrow(work, WINDOW_SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per leaking pair: id, item id, kind, coverage, n_windows (found) and first_token (in the document)."""
+    """One row per leaking pair: id, item id, kind, coverage, n_windows (found) and first_token (in the document, counted in runs of letters or digits)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     # an item's windows are as wide as its tokens allow; 0 stands for a whole text
@@ -257,25 +275,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_
     longest, wholes = max((n for n, whole in lengths if not whole), default=0), sorted(n for n, whole in lengths if whole)
     n_item = entries.where("NOT template").groupBy("item").agg(F.count_distinct("item_pos").alias("n_item"))
     packed = bloom.build(entries, "hash", entries.count())
-    found = window_rows(texts, widths, packed, longest, wholes).select("id", "hash", "template", "pos", "slots")
+    found = window_rows(texts, widths, packed, longest, wholes).select("id", "hash", "template", "run", "pos", "slots")
     pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p.a != 0)
     aligned = (
         found.join(entries, ["hash", "template"])
-        .select("id", "item", (F.col("pos") - F.col("item_start")).alias("shift"), "item_pos", "template", F.coalesce(pairs, F.array().cast("array<struct<a:long,b:long>>")).alias("pairs"))
+        .select("id", "item", (F.col("pos") - F.col("item_start")).alias("shift"), "item_pos", "run", "template", F.coalesce(pairs, F.array().cast("array<struct<a:long,b:long>>")).alias("pairs"))
         .groupBy("id", "item", "shift")
         .agg(
-            F.collect_set(F.struct("item_pos", "template")).alias("places"),
-            F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+            F.collect_set(F.struct("item_pos", "run", "template", F.transform("pairs", lambda p: p.a).alias("values"))).alias("places"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"),
         )
     )
-    n = F.size("pairs")
-    one_to_one = (F.size(F.array_distinct("pairs.a")) == n) & (F.size(F.array_distinct("pairs.b")) == n)
-    places = aligned.select("id", "item", "shift", one_to_one.alias("sound"), F.explode("places").alias("place")).where(F.col("sound") | ~F.col("place.template"))
+    # benchmark values with more than one document value
+    later = F.slice("pairs", 2, F.greatest(F.size("pairs") - 1, F.lit(0)))
+    torn = F.array_compact(F.zip_with("pairs", later, lambda p, q: F.when(p.a == q.a, p.a)))
+    places = aligned.select("id", "item", torn.alias("torn"), F.explode("places").alias("place")).where(~(F.col("place.template") & F.arrays_overlap("place.values", "torn")))
     at = F.col("place.item_pos")
     sums = places.groupBy("id", "item").agg(
         F.count_distinct(at).alias("n_windows"),
         F.count_distinct(F.when(~F.col("place.template"), at)).alias("n_literal"),
-        F.min(at + F.col("shift")).alias("first_token"),
+        F.min("place.run").alias("first_token"),
     )
     share = F.col("n_windows") / F.col("n_item")
     kind = F.when(F.col("n_literal") / F.col("n_item") >= coverage, "verbatim").otherwise("reparameterised")

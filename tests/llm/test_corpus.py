@@ -79,6 +79,29 @@ def test_items_dense_in_slots(spark, item, text, kind):
     assert [(r.doc_id, r.kind) for r in found] == ([(7, kind)] if kind else [])
 
 
+@pytest.mark.parametrize(
+    "item,text,kind",
+    [
+        # two values become one
+        ("Then we bought 3 apples and later 5 apples at the market", "Then we bought 4 apples and later 4 apples at the market", "reparameterised"),
+        # decimals and thousands are single numbers
+        ("She bought 2.5 kg and 5 boxes of the ripe pears there", "She bought 3.5 kg and 7 boxes of the ripe pears there", "reparameterised"),
+        ("A farm sold 12 eggs a day for weeks", "A farm sold 1,200 eggs a day for weeks", "reparameterised"),
+        # one contradiction costs only the windows that hold it
+        (
+            "There were 3 cats here and 8 dogs in the old yard with 9 birds up on the big roof and 3 mice",
+            "There were 4 cats here and 6 dogs in the old yard with 7 birds up on the big roof and 5 mice",
+            "reparameterised",
+        ),
+        ("We see 3 cats and then 3 dogs and then 3 birds", "We see 4 cats and then 5 dogs and then 6 birds", None),
+    ],
+)
+def test_slots_of_copies(spark, item, text, kind):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame([(7, "On page 1.5: " + text)], "doc_id long, text string"), items).collect()
+    assert [(r.kind, r.first_token >= 4) for r in found] == ([(kind, True)] if kind else [])
+
+
 def tokens(text):
     return [t for t in re.findall(r"[^\W\d_]+|\d+", text.lower())]
 
