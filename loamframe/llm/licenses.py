@@ -7,6 +7,12 @@ template's: 2 * common / (sizes added).  At a threshold t only templates of
 between t / (2 - t) and (2 - t) / t times the unit's size can reach it; other
 pairs are pruned before any bigram is looked up.
 
+A notice inside a longer line, or wrapped over lines of a longer block, is found by
+windows: runs of the whole text's words that begin and end with a bigram of the
+template and have at most (2 - t) / t times its size, scored by the same measure.  They only add
+licences that no unit of the document gives; n_units then counts the distinct
+windows of the best score.  A notice of one word is sought in units alone.
+
 All is DataFrame expressions.  Defined results: null or empty texts and units
 without words match nothing; a unit of one word has that word as its only bigram;
 equal units of a text count once; rows with one id are one document; null ids are
@@ -106,6 +112,41 @@ def holds_any(text: Column, parts: list[tuple[str, ...]]) -> Column:
     return F.exists(F.array(F.lower(text)), found)
 
 
+def windows(texts: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """Best windows of texts (id, text) as id, license, dice and unit.
+
+    A text's bigrams that a template holds are dealt to blocks of the longest window's
+    width, each to its own and the one before, so that a window lies in the block of its start.
+    """
+    w = words(F.col("text"))
+    n = F.size("w")
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    placed = texts.select("id", F.xxhash64("text").alias("doc"), w.alias("w")).select("id", "doc", F.posexplode(pairs).alias("p", "bigram"))
+    width = F.ceil(F.col("m") * (2 - threshold) / threshold - 1e-9).cast("int")
+    met = placed.join(entries.where(F.contains("bigram", F.lit(" "))), "bigram").withColumn("width", width)
+    own = F.floor(F.col("p") / F.col("width"))
+    met = met.select("id", "doc", "license", "template", "m", "width", F.struct("p", F.xxhash64("bigram").alias("b")).alias("hit"), F.explode(F.array(own - 1, own)).alias("block"))
+    groups = met.groupBy("id", "doc", "license", "template", "m", "width", "block").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    groups = groups.where(F.size(F.array_distinct("hits.b")) >= F.col("m") * threshold / (2 - threshold) - 1e-9)
+
+    def best(start: Column) -> Column:
+        """The best window that begins at a hit: dice and the bigrams met."""
+        none = F.struct(F.array().cast("array<bigint>").alias("seen"), F.lit(0).alias("k"), F.lit(0.0).alias("dice"), F.lit(0).cast("bigint").alias("unit"))
+
+        def longer(a: Column, x: Column) -> Column:
+            seen = F.when(F.array_contains(a.seen, x.b), a.seen).otherwise(F.concat(a.seen, F.array(x.b)))
+            dice = 2.0 * F.size(seen) / (x.p - start.p - a.k + F.size(seen) + F.col("m"))
+            better = dice > a.dice
+            return F.struct(seen.alias("seen"), (a.k + 1).alias("k"), F.when(better, dice).otherwise(a.dice).alias("dice"), F.when(better, F.xxhash64(seen)).otherwise(a.unit).alias("unit"))
+
+        inside = F.filter("hits", lambda x: (x.p >= start.p) & (x.p < start.p + F.col("width")))
+        return F.aggregate(inside, none, longer, lambda a: F.struct(a.dice.alias("dice"), a.unit.alias("unit")))
+
+    starts = F.filter("hits", lambda x: F.floor(x.p / F.col("width")) == F.col("block"))
+    found = groups.select("id", "license", F.explode(F.transform(starts, best)).alias("best"))
+    return found.select("id", "license", "best.dice", "best.unit").where(F.col("dice") >= threshold)
+
+
 def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and licence found: id, license, dice (the best) and n_units (units that match).
 
@@ -123,7 +164,8 @@ def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, th
     blocks = F.when(F.regexp_like("text", F.lit(r"\n\s*\n")), F.split("text", r"\n\s*\n")).otherwise(F.array().cast("array<string>"))
     telling = telling_parts([r.w for r in known.select("w").collect()], threshold)
     whole = F.when(F.contains("text", F.lit("\n")), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = df.select(F.col(id_col).alias("id"), text.alias("text")).where(holds_any(F.col("text"), telling)).select("id", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), blocks, whole))).alias("unit"))
+    texts = df.select(F.col(id_col).alias("id"), text.alias("text")).where(holds_any(F.col("text"), telling))
+    units = texts.select("id", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), blocks, whole))).alias("unit"))
     units = units.where(holds_any(F.col("unit"), telling))
     sized = units.withColumn("w", words(F.col("unit"))).where(F.size("w") > 0).select("id", F.array_join("w", " ").alias("unit"), bigrams(F.col("w")).alias("b"))
     fit = sized.where(F.size("b").between(low - 1e-9, high + 1e-9) & F.arrays_overlap("b", F.array(*map(F.lit, limits["all"])))).select("id", F.xxhash64("unit").alias("unit"), "b").distinct()
@@ -132,5 +174,7 @@ def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, th
     met = fit.select("id", "unit", F.size("b").alias("n"), F.explode("b").alias("bigram")).join(entries, "bigram").where(fits)
     dice = met.groupBy("id", "unit", "license", "template", "n", "m").agg(F.count(F.lit(1)).alias("common"))
     dice = dice.withColumn("dice", 2 * F.col("common") / (F.col("n") + F.col("m"))).where(F.col("dice") >= threshold)
-    found = dice.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.count_distinct("unit").alias("n_units"))
+    inner = windows(texts, entries, threshold).groupBy("id", "license", "dice").agg(F.count_distinct("unit").alias("n_units")).select("id", "license", F.lit(False).alias("natural"), "dice", "n_units")
+    outer = dice.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.count_distinct("unit").alias("n_units")).select("id", "license", F.lit(True).alias("natural"), "dice", "n_units")
+    found = outer.unionByName(inner).groupBy("id", "license").agg(F.max(F.struct("natural", "dice", "n_units")).alias("best")).select("id", "license", "best.dice", "best.n_units")
     return found.withColumnRenamed("id", id_col)

@@ -266,6 +266,19 @@ def test_licenses_match_brute_force(spark, messy, no_documents):
     assert licenses.scan(df, {}).count() == 0
 
 
+def test_embedded_and_wrapped_notices(spark):
+    filler = "some words of a longer text that go on for a while, and on "
+    texts = [
+        "Copyright 2020 Foo. All rights reserved.",
+        "This file is licensed under the MIT License.",
+        filler * 300 + "Released under the BSD License. " + filler * 300,
+        f"{filler}\n{filler} this work is\nreleased into the public\ndomain. {filler}\n{filler}",
+        filler * 2 + "permission is hereby granted, all rights of others reserved",
+    ]
+    found = {(r.doc_id, r.license): (round(r.dice, 9), r.n_units) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {(0, "proprietary"): (1.0, 1), (1, "MIT"): (1.0, 1), (2, "BSD"): (1.0, 1), (3, "public-domain"): (1.0, 1)}
+
+
 def test_telling_parts_miss_no_match():
     rng = np.random.default_rng(3)
     notices = [re.findall(r"[a-z0-9]+", t.lower()) for ts in licenses.TEMPLATES.values() for t in ts]
