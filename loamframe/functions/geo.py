@@ -172,6 +172,13 @@ def contains(ring: Column | str, x: Column | str, y: Column | str) -> Column:
     return crossings % 2 == 1
 
 
+def crossings(ring: Column | str, y: Column | str) -> Column:
+    """Where the edges cross a horizontal line."""
+    y = as_col(y)
+    cut = F.filter(_edges(as_col(ring)), lambda e: (e.p.y > y) != (e.q.y > y))
+    return F.transform(cut, lambda e: (e.q.x - e.p.x) * (y - e.p.y) / (e.q.y - e.p.y) + e.p.x)
+
+
 def edge_distance(ring: Column | str, x: Column | str, y: Column | str) -> Column:
     """Distance from a point to the nearest edge."""
     x, y = as_col(x), as_col(y)

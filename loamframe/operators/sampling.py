@@ -72,7 +72,9 @@ def points_in_polygons(polygons: DataFrame, id_col: str, ring_col: str = "ring",
     """polygons with a point (px, py) inside, at least margin from every edge.
 
     Candidates are hashed into the bounding box and the first accepted one is
-    taken; without one, and for the given share of polygons, it is the centroid.
+    taken.  Without one, a point is drawn inside on the lines at the candidates'
+    heights; only if none of these keeps the margin either is the margin dropped.  For
+    the given share of polygons it is the centroid, if that lies inside.
     """
     box = geo.ring_box(ring_col)
     trial = F.explode(F.sequence(F.lit(1), F.lit(candidates)))
@@ -80,12 +82,21 @@ def points_in_polygons(polygons: DataFrame, id_col: str, ring_col: str = "ring",
     u, v = hash_fraction(id_col, "_k", seed=seed + "x"), hash_fraction(id_col, "_k", seed=seed + "y")
     tries = tries.withColumn("_x", F.col("_box.minx") + u * (F.col("_box.maxx") - F.col("_box.minx"))).withColumn("_y", F.col("_box.miny") + v * (F.col("_box.maxy") - F.col("_box.miny")))
     good = geo.contains(ring_col, "_x", "_y") & (geo.edge_distance(ring_col, "_x", "_y") >= margin)
-    first = tries.where(good).groupBy(id_col).agg(F.min(F.struct("_k", "_x", "_y")).alias("_p"))
+    # on a line at a candidate's height, a point of the widest part inside
+    cross = F.array_sort(geo.crossings(ring_col, "_y"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size("_r") / 2).cast("int") - 1), lambda i: F.struct((F.get("_r", 2 * i + 1) - F.get("_r", 2 * i)).alias("d"), F.get("_r", 2 * i).alias("x")))
+    drawn = F.struct("_k", "_x", "_y")
+    first = tries.where(good).groupBy(id_col).agg(F.min(drawn).alias("_p"))
+    left = polygons.join(first, id_col, "left_anti").select(id_col).distinct()
+    lines = tries.join(left, id_col, "left_semi").withColumn("_r", cross).where(F.size("_r") >= 2).withColumn("_w", F.array_max(parts))
+    lines = lines.withColumn("_x", F.col("_w.x") + u * F.col("_w.d")).where(geo.contains(ring_col, "_x", "_y"))
+    far = geo.edge_distance(ring_col, "_x", "_y") >= margin
+    second = lines.groupBy(id_col).agg(F.coalesce(F.min(F.when(far, drawn)), F.min(drawn)).alias("_p"))
     central = hash_fraction(id_col, seed=seed + "c") < centroid_share
-    middle = geo.centroid(ring_col)
-    out = polygons.join(first, id_col, "left").withColumn("_c", middle)
-    x = F.when(central | F.col("_p").isNull(), F.col("_c.x")).otherwise(F.col("_p._x"))
-    y = F.when(central | F.col("_p").isNull(), F.col("_c.y")).otherwise(F.col("_p._y"))
+    out = polygons.join(first.unionByName(second), id_col, "left").withColumn("_c", geo.centroid(ring_col))
+    middle = F.col("_p").isNull() | (central & geo.contains(ring_col, F.col("_c.x"), F.col("_c.y")))
+    x = F.when(middle, F.col("_c.x")).otherwise(F.col("_p._x"))
+    y = F.when(middle, F.col("_c.y")).otherwise(F.col("_p._y"))
     return out.withColumn("px", x).withColumn("py", y).drop("_p", "_c")
 
 

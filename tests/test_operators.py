@@ -144,6 +144,15 @@ def test_points_lie_inside(spark):
     assert len(ok) == 50 and all(r.i and r.d >= 0.5 for r in ok)
 
 
+def test_points_lie_inside_thin_and_concave_rings(spark):
+    u = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (9.99, 10.0), (9.99, 0.01), (0.01, 0.01), (0.01, 10.0), (0.0, 10.0)]
+    thin = [(0.0, 0.0), (10.0, 10.0), (10.0, 10.001), (0.0, 0.001)]
+    shapes = spark.createDataFrame([(k, u if k % 2 else thin) for k in range(20)], "id int, ring array<struct<x:double,y:double>>")
+    for share in (0.0, 1.0):
+        out = sampling.points_in_polygons(shapes, "id", margin=0.5, centroid_share=share)
+        assert out.count() == 20 and out.where(geo.contains("ring", "px", "py")).count() == 20
+
+
 def test_tables(spark):
     a = spark.createDataFrame([(1, "x")], "k int, a string")
     b = spark.createDataFrame([(2, 0.5)], "k int, b double")
