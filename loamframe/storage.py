@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
@@ -41,9 +42,49 @@ def keep(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back; columns can be pruned and filters pushed."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+def read_back(df: DataFrame, path: str) -> DataFrame:
+    """Write df to path and read it again; columns can be pruned, filters pushed, and the size is known to the optimizer."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder; it stays for whoever reads the result."""
+    return read_back(df, fresh_path(df.sparkSession, name))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours with the file system that it lies in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables and broadcasts of one job, given back when the block ends.
+
+    Everything that reads them must have run by then: results that outlive the
+    block are `written` inside it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+        self.broadcasts: list[Broadcast] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table in the shared folder until the block ends."""
+        self.paths.append(fresh_path(self.spark, name))
+        return read_back(df, self.paths[-1])
+
+    def broadcast(self, value) -> Broadcast:
+        self.broadcasts.append(self.spark.sparkContext.broadcast(value))
+        return self.broadcasts[-1]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for shared in self.broadcasts:
+            shared.destroy()
+        for path in self.paths:
+            delete(self.spark, path)
