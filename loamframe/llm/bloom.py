@@ -34,30 +34,34 @@ def size_for(n: int) -> int:
 
 
 def build(keys: DataFrame, column: str, n: int) -> np.ndarray:
-    """The filter of a column of longs as packed bits; n is their number."""
+    """The filter of a column of longs as packed bits; n is their number.
+
+    Tasks send the 64-bit words of the filter that they fill; these are united by
+    a grouping, and at most MAX_BITS / 64 rows reach the driver.
+    """
     bits = size_for(n)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(bits, dtype=bool)
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for salt in _SALTS:
-                found[place(own, salt, bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()], pa.binary())], names=["bits"])
+            at = np.sort(np.concatenate([place(own, salt, bits) for salt in _SALTS]))
+            words, first = np.unique(at >> 6, return_index=True)
+            filled = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(filled.view(np.int64))], names=["word", "filled"])
 
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    rows = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).coalesce(8).mapInArrow(partial, "bits binary")
-    for row in rows.toLocalIterator():  # at most 8 rows of at most 8 MB, one at a time
-        out |= np.frombuffer(row.bits, dtype=np.uint8)
-    return out
+    rows = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(partial, "word long, filled long")
+    found = rows.groupBy("word").agg(F.bit_or("filled").alias("filled")).toPandas()
+    out = np.zeros(bits >> 6, dtype=np.int64)
+    out[found["word"].to_numpy(dtype=np.int64)] = found["filled"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
 
 
-def may_hold(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Indices of the keys that may be in the filter, among them all that are."""
     left = np.arange(len(keys))
     for salt in _SALTS:
-        at = place(keys[left], salt, len(packed) * 8)
-        left = left[(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+        at = place(keys[left], salt, len(words) * 64)
+        left = left[(words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
     return left
 
 
@@ -67,28 +71,3 @@ def free_name(df: DataFrame, name: str = "_key") -> str:
     while name in taken:
         name = "_" + name
     return name
-
-
-def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """df without the rows whose id_col (a long) is in the column `id` of ids; rows with a null id stay.
-
-    Rows that the filter rules out pass as they are, so only the others, few more
-    than are dropped, are shuffled to the exact join.
-    """
-    packed = df.sparkSession.sparkContext.broadcast(build(ids, "id", ids.count()))
-    at = df.columns.index(id_col)
-
-    def split(suspect: bool):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = batch.column(at)
-                near = np.zeros(batch.num_rows, dtype=bool)
-                near[may_hold(packed.value, own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))] = True
-                near &= own.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(near == suspect))
-
-        return work
-
-    clear, suspects = (df.mapInArrow(split(x), df.schema) for x in (False, True))
-    name = free_name(df)
-    return clear.union(suspects.join(ids.select(F.col("id").alias(name)), F.col(id_col) == F.col(name), "left_anti"))

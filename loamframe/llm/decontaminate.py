@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from loamframe.llm import bloom
 from loamframe.llm import kernels as K
-from loamframe.storage import keep
+from loamframe.storage import keep, written
 
 WIDTH, LEAST_LITERALS = 5, 3
 COVERAGE = 0.5
@@ -255,7 +255,7 @@ def window_rows(texts: DataFrame, widths: list[int], packed: np.ndarray | None =
                     columns = [ids.take(pa.array(row)), h.view(np.int64), t.run[at].astype(np.int32), *places, width.astype(np.int32), span.astype(np.int32), np.full(len(at), template), counts[row].astype(np.int32), slots]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "hash", "run", "pos", "start", "width", "span", "template", "n_tokens", "slots"])
 
-    return texts.where(F.col("id").isNotNull()).mapInArrow(work, WINDOW_SCHEMA)
+    return K.in_batches(texts.where(F.col("id").isNotNull()), work, WINDOW_SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -304,5 +304,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows that leak an item; rows with a null id stay."""
-    found = keep(leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("id")).distinct())
-    return bloom.without(docs, found, id_col)
+    key = bloom.free_name(docs)
+    found = written(leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias(key)).distinct(), "leaks")
+    return docs.join(found, F.col(id_col) == F.col(key), "left_anti")

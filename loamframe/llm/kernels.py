@@ -3,19 +3,24 @@
 A text column is handled as one flat UTF-8 byte buffer plus offsets, so that
 splitting and hashing words costs a few numpy passes instead of one Python
 object per word.  Nulls count as empty texts.  Long columns are cut into
-pieces of bounded size; a single longer text forms a piece of its own.
+pieces of bounded size; a single longer text forms a piece of its own, whose
+words are hashed in runs of bounded size.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Small enough for the arrays of a piece to stay in a core's cache and a task's memory to stay low.
 PIECE_BYTES = 1 << 18
+#: Bytes of a batch of rows on its way to Python, at most, but for a single larger row.
+BATCH_BYTES = 4 << 20
 _U = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
@@ -59,6 +64,15 @@ def inverse_powers(n: int) -> np.ndarray:
     return _inverse_powers[:n]
 
 
+def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with small batches: from here on the session's batches hold at most BATCH_BYTES."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"(-?\d+)([bkmg]?)b?", conf.get(name).lower()).groups()
+    if not 0 < int(size) << {"k": 10, "m": 20, "g": 30}.get(unit, 0) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES, prepare: Callable[[pa.Array], pa.Array] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive pieces of a string column, each prepared by itself."""
     if isinstance(texts, pa.ChunkedArray):
@@ -102,11 +116,18 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     lens = ends - starts
-    total = int(lens.sum())
-    first = np.cumsum(lens) - lens
-    at = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
-    codes = BYTE_CODES[buf[at + np.repeat(starts, lens)]] * powers(int(lens.max()))[at]
-    return mix(np.add.reduceat(codes, first) ^ (lens.astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
+    so_far = np.cumsum(lens)
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        before = so_far[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(so_far, before + PIECE_BYTES, side="right")))
+        own, first = lens[i:j], so_far[i:j] - lens[i:j] - before
+        at = np.arange(so_far[j - 1] - before) - np.repeat(first, own)
+        codes = BYTE_CODES[buf[at + np.repeat(starts[i:j], own)]] * powers(int(own.max()))[at]
+        out[i:j] = mix(np.add.reduceat(codes, first) ^ (own.astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
+        i = j
+    return out
 
 
 def window_hashes(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

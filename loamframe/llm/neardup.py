@@ -8,17 +8,24 @@
 3. A short list gives all its pairs.  A long one gives its most central set, the
    one whose values are the most common, paired with each other set.
 4. The sketch of the union, the K smallest of both sketches, estimates the
-   similarity; pairs below the bound are left out.  The full sets decide the rest.
-   Each set's best pairs are decided first; pairs that are then in one component
-   need no decision.
-5. Sets of long lists that are not connected with their list's centre are compared
-   with all sets of its lists outside their own component, on full sets, so that
-   no link between components is lost.  Only links leave that join.
+   similarity; pairs below the bound are left out.  The full sets, kept once as a
+   table, decide the rest.  Each set's best pairs are decided first; pairs that are
+   then in one component need no decision.
+5. Long lists whose sets are then in several components are searched again by the
+   rarest values of the full sets (`crowded`): without the sketch's chance these
+   are few, a fifth of a set or less, and sets that share no more than a passage
+   have none in common.  What is left meets within its long list and is decided on
+   full sets inside the join, so that no link between components is lost and only
+   links leave the join.
+
+The work is done when the operator is called; the result is a table in the shared
+folder, all other tables are deleted.
 
 Defined results: an empty text or one without words has an empty set and is linked
-with nothing; fewer words than a shingle has make one shingle; a null id has a null
-component and is kept; rows with one id are one document, whatever their texts;
-ties go to the smallest id; an empty table gives no rows; other columns are not read.
+with nothing; fewer words than a shingle has make one shingle; a very long text is
+shingled whole, as a piece of its own; a null id has a null component and is kept;
+rows with one id are one document, whatever their texts; ties go to the smallest
+id; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +41,9 @@ from pyspark.sql import functions as F
 
 from loamframe.llm import bloom
 from loamframe.llm import kernels as K
+from loamframe.llm.bloom import free_name
 from loamframe.operators.graph import components
-from loamframe.storage import keep
+from loamframe.storage import Scratch, written
 
 #: Retained values.
 RETAINED = 64
@@ -137,13 +145,12 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     [batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(s1), pa.array(s2), sketch], names=["id", "n", "s1", "s2", "sketch"]
                 )
 
-    return docs.mapInArrow(work, "id long, n long, s1 long, s2 long, sketch array<long>")
+    return K.in_batches(docs, work, "id long, n long, s1 long, s2 long, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, n and the whole set of the documents in ids; a Bloom filter spares the others' work."""
-    n = ids.count()
-    packed = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "id", n))
+def full_sets(docs: DataFrame, ids: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """id, n and the whole set of the documents in ids, as a table; a Bloom filter spares the others' work."""
+    packed = scratch.broadcast(bloom.build(ids, "id", ids.count()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,8 +160,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 values, counts = sets_of(buf, offs, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), K.ragged(values, counts, pa.int64())], names=["id", "n", "values"])
 
-    found = docs.where(F.col("id").isNotNull()).mapInArrow(work, "id long, n long, values array<long>")
-    return found.where(F.col("n") > 0).join(ids, "id", "left_semi")
+    found = K.in_batches(docs.where(F.col("id").isNotNull()), work, "id long, n long, values array<long>")
+    return scratch.table(found.where(F.col("n") > 0).join(ids, "id", "left_semi"), "sets")
 
 
 def postings(reps: DataFrame, similarity: Similarity) -> DataFrame:
@@ -203,7 +210,29 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def leftover(groups: DataFrame, labels: DataFrame, docs: DataFrame, similarity: Similarity) -> DataFrame:
+def crowded(named: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
+    """rep of the sets in named (rep, component) that may be linked with one of another component.
+
+    Values are ordered from the rarest.  Of two linked sets the larger has their
+    first common value among its `probe` first ones, and the smaller, whose partner
+    has at least its own size, among its `index` first ones.
+    """
+    whole = named.join(sets.select(F.col("id").alias("rep"), "n", "values"), "rep")
+    values = whole.select("rep", "component", "n", F.explode("values").alias("v"))
+    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("rep")
+    single = F.col("n") - F.count(F.lit(1)).over(own)
+    place = F.row_number().over(own.orderBy("df", "v")) + single
+    n, p = F.col("n"), similarity.percent
+    probe = n - F.call_function("div", n * p + 99, F.lit(100).cast("long")) + 1
+    index = n - F.call_function("div", 2 * n * p + 99 + p, F.lit(100 + p).cast("long")) + 1
+    rows = values.join(shared, "v").withColumn("place", place).where(F.col("place") <= probe).select("v", "rep", "component", (F.col("place") <= index).alias("first"))
+    meets = (F.col("lo") < F.col("hi")) & F.col("any_first")
+    lists = rows.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("first").alias("any_first")).where(meets)
+    return rows.join(lists.select("v"), "v", "left_semi").select("rep").distinct()
+
+
+def leftover(groups: DataFrame, labels: DataFrame, sets: DataFrame, similarity: Similarity, scratch: Scratch) -> DataFrame | None:
     """Links between components among the sets whose long lists have one centre; groups has centre and rep.
 
     A set outside the centre's component meets each set outside its own one; the
@@ -211,13 +240,12 @@ def leftover(groups: DataFrame, labels: DataFrame, docs: DataFrame, similarity:
     """
     named = groups.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     main = named.where("rep = centre").select("centre", F.col("component").alias("main"))
-    named = keep(named.join(main, "centre"))
-    open_ = named.where("component <> main").select("centre").distinct()
-    named = keep(named.join(open_, "centre", "left_semi"))
-    if named.isEmpty():
-        return groups.sparkSession.createDataFrame([], "a long, b long")
-    sets = full_sets(docs, named.select(F.col("rep").alias("id")).distinct(), similarity.width).withColumnRenamed("id", "rep")
-    whole = named.join(sets, "rep")
+    open_ = named.join(main, "centre").where("component <> main").select("centre").distinct()
+    some = scratch.table(named.join(main, "centre").join(open_, "centre", "left_semi"), "open")
+    if some.isEmpty():
+        return None
+    near = scratch.table(crowded(some.select("rep", "component").distinct(), sets, similarity), "near")
+    whole = some.join(near, "rep").join(sets.select(F.col("id").alias("rep"), "n", "values"), "rep")
     salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
     x = whole.where("component <> main").select("centre", salt.alias("salt"), F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("values").alias("va"))
     every = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
@@ -231,44 +259,49 @@ def leftover(groups: DataFrame, labels: DataFrame, docs: DataFrame, similarity:
 def near_duplicates(df: DataFrame, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of df: id, n_shingles, component_id and kept (the id is its component's smallest)."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = keep(sketches(docs, similarity.width))
-    filled = rows.where("n > 0 AND id IS NOT NULL")
-    reps = keep(filled.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.any_value("sketch").alias("sketch")))
-    members = keep(filled.select("id", "n", "s1", "s2").join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("id", "rep").distinct())
-    # an id that has several texts connects their representatives
-    firsts = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("id", "a")
-    links = members.join(firsts, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
-
-    lists = keep(postings(reps.select("rep", "n", "sketch"), similarity))
-    sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", -F.col("rep"), F.col("n"))).alias("top")).where("m > 1")
-    sizes = keep(sizes.select("v", "m", (-F.col("top.col2")).alias("centre"), F.col("top.n").alias("nc")))
-    short = lists.join(sizes.where(F.col("m") <= SHORT_LIST).select("v"), "v").select("v", "rep", "n")
-    x, y = short.toDF("v", "a", "na"), short.toDF("v", "b", "nb")
-    fit = similarity.sizes_fit(F.col("na"), F.col("nb"))
-    few = x.join(y, "v").where((F.col("a") < F.col("b")) & fit).select("a", "b")
-    long_ = keep(lists.join(sizes.where(F.col("m") > SHORT_LIST).select("v", "centre", "nc"), "v").select("centre", "nc", "rep", "n").distinct())
-    star = long_.where((F.col("rep") != F.col("centre")) & similarity.sizes_fit(F.col("n"), F.col("nc"))).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-    pairs = keep(estimated(few.union(star).distinct(), reps, similarity))
-
-    sets = full_sets(docs, keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), similarity.width)
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.col("est").desc(), "a"))
-    links = keep(links.union(verified(pairs.withColumn("k", best).where("k <= 2"), sets, similarity)))
-    labels = components(links)
-    more = keep(verified(across(pairs, labels), sets, similarity))
-    links = links.union(more)
-    labels = components(links)
-    rest = keep(leftover(long_.select("centre", "rep").distinct(), labels, docs, similarity))
-    if not rest.isEmpty():
-        labels = components(links.union(rest))
-    found = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    found = found.groupBy("id").agg(F.min("component").alias("component"))
-    component = F.coalesce("component", F.col("id"))
-    out = rows.select("id", "n").join(found, "id", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    with Scratch(df.sparkSession) as scratch:
+        rows = scratch.table(sketches(docs, similarity.width), "sketches")
+        filled = rows.where("n > 0 AND id IS NOT NULL")
+        reps = scratch.table(filled.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.any_value("sketch").alias("sketch")), "reps")
+        members = filled.select("id", "n", "s1", "s2").join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("id", "rep").distinct()
+        members = scratch.table(members, "members")
+        # an id that has several texts connects their representatives
+        firsts = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("id", "a")
+        links = members.join(firsts, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
+
+        lists = scratch.table(postings(reps.select("rep", "n", "sketch"), similarity), "lists")
+        sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", -F.col("rep"), F.col("n"))).alias("top")).where("m > 1")
+        sizes = scratch.table(sizes.select("v", "m", (-F.col("top.col2")).alias("centre"), F.col("top.n").alias("nc")), "sizes")
+        short = lists.join(sizes.where(F.col("m") <= SHORT_LIST).select("v"), "v").select("v", "rep", "n")
+        x, y = short.toDF("v", "a", "na"), short.toDF("v", "b", "nb")
+        fit = similarity.sizes_fit(F.col("na"), F.col("nb"))
+        few = x.join(y, "v").where((F.col("a") < F.col("b")) & fit).select("a", "b")
+        long_ = lists.join(sizes.where(F.col("m") > SHORT_LIST).select("v", "centre", "nc"), "v").select("centre", "nc", "rep", "n").distinct()
+        long_ = scratch.table(long_, "long")
+        star = long_.where((F.col("rep") != F.col("centre")) & similarity.sizes_fit(F.col("n"), F.col("nc"))).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+        pairs = scratch.table(estimated(few.union(star).distinct(), reps, similarity), "pairs")
+
+        needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(long_.select("rep")).distinct()
+        sets = full_sets(docs, scratch.table(needed, "needed"), similarity.width, scratch)
+        best = F.row_number().over(Window.partitionBy("b").orderBy(F.col("est").desc(), "a"))
+        links = scratch.table(links.union(verified(pairs.withColumn("k", best).where("k <= 2"), sets, similarity)), "links")
+        labels = components(links, scratch)
+        more = verified(across(pairs, labels), sets, similarity)
+        rest = leftover(long_.select("centre", "rep").distinct(), labels, sets, similarity, scratch)
+        more = scratch.table(more if rest is None else more.union(rest), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more), scratch)
+        found = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+        found = found.groupBy("id").agg(F.min("component").alias("component"))
+        component = F.coalesce("component", F.col("id"))
+        out = rows.select("id", "n").join(found, "id", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+        out = out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        return written(out, "near-duplicates")
 
 
 def without_near_duplicates(df: DataFrame, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one document of each component, the one with the smallest id; rows with a null id stay."""
     found = near_duplicates(df, similarity, id_col, text_col)
-    dropped = keep(found.where("NOT kept").select(F.col(id_col).alias("id")).distinct())
-    return bloom.without(df, dropped, id_col)
+    key = free_name(df)
+    dropped = found.where("NOT kept").select(F.col(id_col).alias(key)).distinct()
+    return df.join(dropped, F.col(id_col) == F.col(key), "left_anti")

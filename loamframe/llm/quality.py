@@ -224,4 +224,4 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, id_col: st
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(judge, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return K.in_batches(rows, judge, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)

@@ -10,12 +10,17 @@ chance 0, so that long documents do not gather chance by length.
 Features are lower-cased words and their first 3 to 8 bytes.  Telling are those
 that offending documents hold much more often (log-likelihood ratio), found on a
 sample of at most `sample_rows` labelled documents, on which the weights are
-fitted too.
-
-Defined results: a null or empty text has the leak as its score; labels that are
-null do not count, of repeated ones the highest does; without any offending
-sample every score is the leak; null ids are never held out nor labelled; every
-row is scored; an empty table gives no rows.
+fitted too.  The sample's texts are written once; a document of it sends the
+driver one row per distinct set of telling features, with the number of its
+sentences that hold this set, which is all that the noisy-or needs.
+
+Defined results: a null or empty text has the leak as its score; a very long text
+is scored whole, as a piece of its own; labels that are null do not count, of
+repeated ones the highest does; rows with one id are scored one by one, and learnt
+from as one bag of all their sentences; without any offending sample every score
+is the leak; null ids are never held out nor labelled; every row is scored; an
+empty table gives no rows; other columns, whatever their names, are not read, and
+pass through `without_toxic`.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamframe.llm import kernels as K
+from loamframe.storage import Scratch
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -77,9 +83,9 @@ def words_and_sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray,
     return starts, ends, rows, (before[starts] if len(starts) else starts) + rows
 
 
-def sampled(docs: DataFrame, ids: np.ndarray, work, schema: str) -> DataFrame:
-    """mapInArrow over the documents whose id is in the sorted, bounded array ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
+def sampled(docs: DataFrame, ids: np.ndarray, scratch: Scratch) -> DataFrame:
+    """doc (the place in the sorted, bounded array ids) and text of the documents that ids holds, as a table."""
+    shared = scratch.broadcast(ids)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,30 +93,34 @@ def sampled(docs: DataFrame, ids: np.ndarray, work, schema: str) -> DataFrame:
             at = np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)
             rows = np.flatnonzero(shared.value[at] == own)
             if len(rows):
-                yield from work(batch.column(1).take(pa.array(rows)), at[rows])
+                yield pa.RecordBatch.from_arrays([pa.array(at[rows]), batch.column(1).take(pa.array(rows))], names=["doc", "text"])
 
-    return docs.where(F.col("id").isNotNull()).mapInArrow(pick, schema)
+    return scratch.table(K.in_batches(docs.where(F.col("id").isNotNull()), pick, "doc long, text string"), "sample")
 
 
-def telling_features(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def telling_features(sample: DataFrame, toxic: np.ndarray, scratch: Scratch) -> np.ndarray:
     """Sorted hashes of the features that tell offending documents of the sample."""
-    labels = docs.sparkSession.sparkContext.broadcast(toxic)
-
-    def count(texts: pa.Array, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i, j, buf, offs in K.pieces(texts, COUNTED_BYTES, pc.utf8_lower):
-            starts, ends, rows, _ = words_and_sentences(buf, offs)
-            bad = labels.value[at[i:j]]
-            for words, h in word_features(buf, starts, ends):
-                own = np.unique(np.rec.fromarrays((h, rows[words]), names="h,row"))
-                found, where = np.unique(own.h, return_inverse=True)
-                y = bad[own.row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), pa.array(np.bincount(where, y, len(found)).astype(np.int64)), pa.array(np.bincount(where, 1 - y, len(found)).astype(np.int64))],
-                    names=["h", "bad", "good"],
-                )
+    labels = scratch.broadcast(toxic)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for i, j, buf, offs in K.pieces(batch.column(1), COUNTED_BYTES, pc.utf8_lower):
+                starts, ends, rows, _ = words_and_sentences(buf, offs)
+                bad = labels.value[at[i:j]]
+                for words, h in word_features(buf, starts, ends):
+                    # once for each text that holds it
+                    own = rows[words]
+                    once = np.unique(K.mix(h + own.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), return_index=True)[1]
+                    found, where = np.unique(h[once], return_inverse=True)
+                    y = bad[own[once]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found.view(np.int64)), pa.array(np.bincount(where, y, len(found)).astype(np.int64)), pa.array(np.bincount(where, 1 - y, len(found)).astype(np.int64))],
+                        names=["h", "bad", "good"],
+                    )
 
     n_bad, n_good = int(toxic.sum()), int((1 - toxic).sum())
-    sums = sampled(docs, ids, count, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    sums = K.in_batches(sample, count, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     rate = (F.col("bad") + F.col("good")) / F.lit(float(n_bad + n_good))
 
     def part(x: str, n: int) -> Column:
@@ -147,11 +157,12 @@ def sentence_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, sen
     return pairs // (len(features) + 1), pairs % (len(features) + 1)
 
 
-def fit(bag: np.ndarray, instance: np.ndarray, feature: np.ndarray, toxic: np.ndarray, n_features: int, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float, float]:
+def fit(bag: np.ndarray, times: np.ndarray, instance: np.ndarray, feature: np.ndarray, toxic: np.ndarray, n_features: int, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float, float]:
     """Weights, bias and leak by Adam on the noisy-or likelihood of the bags.
 
-    instance numbers sentences that have a telling feature, bag gives the document
-    of each of them, and feature the features, one entry per (instance, feature).
+    instance numbers the distinct feature sets of sentences, bag gives the document
+    of each of them, times how many sentences hold it, and feature the features, one
+    entry per (instance, feature).
     """
     n, m = len(toxic), len(bag)
     w = np.concatenate((np.full(n_features, 1.0), [-2.0, -4.0]))  # weights, bias, logarithm of the leak's hazard
@@ -160,9 +171,9 @@ def fit(bag: np.ndarray, instance: np.ndarray, feature: np.ndarray, toxic: np.nd
         z = np.bincount(instance, w[:n_features][feature], m) + w[-2] if m else np.zeros(0)
         p = 1 / (1 + np.exp(-z))
         leak = np.exp(w[-1])
-        hazard = np.bincount(bag, np.logaddexp(0, z), n) + leak
+        hazard = np.bincount(bag, times * np.logaddexp(0, z), n) + leak
         pull = np.where(toxic > 0, -1 / np.expm1(np.clip(hazard, 1e-6, 700.0)), 1.0) / n
-        dz = pull[bag] * p
+        dz = pull[bag] * p * times
         g = np.concatenate((np.bincount(feature, dz[instance], n_features), [dz.sum(), pull.sum() * leak]))
         g[:n_features] += decay * w[:n_features] / max(1, n_features)
         first = 0.9 * first + 0.1 * g
@@ -172,37 +183,47 @@ def fit(bag: np.ndarray, instance: np.ndarray, feature: np.ndarray, toxic: np.nd
     return w[:n_features], float(w[-2]), float(-np.expm1(-np.exp(w[-1])))
 
 
+def bags(sample: DataFrame, features: np.ndarray, scratch: Scratch) -> DataFrame:
+    """doc, features (a sorted set; empty for the text itself) and times (sentences that hold just this set)."""
+    shared = scratch.broadcast(features)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for i, j, buf, offs in K.pieces(batch.column(1), prepare=pc.utf8_lower):
+                starts, ends, rows, sentence = words_and_sentences(buf, offs)
+                s, f = sentence_features(buf, starts, ends, sentence, shared.value)
+                own, first, held = np.unique(s, return_index=True, return_counts=True)
+                row = rows[np.searchsorted(sentence, own)] if len(own) else own
+                docs = pa.array(np.concatenate((at[i:j], at[i:j][row])))
+                sets = K.ragged(f.astype(np.int64), np.concatenate((np.zeros(j - i, np.int64), held)), pa.int64())
+                yield pa.RecordBatch.from_arrays([docs, sets], names=["doc", "features"])
+
+    return K.in_batches(sample, work, "doc long, features array<long>").groupBy("doc", "features").agg(F.count(F.lit(1)).alias("times"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit a model; docs has id and text, labels id and toxic, one row per id.
 
     The sample is the labelled ids of the smallest hashes.
     """
-    sample = labels.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas().sort_values("id")
-    ids, toxic = sample["id"].to_numpy(dtype=np.int64), sample["toxic"].to_numpy(dtype=np.int64)
+    known = labels.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas().sort_values("id")
+    ids, toxic = known["id"].to_numpy(dtype=np.int64), known["toxic"].to_numpy(dtype=np.int64)
     share = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < share < 1:
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, min(0.1, share + 0.001))
-    features = telling_features(docs, ids, toxic)
-    shared = docs.sparkSession.sparkContext.broadcast(features)
-
-    def bags(texts: pa.Array, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i, j, buf, offs in K.pieces(texts, prepare=pc.utf8_lower):
-            starts, ends, rows, sentence = words_and_sentences(buf, offs)
-            s, f = sentence_features(buf, starts, ends, sentence, shared.value)
-            row = rows[np.searchsorted(sentence, s)] if len(s) else s
-            every = np.flatnonzero(K.counts_by_row(row, j - i) == 0)  # bags without a telling sentence
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at[i:j][np.concatenate((row, every))]), pa.array(np.concatenate((s, np.full(len(every), -1)))), pa.array(np.concatenate((f, np.full(len(every), -1))))],
-                names=["doc", "sentence", "feature"],
-            )
-
-    rows = sampled(docs, ids, bags, "doc long, sentence long, feature long").toPandas().to_numpy()  # few rows a sampled document
-    docs_, where = np.unique(rows[:, 0], return_inverse=True)
-    if not len(docs_):
+    with Scratch(docs.sparkSession) as scratch:
+        sample = sampled(docs, ids, scratch)
+        features = telling_features(sample, toxic, scratch)
+        rows = bags(sample, features, scratch).toPandas().sort_values(["doc", "features"], key=lambda c: c if c.name == "doc" else c.map(tuple))
+    if rows.empty:
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, min(0.1, share))
-    full = rows[:, 2] >= 0
-    sentences, instance = np.unique(np.column_stack((where[full], rows[full, 1])), axis=0, return_inverse=True)
-    weights, bias, leak = fit(sentences[:, 0], instance.ravel(), rows[full, 2], toxic[docs_], len(features))
+    held = rows["features"].map(len).to_numpy()
+    docs_, bag = np.unique(rows["doc"].to_numpy(), return_inverse=True)
+    full = held > 0
+    feature = np.concatenate([np.zeros(0, np.int64), *rows["features"][full]]).astype(np.int64)
+    instance = np.repeat(np.arange(full.sum()), held[full])
+    weights, bias, leak = fit(bag[full], rows["times"].to_numpy()[full].astype(float), instance, feature, toxic[docs_], len(features))
     return Model(features, weights, bias, leak)
 
 
@@ -238,7 +259,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 total, spans = score_piece(buf, offs, shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(total), spans], names=["id", "score", "sentences"])
 
-    return docs.mapInArrow(work, "id long, score double, sentences array<struct<start:long,end:long,score:double>>")
+    return K.in_batches(docs, work, "id long, score double, sentences array<struct<start:long,end:long,score:double>>")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -270,4 +291,4 @@ def without_toxic(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
             for i, j, buf, offs in K.pieces(batch.column(at), prepare=pc.utf8_lower):
                 yield batch.slice(i, j - i).filter(pa.array(score_piece(buf, offs, shared.value)[0] < threshold))
 
-    return df.mapInArrow(work, df.schema)
+    return K.in_batches(df, work, df.schema)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamframe.llm import chat, decontaminate, mixing, queries, sharding, toxicity, warc
+from loamframe.llm import chat, decontaminate, kernels, mixing, queries, sharding, toxicity, warc
 from loamframe.storage import fresh_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,9 +163,73 @@ def test_labels_of_held_out_ids_are_not_learnt(spark):
 
 def test_noisy_or_gradient():
     bag, instance, feature, toxic = np.array([0, 0, 1, 3]), np.array([0, 1, 2, 3, 3]), np.array([0, 1, 1, 0, 2]), np.array([1, 0, 1, 0])
-    w, bias, leak = toxicity.fit(bag, instance, feature, toxic, 3, rounds=500)
+    once = np.ones(4)
+    w, bias, leak = toxicity.fit(bag, once, instance, feature, toxic, 3, rounds=500)
     p = 1 / (1 + np.exp(-(np.array([w[0], w[1], w[1], w[0] + w[2]]) + bias)))
     assert p[0] > 0.5 and p[1] < 0.3 and p[2] < 0.3 and p[3] < 0.5 and 0 < leak < 0.2
+    # a set that two sentences hold counts as two sentences
+    twice = toxicity.fit(np.array([0, 1]), np.array([2.0, 1.0]), np.array([0, 1]), np.array([0, 1]), np.array([1, 0]), 2)
+    apart = toxicity.fit(np.array([0, 0, 1]), np.ones(3), np.array([0, 1, 2]), np.array([0, 0, 1]), np.array([1, 0]), 2)
+    assert np.allclose(twice[0], apart[0]) and np.allclose(twice[1:], apart[1:])
+
+
+MASK = (1 << 64) - 1
+
+
+def mixed(h):
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & MASK
+    return h ^ (h >> 31)
+
+
+def word_and_prefixes(word):
+    """Feature hashes of a word, byte by byte."""
+    codes = [int(kernels.BYTE_CODES[b]) for b in word]
+    power, total, h, out = 1, 0, 0, []
+    for k, code in enumerate(codes):
+        total = (total + code * power) & MASK
+        power = power * 0x9E3779B97F4A7C15 & MASK
+        h = (h + code) * 0x9E3779B97F4A7C15 & MASK
+        if 3 <= k + 1 <= 8 and k + 1 < len(codes):
+            out.append(mixed(h ^ (k + 1)))
+    return {*out, mixed(total ^ (len(codes) * 0xD6E8FEB86659FD93 & MASK))}
+
+
+def brute_score(text, model):
+    weight = dict(zip(model.features.tolist(), model.weights))
+    stay = 1 - model.leak
+    for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+        words = re.findall(rb"(?:[a-z0-9']|[\x80-\xff])+", sentence.encode())
+        held = {f for w in words for f in word_and_prefixes(w) if f in weight}
+        if held:
+            stay *= 1 - 1 / (1 + np.exp(-(sum(weight[f] for f in held) + model.bias)))
+    return 1 - stay
+
+
+def test_scores_match_a_brute_force_noisy_or(spark, sf, messy):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    labels = toxicity.known_labels(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id", "toxic")
+    model = toxicity.train(docs, labels)
+    assert len(model.features)
+    for df in (docs, messy.select(F.col("doc_id").alias("id"), "text")):
+        found = sorted((str(r.id), r.score) for r in toxicity.score(df, model).collect())
+        expected = sorted((str(r.id), brute_score(r.text, model)) for r in df.collect())
+        assert [i for i, _ in found] == [i for i, _ in expected] and np.allclose([x for _, x in found], [x for _, x in expected])
+
+
+def test_rows_of_one_id_are_one_bag_when_learning(spark):
+    texts = ["Calm words here. A knave spoke. A knave spoke.", "More calm words. A knave spoke"]
+    features = toxicity.K.span_hashes(np.frombuffer(b"knave", np.uint8), np.array([0]), np.array([5]))
+    with toxicity.Scratch(spark) as scratch:
+        apart = toxicity.bags(spark.createDataFrame([(0, t) for t in texts] + [(1, None)], "doc long, text string"), features, scratch).collect()
+    assert sorted((r.doc, r.features, r.times) for r in apart) == [(0, [], 2), (0, [0], 3), (1, [], 1)]
+    docs, labels = toxic_set(spark, 300)
+    twice = docs.union(docs.where("doc_id % 7 = 0"))
+    found = toxicity.detect(twice, labels).collect()
+    scores = collections.defaultdict(set)
+    for r in found:
+        scores[r.doc_id].add(r.score)
+    assert len(found) == twice.count() and all(len(x) == 1 for x in scores.values())
 
 
 def test_toxicity_of_messy_rows(spark, messy, no_documents):

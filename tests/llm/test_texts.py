@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loamframe.llm import bloom, kernels, licenses, neardup, quality, tokencount
@@ -41,10 +42,27 @@ def test_bloom_has_no_false_negatives(spark):
     assert len(bloom.may_hold(packed, np.arange(1, 100_000, 7, dtype=np.int64))) < 500
 
 
-def test_bloom_without_is_an_anti_join(spark, messy):
-    ids = spark.createDataFrame([(1,), (6,), (99,)], "id long")
-    left = sorted(str(r.doc_id) for r in bloom.without(messy, ids, "doc_id").collect())
-    assert left == sorted(str(r.doc_id) for r in messy.collect() if r.doc_id not in (1, 6))
+def test_rows_of_dropped_ids_go_and_null_ids_stay(spark, messy):
+    kept = neardup.without_near_duplicates(messy.withColumn("_key", F.lit(1)))
+    assert "_key" in kept.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in messy.collect() if r.doc_id != 2)
+
+
+def test_batches_are_bounded(spark):
+    sizes = kernels.in_batches(spark.range(20_000).select(F.repeat(F.lit("x"), 1000)), lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in bs), "n long")
+    assert sizes.agg(F.max("n")).first()[0] < 1.5 * kernels.BATCH_BYTES
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    kernels.in_batches(spark.range(1), lambda bs: bs, "id long")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_hashes_do_not_depend_on_runs(monkeypatch):
+    (_, _, buf, offs), *_ = kernels.pieces(pa.array(["some words here", "and there", "", "a" * 50]))
+    starts, ends, _ = kernels.word_bounds(buf, offs)
+    whole = kernels.span_hashes(buf, starts, ends)
+    monkeypatch.setattr(kernels, "PIECE_BYTES", 7)
+    assert (kernels.span_hashes(buf, starts, ends) == whole).all()
 
 
 def shingles(text, width):
@@ -100,6 +118,38 @@ def test_near_duplicates_match_brute_force(spark, width, percent, monkeypatch):
     assert all(found[i].n_shingles == len(shingles(t, width)) for i, t in rows)
 
 
+def test_a_common_passage_leaves_no_crowd(spark):
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{k}" for k in range(100))
+    texts = [passage + " " + " ".join(f"r{x}" for x in rng.integers(0, 10**6, 100)) for _ in range(150)]
+    texts += [edited(rng, texts[0].split(), 4) for _ in range(3)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    s = neardup.Similarity(5, 80)
+    with neardup.Scratch(spark) as scratch:
+        ids = df.select(F.col("doc_id").alias("id"))
+        sets = neardup.full_sets(df.toDF("id", "text"), ids, 5, scratch)
+        near = {r.rep for r in neardup.crowded(ids.select(F.col("id").alias("rep"), F.col("id").alias("component")), sets, s).collect()}
+    assert near == {0, 150, 151, 152}
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, s).collect()} == brute_components(rows, 5, 80)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_crowds_lose_no_link(spark, percent):
+    rng = np.random.default_rng(percent)
+    docs = []
+    for g in range(8):
+        base = rng.choice([f"w{k}" for k in range(300)], int(rng.integers(20, 160)))
+        docs += [edited(rng, base[: rng.integers(len(base) * 3 // 4, len(base) + 1)], int(rng.integers(0, 9))) for _ in range(12)]
+    s, sets = neardup.Similarity(3, percent), [shingles(t, 3) for t in docs]
+    linked = {k for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= percent * len(a | b) for k in (i, j)}
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
+    with neardup.Scratch(spark) as scratch:
+        ids = df.select("id")
+        near = {r.rep for r in neardup.crowded(ids.select(F.col("id").alias("rep"), F.col("id").alias("component")), neardup.full_sets(df, ids, 3, scratch), s).collect()}
+    assert linked <= near and linked
+
+
 def test_least_overlap_is_safe():
     rng = np.random.default_rng(1)
     s = neardup.Similarity(3, 85)
