@@ -20,11 +20,18 @@ A document leaks an item if, with consistent slots, at least `coverage` of the
 item's windows are found in it.  `kind` is verbatim if literal windows alone reach
 that, else reparameterised.
 
-Defined results: null and empty texts match nothing; an item with fewer than
-WIDTH tokens is one window of its own length, and below LEAST_LITERALS tokens
-it is found only as a whole document; an item without tokens leaks nowhere; rows
-with one id, in either table, count as one; null ids take no part; an empty
-table gives no rows; other columns are not read.
+Only so many of an item's windows can be missing, so a leaking document holds one
+of any larger choice of them.  The windows that the fewest items have are this
+choice; documents meet items by these alone, and only such pairs are looked up by
+all windows.  So a window common to many items, as a shared instruction, does not
+pair each document that has it with each of these items.
+
+Defined results: null and empty texts match nothing; very long texts are searched
+whole, each as a piece of its own; an item with fewer than WIDTH tokens is one
+window of its own length, and below LEAST_LITERALS tokens it is found only as a
+whole document; an item without tokens leaks nowhere; rows with one id, in either
+table, count as one; null ids take no part; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +40,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamframe.llm import bloom
 from loamframe.llm import kernels as K
-from loamframe.storage import keep, written
+from loamframe.storage import Scratch, written
 
 WIDTH, LEAST_LITERALS = 5, 3
 COVERAGE = 0.5
@@ -214,7 +222,7 @@ def unit_hashes() -> np.ndarray:
 WINDOW_SCHEMA = "id long, hash long, run int, pos int, start int, width int, span int, template boolean, n_tokens int, slots array<long>"
 
 
-def window_rows(texts: DataFrame, widths: list[int], packed: np.ndarray | None = None, longest: int = 0, wholes: list[int] | None = None) -> DataFrame:
+def window_rows(texts: DataFrame, widths: list[int], shared: Broadcast | None = None, longest: int = 0, wholes: list[int] | None = None) -> DataFrame:
     """Windows of every text (id, text): hash, position among runs of letters or digits and among tokens, width, channel, the text's tokens and the values in slots (0 elsewhere).
 
     A text of fewer than LEAST_LITERALS tokens gives itself, with width 0.  A widened
@@ -222,9 +230,7 @@ def window_rows(texts: DataFrame, widths: list[int], packed: np.ndarray | None =
     at the position and width of its narrow window, else at its own.  With a filter
     only windows that it may hold are given.
     """
-    spark = texts.sparkSession
     units = unit_hashes()
-    shared = spark.sparkContext.broadcast(packed) if packed is not None else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,52 +264,69 @@ def window_rows(texts: DataFrame, widths: list[int], packed: np.ndarray | None =
     return K.in_batches(texts.where(F.col("id").isNotNull()), work, WINDOW_SCHEMA)
 
 
+def seeds(entries: DataFrame, n_item: DataFrame, coverage: float) -> DataFrame:
+    """hash, template and item of the windows of which every leak holds one: at each item's places whose windows the fewest items have."""
+    spread = entries.groupBy("hash", "template").agg(F.count_distinct("item").alias("items"))
+    places = entries.join(spread, ["hash", "template"]).groupBy("item", "item_pos").agg(F.max("items").alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("items", "item_pos"))
+    enough = F.col("n_item") - F.ceil(F.col("n_item") * coverage - 1e-9) + 1
+    chosen = places.withColumn("rank", rank).join(n_item, "item").where(F.col("rank") <= enough).select("item", "item_pos")
+    return entries.join(chosen, ["item", "item_pos"]).select("hash", "template", "item").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per leaking pair: id, item id, kind, coverage, n_windows (found) and first_token (in the document, counted in runs of letters or digits)."""
+    """One row per leaking pair: id, item id, kind, coverage, n_windows (found) and first_token (in the document, counted in runs of letters or digits).
+
+    The work is done when this is called; the result is a table in the shared folder.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
-    # an item's windows are as wide as its tokens allow; 0 stands for a whole text
-    own = F.when(F.col("n_tokens") < LEAST_LITERALS, 0).otherwise(F.least(F.col("n_tokens"), F.lit(WIDTH)))
-    entries = keep(
-        window_rows(items, list(range(LEAST_LITERALS, WIDTH + 1)))
-        .where(F.col("width") == own)
-        .select(F.col("id").alias("item"), "hash", "template", "width", "span", F.col("pos").alias("item_pos"), F.col("start").alias("item_start"), "n_tokens", F.col("slots").alias("item_slots"))
-    )
-    widths = sorted(r.width for r in entries.select("width").distinct().collect() if r.width)  # three at most
-    wide = entries.where(F.col("template") & ((F.col("span") > F.col("width")) | (F.size(F.filter("item_slots", lambda v: v == 0)) < LEAST_LITERALS)))
-    lengths = [(r.span, r.whole) for r in wide.select("span", (F.size(F.filter("item_slots", lambda v: v == 0)) < LEAST_LITERALS).alias("whole")).distinct().collect()]
-    longest, wholes = max((n for n, whole in lengths if not whole), default=0), sorted(n for n, whole in lengths if whole)
-    n_item = entries.where("NOT template").groupBy("item").agg(F.count_distinct("item_pos").alias("n_item"))
-    packed = bloom.build(entries, "hash", entries.count())
-    found = window_rows(texts, widths, packed, longest, wholes).select("id", "hash", "template", "run", "pos", "slots")
-    pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p.a != 0)
-    aligned = (
-        found.join(entries, ["hash", "template"])
-        .select("id", "item", (F.col("pos") - F.col("item_start")).alias("shift"), "item_pos", "run", "template", F.coalesce(pairs, F.array().cast("array<struct<a:long,b:long>>")).alias("pairs"))
-        .groupBy("id", "item", "shift")
-        .agg(
-            F.collect_set(F.struct("item_pos", "run", "template", F.transform("pairs", lambda p: p.a).alias("values"))).alias("places"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"),
+    with Scratch(docs.sparkSession) as scratch:
+        # an item's windows are as wide as its tokens allow; 0 stands for a whole text
+        own = F.when(F.col("n_tokens") < LEAST_LITERALS, 0).otherwise(F.least(F.col("n_tokens"), F.lit(WIDTH)))
+        entries = scratch.table(
+            window_rows(items, list(range(LEAST_LITERALS, WIDTH + 1)))
+            .where(F.col("width") == own)
+            .select(F.col("id").alias("item"), "hash", "template", "width", "span", F.col("pos").alias("item_pos"), F.col("start").alias("item_start"), "n_tokens", F.col("slots").alias("item_slots")),
+            "entries",
+        )
+        widths = sorted(r.width for r in entries.select("width").distinct().collect() if r.width)  # three at most
+        wide = entries.where(F.col("template") & ((F.col("span") > F.col("width")) | (F.size(F.filter("item_slots", lambda v: v == 0)) < LEAST_LITERALS)))
+        lengths = [(r.span, r.whole) for r in wide.select("span", (F.size(F.filter("item_slots", lambda v: v == 0)) < LEAST_LITERALS).alias("whole")).distinct().collect()]
+        longest, wholes = max((n for n, whole in lengths if not whole), default=0), sorted(n for n, whole in lengths if whole)
+        n_item = entries.where("NOT template").groupBy("item").agg(F.count_distinct("item_pos").alias("n_item"))
+        packed = bloom.build(entries, "hash", entries.count())
+        found = scratch.table(window_rows(texts, widths, scratch.broadcast(packed), longest, wholes).select("id", "hash", "template", "run", "pos", "slots"), "windows")
+        seeded = found.select("id", "hash", "template").join(seeds(entries, n_item, coverage), ["hash", "template"]).select("id", "item").distinct()
+        pairs = F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p.a != 0)
+        aligned = (
+            seeded.join(entries, "item")
+            .join(found, ["id", "hash", "template"])
+            .select("id", "item", (F.col("pos") - F.col("item_start")).alias("shift"), "item_pos", "run", "template", F.coalesce(pairs, F.array().cast("array<struct<a:long,b:long>>")).alias("pairs"))
+            .groupBy("id", "item", "shift")
+            .agg(
+                F.collect_set(F.struct("item_pos", "run", "template", F.transform("pairs", lambda p: p.a).alias("values"))).alias("places"),
+                F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("pairs"),
+            )
+        )
+        # benchmark values with more than one document value
+        later = F.slice("pairs", 2, F.greatest(F.size("pairs") - 1, F.lit(0)))
+        torn = F.array_compact(F.zip_with("pairs", later, lambda p, q: F.when(p.a == q.a, p.a)))
+        places = aligned.select("id", "item", torn.alias("torn"), F.explode("places").alias("place")).where(~(F.col("place.template") & F.arrays_overlap("place.values", "torn")))
+        at = F.col("place.item_pos")
+        sums = places.groupBy("id", "item").agg(
+            F.count_distinct(at).alias("n_windows"),
+            F.count_distinct(F.when(~F.col("place.template"), at)).alias("n_literal"),
+            F.min("place.run").alias("first_token"),
         )
-    )
-    # benchmark values with more than one document value
-    later = F.slice("pairs", 2, F.greatest(F.size("pairs") - 1, F.lit(0)))
-    torn = F.array_compact(F.zip_with("pairs", later, lambda p, q: F.when(p.a == q.a, p.a)))
-    places = aligned.select("id", "item", torn.alias("torn"), F.explode("places").alias("place")).where(~(F.col("place.template") & F.arrays_overlap("place.values", "torn")))
-    at = F.col("place.item_pos")
-    sums = places.groupBy("id", "item").agg(
-        F.count_distinct(at).alias("n_windows"),
-        F.count_distinct(F.when(~F.col("place.template"), at)).alias("n_literal"),
-        F.min("place.run").alias("first_token"),
-    )
-    share = F.col("n_windows") / F.col("n_item")
-    kind = F.when(F.col("n_literal") / F.col("n_item") >= coverage, "verbatim").otherwise("reparameterised")
-    out = sums.join(n_item, "item").where(share >= coverage)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), kind.alias("kind"), share.alias("coverage"), "n_windows", "first_token")
+        share = F.col("n_windows") / F.col("n_item")
+        kind = F.when(F.col("n_literal") / F.col("n_item") >= coverage, "verbatim").otherwise("reparameterised")
+        out = sums.join(n_item, "item").where(share >= coverage)
+        return written(out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), kind.alias("kind"), share.alias("coverage"), "n_windows", "first_token"), "leaks")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows that leak an item; rows with a null id stay."""
     key = bloom.free_name(docs)
-    found = written(leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias(key)).distinct(), "leaks")
+    found = leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias(key)).distinct()
     return docs.join(found, F.col(id_col) == F.col(key), "left_anti")

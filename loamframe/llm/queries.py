@@ -146,7 +146,7 @@ f AS (
   FROM l LEFT JOIN r USING (doc_id) LEFT JOIN o USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols > 0.1::DOUBLE * n_words OR n_dup_lines > 0.5::DOUBLE * n_lines OR n_repeat_words > 0.45::DOUBLE * n_words OR upper > 0.4::DOUBLE * letters
+  NOT (base_failed OR n_symbols > 0.1::DOUBLE * n_words OR (n_dup_lines >= 3 AND n_dup_lines > 0.3::DOUBLE * n_lines) OR n_repeat_words > 0.45::DOUBLE * n_words OR upper > 0.4::DOUBLE * letters
     OR shouts > 0.3::DOUBLE * n_words OR digits > 0.3::DOUBLE * word_chars OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR top > 0.25::DOUBLE * n_words) AS kept
 FROM b
 """

@@ -119,6 +119,111 @@ def test_verbatim_leaks_match_brute_force(spark, sf):
     assert found == expected and found
 
 
+def typed(text):
+    """(value, template token, is a slot) of every token of an ASCII text."""
+    out, end, numeric = [], 0, False
+    for m in re.finditer(r"\d+(?:[.,]\d+)*|[A-Za-z]+", text or ""):
+        word, between = m[0], text[end : m.start()]
+        if word[0].isdigit():
+            kind = "#"
+        elif numeric and word.lower() in decontaminate.UNITS:
+            kind = "@"
+        elif out and not re.search(r"[.!?:;\n]", between) and re.match("[A-Z][a-z]", word):
+            kind = "%"
+        else:
+            kind = None
+        out.append((word.lower(), kind or word.lower(), kind is not None))
+        end, numeric = m.end(), word[0].isdigit()
+    return out
+
+
+def item_windows(item):
+    """Per place of an item: the literal window and, where there is one, the (start, end) of the template window."""
+    n = len(item)
+    if n < 3:
+        return [((0, n), None)] if n else []
+    own, free = min(n, decontaminate.WIDTH), [i for i in range(n) if not item[i][2]]
+    out = []
+    for p in range(n - own + 1):
+        held, later = [i for i in free if p <= i < p + own], [i for i in free if i >= p]
+        template = (p, p + own)
+        if len(held) == own or not free:
+            template = None
+        elif len(held) < decontaminate.LEAST_LITERALS:
+            template = (0, n) if len(free) < 3 else (p, later[2] + 1) if len(later) > 2 else (free[-3], n)
+        out.append(((p, p + own), template))
+    return out
+
+
+def brute_leaks(docs, items, coverage=decontaminate.COVERAGE):
+    found = {}
+    for d, text in docs:
+        doc = typed(text)
+        for i, item_text in items:
+            item = typed(item_text)
+            windows, hits = item_windows(item), collections.defaultdict(list)
+            for p, (literal, template) in enumerate(windows):
+                for part, span in ((0, literal), (1, template)):
+                    if span is None:
+                        continue
+                    a, b = span
+                    want = [t[part] for t in item[a:b]]
+                    for q in range(len(doc) - (b - a) + 1):
+                        same = [t[part] for t in doc[q : q + b - a]] == want and (len(item) > 2 or len(doc) == len(item))
+                        if same and (not part or [t[2] for t in doc[q : q + b - a]] == [t[2] for t in item[a:b]]):
+                            pairs = {(x[0], y[0]) for x, y in zip(item[a:b], doc[q : q + b - a]) if x[2]} if part else set()
+                            hits[q - a].append((p, part, pairs))
+            places, literal_places = set(), set()
+            for own in hits.values():
+                values = collections.defaultdict(set)
+                for _, _, pairs in own:
+                    for x, y in pairs:
+                        values[x].add(y)
+                for p, part, pairs in own:
+                    if all(len(values[x]) == 1 for x, _ in pairs):
+                        places.add(p)
+                        literal_places |= set() if part else {p}
+            if windows and len(places) / len(windows) >= coverage:
+                found[d, i] = ("verbatim" if len(literal_places) / len(windows) >= coverage else "reparameterised", len(places))
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_template_leaks_match_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    words, names = ["sum", "of", "the", "boxes", "and", "then", "how", "many", "total"], ["Anna", "Bob", "Carl"]
+
+    def piece():
+        kind = rng.random()
+        if kind < 0.3:
+            return str(rng.choice(["3", "5", "12", "2.5", "1,200"])) + (" " + str(rng.choice(["km", "kg"])) if rng.random() < 0.5 else "")
+        return str(rng.choice(names if kind < 0.45 else words)) + ("." if rng.random() < 0.1 else "")
+
+    def again(text):
+        return re.sub(r"\d[\d.,]*|Anna|Bob|Carl", lambda m: m[0] if rng.random() < 0.5 else str(rng.choice(names)) if m[0][0].isalpha() else str(rng.integers(1, 99)), text)
+
+    items = [(k, " ".join(piece() for _ in range(int(rng.integers(1, 16))))) for k in range(25)]
+    docs = [(k, " ".join(piece() for _ in range(int(rng.integers(0, 6)))) + " " + again(items[k % 25][1]) + " " + piece()) for k in range(60)]
+    docs += [(100 + k, again(t)) for k, (_, t) in enumerate(items)]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id): (r.kind, r.n_windows) for r in found} == expected
+    assert {kind for kind, _ in expected.values()} == {"verbatim", "reparameterised"}
+
+
+def test_a_window_of_all_items_pairs_nothing(spark):
+    rule = "Answer the question with a number and explain each step"
+    word = lambda *x: "".join(chr(97 + int(c)) for y in x for c in f"{y:04}")
+    items = [(k, f"{rule} of " + " ".join(word(k, j) for j in range(14))) for k in range(40)]
+    docs = [(k, f"{rule} " + " ".join(word(k, j) for j in range(100, 130))) for k in range(200)] + [(999, items[7][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == {(999, 7)}
+    entries = decontaminate.window_rows(bench.toDF("id", "text"), [5]).select(F.col("id").alias("item"), "hash", "template", F.col("pos").alias("item_pos"))
+    n_item = entries.where("NOT template").groupBy("item").agg(F.count_distinct("item_pos").alias("n_item"))
+    chosen = decontaminate.seeds(entries, n_item, 0.5)
+    assert chosen.groupBy("hash").count().agg(F.max("count")).first()[0] == 1 and chosen.select("item").distinct().count() == 40
+
+
 # --- toxicity -------------------------------------------------------------------
 
 

@@ -233,6 +233,43 @@ def test_rules_spare_survivors_only():
     assert quality.cascade(quality.Texts(buf, offs), rules, np.ones(3, bool)).tolist() == [0, 1, -1] and seen == [2]
 
 
+FEATURES = ("words", "word_hashes", "n_words", "word_chars", "n_symbols", "lines", "n_lines", "n_dup_lines", "n_repeat_words", "top_word_count")
+
+
+@pytest.mark.parametrize("known", [(), FEATURES, ("words", "n_dup_lines"), ("word_hashes", "lines", "n_symbols")])
+def test_subsets_keep_what_is_known(spark, sf, known):
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("text").toPandas()["text"].tolist()[:60] + ["", None, "a\na\n\na b\n"]
+    (_, _, buf, offs), *_ = kernels.pieces(pa.array(texts), 1 << 24)
+    t = quality.Texts(buf, offs)
+    for name in known:
+        getattr(t, name)
+    rng = np.random.default_rng(1)
+    rows = np.flatnonzero(rng.random(t.n) < 0.6)
+    some = t.subset(rows)
+    some.n_symbols
+    again = rows[::2]
+    fresh = quality.Texts(*next(iter(kernels.pieces(pa.array([texts[i] for i in again]), 1 << 24)))[2:])
+    for name in FEATURES:
+        got, want = (getattr(x, name) for x in (some.subset(np.arange(0, len(rows), 2)), fresh))
+        assert all(np.array_equal(a, b) for a, b in zip(got, want)) if isinstance(got, tuple) else np.array_equal(got, want), name
+
+
+def test_the_cascade_judges_fewer_texts_and_splits_them_once(spark, sf, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    order = [quality.DEFAULT_RULES[k] for k in quality.estimate(df, quality.DEFAULT_RULES)["rule"]]
+    judged, split = [], []
+    counted = [quality.Rule(r.name, lambda t, r=r: (judged.append(t.n), r.fails(t))[1]) for r in order]
+    word_bounds = kernels.word_bounds
+    monkeypatch.setattr(kernels, "word_bounds", lambda buf, offs, *x: (split.append(len(buf)), word_bounds(buf, offs, *x))[1])
+    n = size = 0
+    for _, _, buf, offs in kernels.pieces(pa.array(df.select("text").toPandas()["text"])):
+        t = quality.Texts(buf, offs)
+        quality.base_figures(t)
+        quality.cascade(t, counted, ~quality.base_failed(t))
+        n, size = n + t.n, size + len(buf)
+    assert sum(judged) < 0.9 * n * len(order) and sum(split) == 2 * size  # words and lines, once each
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
