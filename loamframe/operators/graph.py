@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from loamframe.storage import Scratch, written
 
+#: Rows of a file of labels, so that small graphs do not make many files.
+ROWS_PER_FILE = 200_000
+
 
 def components(links: DataFrame, keeper: Scratch | None = None) -> DataFrame:
     """id and component (the smallest id reachable) of every id in links (a, b).
@@ -21,8 +24,9 @@ def components(links: DataFrame, keeper: Scratch | None = None) -> DataFrame:
             return written(components(links, scratch), "components")
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct().toDF("src", "dst")
     edges = keeper.table(both, "edges")
+    files = 1 + edges.count() // ROWS_PER_FILE
     first = edges.groupBy("src").agg(F.min("dst").alias("m"))
-    labels = keeper.table(first.select(F.col("src").alias("id"), F.least("src", "m").alias("component")), "labels")
+    labels = keeper.table(first.select(F.col("src").alias("id"), F.least("src", "m").alias("component")).coalesce(files), "labels")
     while True:
         around = edges.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("m"))
         sunk = labels.join(around, F.col("id") == F.col("src")).select("id", F.col("component").alias("old"), F.least("component", "m").alias("label"))
@@ -30,6 +34,6 @@ def components(links: DataFrame, keeper: Scratch | None = None) -> DataFrame:
         new = sunk.join(above, F.col("label") == F.col("p"), "left").select("id", "old", F.coalesce(F.least("label", "q"), F.col("label")).alias("component"))
         moved = Observation()
         new = new.observe(moved, F.count_if(F.col("component") != F.col("old")).alias("n"))
-        labels = keeper.table(new.select("id", "component"), "labels")
+        labels = keeper.table(new.select("id", "component").coalesce(files), "labels")
         if not moved.get["n"]:
             return labels
