@@ -46,6 +46,11 @@ def open_jobs(state: DataFrame) -> DataFrame:
     return state.where(~F.col("status").isin(*TERMINAL))
 
 
+def errors(logs: DataFrame, level_col: str = "level") -> DataFrame:
+    """Log entries of the level error, in any case."""
+    return logs.where(F.lower(level_col) == "error")
+
+
 def assignments(waiting: DataFrame, backends: DataFrame, active: DataFrame, order_col: str = "job_id") -> DataFrame:
     """waiting jobs with the backend that has room for them.
 

@@ -76,10 +76,10 @@ def polygon_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sets, lists and joins ------------------------------------------------------
 
 
-@query("SELECT y.year::INT AS year, p.s_name AS provider, z.n_nationkey AS zone FROM range(2017, 2020) y(year), (SELECT s_name FROM supplier WHERE s_suppkey < 2) p, nation z")
+@query("SELECT y.year::INT AS year, p.r_name AS provider, z.n_nationkey AS zone FROM range(2017, 2020) y(year), region p, nation z")
 def cross_job_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = spark.range(2017, 2020).select(F.col("id").cast("int").alias("year"))
-    providers = table(spark, sf_dir, "supplier").where("s_suppkey < 2").select(F.col("s_name").alias("provider"))
+    providers = table(spark, sf_dir, "region").select(F.col("r_name").alias("provider"))
     return tables.cross_grid(years, providers, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("zone")))
 
 
@@ -266,16 +266,12 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion_matrix(pairs(spark, sf_dir), range(5))
 
 
-_PARCELS = "SELECT o_custkey % 3 + 1 AS own, " + ", ".join(f"count(*) FILTER (o_orderpriority LIKE '{k}%') AS c{k}" for k in (1, 2, 3)) + " FROM orders WHERE o_totalprice > 400000 GROUP BY o_custkey"
-
-
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parcels_of(table(spark, sf_dir, "orders").where("o_totalprice > 400000"))
+    cells = [F.count_if(F.startswith("o_orderpriority", F.lit(str(k)))).alias(f"c{k}") for k in (1, 2, 3)]
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*cells).withColumn("own", F.col("o_custkey") % 3 + 1)
 
 
-def parcels_of(rows: DataFrame) -> DataFrame:
-    cells = [F.count_if(F.startswith("o_orderpriority", F.lit(str(k)))).alias(f"c{k}") for k in (1, 2, 3)]
-    return rows.groupBy("o_custkey").agg(*cells).withColumn("own", F.col("o_custkey") % 3 + 1)
+_PARCELS = "SELECT o_custkey % 3 + 1 AS own, " + ", ".join(f"count(*) FILTER (o_orderpriority LIKE '{k}%') AS c{k}" for k in (1, 2, 3)) + " FROM orders GROUP BY o_custkey"
 
 
 @query(f"""WITH p AS ({_PARCELS}) SELECT k::INT AS class, count(*) FILTER (own = k) AS n, count(*) FILTER (own = k AND c = 0) AS missed, count(*) FILTER (own <> k AND c > 0) AS falsely_found
@@ -289,22 +285,6 @@ def any_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.anything_detected(parcels(spark, sf_dir), ["c1", "c2", "c3"]).select("own", "c1", "c2", "c3")
 
 
-_PARCELS_WHOLE = "SELECT o_custkey % 3 + 1 AS own, " + ", ".join(f"count(*) FILTER (o_orderpriority LIKE '{k}%') AS c{k}" for k in (1, 2, 3)) + " FROM orders GROUP BY o_custkey"
-
-
-@query(f"""WITH p AS ({_PARCELS_WHOLE}) SELECT k::INT AS class, count(*) FILTER (own = k) AS n, count(*) FILTER (own = k AND c = 0) AS missed, count(*) FILTER (own <> k AND c > 0) AS falsely_found
-FROM (SELECT own, 1 AS k, c1 AS c FROM p UNION ALL SELECT own, 2, c2 FROM p UNION ALL SELECT own, 3, c3 FROM p) GROUP BY k""")
-def detection_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """detection_counts over all orders."""
-    return metrics.detections(parcels_of(table(spark, sf_dir, "orders")), "own", {1: "c1", 2: "c2", 3: "c3"})
-
-
-@query(f"SELECT own, c1, c2, c3 FROM ({_PARCELS_WHOLE}) WHERE c1 > 0 OR c2 > 0 OR c3 > 0")
-def any_detected_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """any_detected over all orders."""
-    return metrics.anything_detected(parcels_of(table(spark, sf_dir, "orders")), ["c1", "c2", "c3"]).select("own", "c1", "c2", "c3")
-
-
 @query(f"SELECT count(*) FILTER (target IS NULL) AS target, count(*) FILTER (predicted IS NULL) AS predicted FROM ({_PAIRS})")
 def unmatched_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.missing_counts(pairs(spark, sf_dir))
@@ -407,14 +387,7 @@ def feature_collection_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p.year", "p.zone", "p.crop", F.size("c.features").cast("long").alias("features"), F.get("c.features.id", F.lit(0)).alias("first_id"))
 
 
-@query("SELECT l_shipdate AS t, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_shipdate) AS rank FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01' GROUP BY l_shipdate")
-def ranked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "lineitem").where("l_shipdate < '1995-03-01'").groupBy(F.col("l_shipdate").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    return sequences.ranked(counts, "n", ["t"]).withColumn("rank", F.col("rank").cast("long"))
-
-
 @query("SELECT l_shipdate AS t, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_shipdate) AS rank FROM lineitem GROUP BY l_shipdate")
-def ranked_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ranked_counts over all dates."""
+def ranked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").alias("t")).agg(F.count(F.lit(1)).alias("n"))
     return sequences.ranked(counts, "n", ["t"]).withColumn("rank", F.col("rank").cast("long"))

@@ -60,14 +60,11 @@ def test_the_rest_stands_alone(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
 
 
-WHOLE = ["merge_cubes", "expected_gaps", "ranked_counts", "any_detected", "detection_counts", "utm_round_trip"]
-
-
-@pytest.mark.parametrize("name", WHOLE)
-def test_whole_queries_hold_more_than_the_cut_ones(spark, sf, name):
-    whole, cut = QUERIES[f"{name}_whole"](spark, sf), QUERIES[name](spark, sf)
-    if name == "detection_counts":
-        whole, cut = (x.groupBy().sum("n") for x in (whole, cut))
-        assert whole.first()[0] > cut.first()[0]
-    else:
-        assert whole.count() > cut.count()
+def test_queries_read_whole_tables(spark, sf):
+    rows = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    buyers = rows("orders").select("o_custkey").distinct().count()
+    assert QUERIES["detection_counts"](spark, sf).groupBy().sum("n").first()[0] == buyers
+    assert QUERIES["utm_round_trip"](spark, sf).count() == rows("customer").count()
+    assert QUERIES["ranked_counts"](spark, sf).groupBy().sum("n").first()[0] == rows("lineitem").count()
+    assert QUERIES["merge_cubes"](spark, sf).where("spent IS NOT NULL").count() == buyers
+    assert QUERIES["cross_job_grid"](spark, sf).count() == 3 * rows("region").count() * rows("nation").count()
