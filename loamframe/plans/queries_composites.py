@@ -20,20 +20,20 @@ from loamframe.plans.specs import PICKS, FeatureOptions, Intervals, Season
 
 SEASON = Season.crops(1996)
 _BANDS = {
-    "B03": ("l_extendedprice / 20", F.col("l_extendedprice") / 20),
-    "B04": ("l_quantity * 100", F.col("l_quantity") * 100),
-    "B05": ("l_extendedprice / 15", F.col("l_extendedprice") / 15),
-    "B06": ("l_extendedprice / 10", F.col("l_extendedprice") / 10),
-    "B07": ("l_extendedprice / 12 + 50", F.col("l_extendedprice") / 12 + 50),
-    "B08": ("l_extendedprice / 8", F.col("l_extendedprice") / 8),
-    "B11": ("l_discount * 50000", F.col("l_discount") * 50000),
-    "B12": ("l_tax * 60000", F.col("l_tax") * 60000),
+    "B03": "l_extendedprice / 20",
+    "B04": "l_quantity * 100",
+    "B05": "l_extendedprice / 15",
+    "B06": "l_extendedprice / 10",
+    "B07": "l_extendedprice / 12 + 50",
+    "B08": "l_extendedprice / 8",
+    "B11": "l_discount * 50000",
+    "B12": "l_tax * 60000",
 }
 
 
 def optical(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("l_suppkey") % 40, F.floor(F.col("l_suppkey") / 40)
-    made = [c.alias(name) for name, (_, c) in _BANDS.items()]
+    made = [F.expr(sql).alias(name) for name, sql in _BANDS.items()]
     return table(spark, sf_dir, "lineitem").select(x.alias("x"), y.alias("y"), F.col("l_shipdate").alias("t"), *made, F.col("l_linenumber").alias("SCL"), (F.col("l_quantity") * 2).alias("cloud_cover"))
 
 
@@ -48,7 +48,7 @@ def landcover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COVER = "SELECT DISTINCT p_partkey % 40 AS x, p_partkey // 40 AS y, true AS kept FROM part WHERE p_size % 5 * 10 IN (30, 40)"
-_SCENES = "SELECT l_suppkey % 40 AS x, l_suppkey // 40 AS y, l_shipdate AS t, l_linenumber, " + ", ".join(f"{sql} AS {name}" for name, (sql, _) in _BANDS.items()) + " FROM lineitem WHERE l_quantity * 2 <= 80"
+_SCENES = "SELECT l_suppkey % 40 AS x, l_suppkey // 40 AS y, l_shipdate AS t, l_linenumber, " + ", ".join(f"{sql} AS {name}" for name, sql in _BANDS.items()) + " FROM lineitem WHERE l_quantity * 2 <= 80"
 _CLEAR = f"SELECT x, y, t, " + ", ".join(f"CASE WHEN l_linenumber IN (4, 5) AND kept THEN {name} END AS {name}" for name in _BANDS) + f" FROM ({_SCENES}) LEFT JOIN ({_COVER}) USING (x, y)"
 
 
