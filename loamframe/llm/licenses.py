@@ -4,19 +4,23 @@ A text's units are its lines, its blocks between blank lines and, if it is short
 enough, the text as a whole.  A unit is lower-cased, everything but letters and
 digits becomes one space, and the set of its word bigrams is compared with each
 template's: 2 * common / (sizes added).  At a threshold t only templates of
-between t / (2 - t) and (2 - t) / t times the unit's size can reach it; other
-pairs are pruned before any bigram is looked up.
+between t / (2 - t) and (2 - t) / t times the unit's size can reach it.  Units whose
+numbers of words and of distinct words fit no template are left out before their
+bigrams are made, and pairs of a unit and a template before these are compared.
 
 A notice inside a longer line, or wrapped over lines of a longer block, is found by
 windows: runs of the whole text's words that begin and end with a bigram of the
-template and have at most (2 - t) / t times its size, scored by the same measure.  They only add
-licences that no unit of the document gives; n_units then counts the distinct
-windows of the best score.  A notice of one word is sought in units alone.
+template and have at most (2 - t) / t times its size, scored by the same measure.
+Only stretches of a text around its telling words are cut into windows, as a match
+holds one.  They only add licences that no unit of the document gives; n_units
+then counts the distinct windows of the best score.  A notice of one word is
+sought in units alone.
 
 All is DataFrame expressions.  Defined results: null or empty texts and units
-without words match nothing; a unit of one word has that word as its only bigram;
-equal units of a text count once; rows with one id are one document; null ids are
-scanned as one document; an empty table gives no rows; other columns are not read.
+without words match nothing; very long texts are scanned whole; a unit of one word
+has that word as its only bigram; equal units of a text count once; rows with one
+id are one document; null ids are scanned as one document; an empty table gives no
+rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -45,6 +49,21 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "LGPL": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "AGPL": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
@@ -74,8 +93,7 @@ def words(text: Column) -> Column:
 def bigrams(w: Column) -> Column:
     """Distinct bigrams of an array of words; of a single word, the word."""
     n = F.size(w)
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(n < 2, w).otherwise(F.array_distinct(pairs))
+    return F.when(n < 2, w).otherwise(F.array_distinct(pairs_of(w)))
 
 
 def telling_parts(notices: list[list[str]], threshold: float, least_letters: int = 7) -> list[tuple[str, ...]]:
@@ -112,16 +130,45 @@ def holds_any(text: Column, parts: list[tuple[str, ...]]) -> Column:
     return F.exists(F.array(F.lower(text)), found)
 
 
-def windows(texts: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
-    """Best windows of texts (id, text) as id, license, dice and unit.
+def pairs_of(w: Column) -> Column:
+    """Bigrams of an array of words, one for each place."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def stretches(texts: DataFrame, notices: list[list[str]], telling: list[tuple[str, ...]], longest: int) -> DataFrame:
+    """id, doc, p and bigram of the texts (id, text) near telling words.
+
+    A text is cut into blocks of the longest window's width.  A window with a telling
+    word or bigram begins in its block or the one before and ends there or in the next.
+    """
+    whole = sorted({w for n in notices for w in n if any(len(p) == 1 and p[0] in w for p in telling)})
+    double, first = sorted(" ".join(p) for p in telling if len(p) == 2), sorted({p[0] for p in telling if len(p) == 2})
+
+    def near(w: Column) -> Column:
+        """Blocks that hold a telling word, and those beside them."""
+
+        def held(a: Column, b: Column) -> Column:
+            return F.when(a.isin(whole), True).when(a.isin(first), F.concat(a, F.lit(" "), b).isin(double))
+
+        told = F.zip_with(w, F.slice(w, 2, F.size(w)), held)
+        own = F.array_distinct(F.array_compact(F.transform(told, lambda x, i: F.when(x, F.floor(i / longest).cast("int")))))
+        return F.array_distinct(F.flatten(F.transform(own, lambda b: F.array(b - 1, b, b + 1))))
+
+    # words are made once: the array of one element binds them, and exploding it ends the projection
+    once = F.transform(F.array(words(F.col("text"))), lambda w: F.struct(w.alias("w"), near(w).alias("near")))
+    placed = texts.select("id", F.xxhash64("text").alias("doc"), F.explode(once).alias("x"))
+    blocks = placed.select("id", "doc", "x.w", F.explode("x.near").alias("at")).where("at >= 0")
+    cut = blocks.select("id", "doc", "at", F.slice("w", F.col("at") * longest + 1, F.lit(longest + 1)).alias("w"))
+    return cut.select("id", "doc", "at", F.posexplode(pairs_of(F.col("w"))).alias("p", "bigram")).select("id", "doc", (F.col("at") * longest + F.col("p")).alias("p"), "bigram")
+
+
+def windows(placed: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """Best windows of placed bigrams (id, doc, p, bigram) as id, license, dice and unit.
 
     A text's bigrams that a template holds are dealt to blocks of the longest window's
     width, each to its own and the one before, so that a window lies in the block of its start.
     """
-    w = words(F.col("text"))
-    n = F.size("w")
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    placed = texts.select("id", F.xxhash64("text").alias("doc"), w.alias("w")).select("id", "doc", F.posexplode(pairs).alias("p", "bigram"))
     width = F.ceil(F.col("m") * (2 - threshold) / threshold - 1e-9).cast("int")
     met = placed.join(entries.where(F.contains("bigram", F.lit(" "))), "bigram").withColumn("width", width)
     own = F.floor(F.col("p") / F.col("width"))
@@ -162,19 +209,23 @@ def scan(df: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, th
     low, high = limits.least * threshold / (2 - threshold), limits.most * (2 - threshold) / threshold
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     blocks = F.when(F.regexp_like("text", F.lit(r"\n\s*\n")), F.split("text", r"\n\s*\n")).otherwise(F.array().cast("array<string>"))
-    telling = telling_parts([r.w for r in known.select("w").collect()], threshold)
+    notices = [r.w for r in known.select("w").collect()]
+    telling = telling_parts(notices, threshold)
     whole = F.when(F.contains("text", F.lit("\n")), F.array("text")).otherwise(F.array().cast("array<string>"))
     texts = df.select(F.col(id_col).alias("id"), text.alias("text")).where(holds_any(F.col("text"), telling))
     units = texts.select("id", F.explode(F.array_distinct(F.concat(F.split("text", "\n"), blocks, whole))).alias("unit"))
     units = units.where(holds_any(F.col("unit"), telling))
-    sized = units.withColumn("w", words(F.col("unit"))).where(F.size("w") > 0).select("id", F.array_join("w", " ").alias("unit"), bigrams(F.col("w")).alias("b"))
+    # n words of which d are distinct have at most n - 1 and at least d - 1 distinct bigrams
+    bounded = (F.size("w") > 0) & (F.greatest(F.lit(1), F.size("w") - 1) >= low - 1e-9) & (F.size(F.array_distinct("w")) - 1 <= high + 1e-9)
+    sized = units.withColumn("w", words(F.col("unit"))).where(bounded).select("id", F.array_join("w", " ").alias("unit"), bigrams(F.col("w")).alias("b"))
     fit = sized.where(F.size("b").between(low - 1e-9, high + 1e-9) & F.arrays_overlap("b", F.array(*map(F.lit, limits["all"])))).select("id", F.xxhash64("unit").alias("unit"), "b").distinct()
     entries = known.select("license", "template", "m", F.explode("b").alias("bigram"))
     fits = (F.col("n") >= F.col("m") * threshold / (2 - threshold) - 1e-9) & (F.col("n") <= F.col("m") * (2 - threshold) / threshold + 1e-9)
     met = fit.select("id", "unit", F.size("b").alias("n"), F.explode("b").alias("bigram")).join(entries, "bigram").where(fits)
     dice = met.groupBy("id", "unit", "license", "template", "n", "m").agg(F.count(F.lit(1)).alias("common"))
     dice = dice.withColumn("dice", 2 * F.col("common") / (F.col("n") + F.col("m"))).where(F.col("dice") >= threshold)
-    inner = windows(texts, entries, threshold).groupBy("id", "license", "dice").agg(F.count_distinct("unit").alias("n_units")).select("id", "license", F.lit(False).alias("natural"), "dice", "n_units")
+    longest = math.ceil(limits.most * (2 - threshold) / threshold - 1e-9)
+    inner = windows(stretches(texts, notices, telling, longest), entries, threshold).groupBy("id", "license", "dice").agg(F.count_distinct("unit").alias("n_units")).select("id", "license", F.lit(False).alias("natural"), "dice", "n_units")
     outer = dice.groupBy("id", "license").agg(F.max("dice").alias("dice"), F.count_distinct("unit").alias("n_units")).select("id", "license", F.lit(True).alias("natural"), "dice", "n_units")
     found = outer.unionByName(inner).groupBy("id", "license").agg(F.max(F.struct("natural", "dice", "n_units")).alias("best")).select("id", "license", "best.dice", "best.n_units")
     return found.withColumnRenamed("id", id_col)
