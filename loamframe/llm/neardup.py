@@ -164,11 +164,14 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, scratch: Scratch) ->
     return scratch.table(found.where(F.col("n") > 0).join(ids, "id", "left_semi"), "sets")
 
 
-def postings(reps: DataFrame, similarity: Similarity) -> DataFrame:
-    """The inverted lists' rows (v, rep, n, central): each set's rarest retained values that another set has too."""
+def postings(reps: DataFrame, similarity: Similarity, scratch: Scratch) -> DataFrame:
+    """The inverted lists' rows (v, rep, n, central): each set's rarest retained values that another set has too.
+
+    Counts of values are a table of their own, so that a join with them can split a value that very many sets hold.
+    """
     overlap = F.array(*[F.lit(x) for x in least_overlap(similarity)])
     values = reps.select("rep", "n", F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = scratch.table(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     own = Window.partitionBy("rep")
     size = F.least("n", F.lit(RETAINED))
     rows = values.join(shared, "v").select(
@@ -210,7 +213,7 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def crowded(named: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
+def crowded(named: DataFrame, sets: DataFrame, similarity: Similarity, scratch: Scratch) -> DataFrame:
     """rep of the sets in named (rep, component) that may be linked with one of another component.
 
     Values are ordered from the rarest.  Of two linked sets the larger has their
@@ -219,7 +222,7 @@ def crowded(named: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFr
     """
     whole = named.join(sets.select(F.col("id").alias("rep"), "n", "values"), "rep")
     values = whole.select("rep", "component", "n", F.explode("values").alias("v"))
-    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = scratch.table(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     own = Window.partitionBy("rep")
     single = F.col("n") - F.count(F.lit(1)).over(own)
     place = F.row_number().over(own.orderBy("df", "v")) + single
@@ -227,9 +230,10 @@ def crowded(named: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFr
     probe = n - F.call_function("div", n * p + 99, F.lit(100).cast("long")) + 1
     index = n - F.call_function("div", 2 * n * p + 99 + p, F.lit(100 + p).cast("long")) + 1
     rows = values.join(shared, "v").withColumn("place", place).where(F.col("place") <= probe).select("v", "rep", "component", (F.col("place") <= index).alias("first"))
+    rows = scratch.table(rows, "rare")
     meets = (F.col("lo") < F.col("hi")) & F.col("any_first")
     lists = rows.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("first").alias("any_first")).where(meets)
-    return rows.join(lists.select("v"), "v", "left_semi").select("rep").distinct()
+    return rows.join(scratch.table(lists.select("v"), "met"), "v", "left_semi").select("rep").distinct()
 
 
 def leftover(groups: DataFrame, labels: DataFrame, sets: DataFrame, similarity: Similarity, scratch: Scratch) -> DataFrame | None:
@@ -244,7 +248,7 @@ def leftover(groups: DataFrame, labels: DataFrame, sets: DataFrame, similarity:
     some = scratch.table(named.join(main, "centre").join(open_, "centre", "left_semi"), "open")
     if some.isEmpty():
         return None
-    near = scratch.table(crowded(some.select("rep", "component").distinct(), sets, similarity), "near")
+    near = scratch.table(crowded(some.select("rep", "component").distinct(), sets, similarity, scratch), "near")
     whole = some.join(near, "rep").join(sets.select(F.col("id").alias("rep"), "n", "values"), "rep")
     salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
     x = whole.where("component <> main").select("centre", salt.alias("salt"), F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("values").alias("va"))
@@ -269,7 +273,7 @@ def near_duplicates(df: DataFrame, similarity: Similarity = Similarity(), id_col
         firsts = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("id", "a")
         links = members.join(firsts, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
 
-        lists = scratch.table(postings(reps.select("rep", "n", "sketch"), similarity), "lists")
+        lists = scratch.table(postings(reps.select("rep", "n", "sketch"), similarity, scratch), "lists")
         sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", -F.col("rep"), F.col("n"))).alias("top")).where("m > 1")
         sizes = scratch.table(sizes.select("v", "m", (-F.col("top.col2")).alias("centre"), F.col("top.n").alias("nc")), "sizes")
         short = lists.join(sizes.where(F.col("m") <= SHORT_LIST).select("v"), "v").select("v", "rep", "n")

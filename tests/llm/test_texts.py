@@ -129,7 +129,7 @@ def test_a_common_passage_leaves_no_crowd(spark):
     with neardup.Scratch(spark) as scratch:
         ids = df.select(F.col("doc_id").alias("id"))
         sets = neardup.full_sets(df.toDF("id", "text"), ids, 5, scratch)
-        near = {r.rep for r in neardup.crowded(ids.select(F.col("id").alias("rep"), F.col("id").alias("component")), sets, s).collect()}
+        near = {r.rep for r in neardup.crowded(ids.select(F.col("id").alias("rep"), F.col("id").alias("component")), sets, s, scratch).collect()}
     assert near == {0, 150, 151, 152}
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, s).collect()} == brute_components(rows, 5, 80)
 
@@ -146,7 +146,7 @@ def test_crowds_lose_no_link(spark, percent):
     df = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
     with neardup.Scratch(spark) as scratch:
         ids = df.select("id")
-        near = {r.rep for r in neardup.crowded(ids.select(F.col("id").alias("rep"), F.col("id").alias("component")), neardup.full_sets(df, ids, 3, scratch), s).collect()}
+        near = {r.rep for r in neardup.crowded(ids.select(F.col("id").alias("rep"), F.col("id").alias("component")), neardup.full_sets(df, ids, 3, scratch), s, scratch).collect()}
     assert linked <= near and linked
 
 
