@@ -172,6 +172,26 @@ def contains(ring: Column | str, x: Column | str, y: Column | str) -> Column:
     return crossings % 2 == 1
 
 
+def rings_meet(a: Column | str, b: Column | str) -> Column:
+    """Whether two rings share a point: an edge of one meets one of the other, or a ring lies inside the other."""
+    a, b = as_col(a), as_col(b)
+
+    def side(p: Column, q: Column, r: Column) -> Column:
+        return F.signum((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x))
+
+    def between(p: Column, q: Column, r: Column) -> Column:
+        return r.x.between(F.least(p.x, q.x), F.greatest(p.x, q.x)) & r.y.between(F.least(p.y, q.y), F.greatest(p.y, q.y))
+
+    def touch(e: Column, f: Column) -> Column:
+        d1, d2, d3, d4 = side(e.p, e.q, f.p), side(e.p, e.q, f.q), side(f.p, f.q, e.p), side(f.p, f.q, e.q)
+        on = ((d1 == 0) & between(e.p, e.q, f.p)) | ((d2 == 0) & between(e.p, e.q, f.q)) | ((d3 == 0) & between(f.p, f.q, e.p)) | ((d4 == 0) & between(f.p, f.q, e.q))
+        return ((d1 * d2 < 0) & (d3 * d4 < 0)) | on
+
+    first_a, first_b = F.get(a, F.lit(0)), F.get(b, F.lit(0))
+    inside = contains(a, first_b.x, first_b.y) | contains(b, first_a.x, first_a.y)
+    return inside | F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: touch(e, f)))
+
+
 def crossings(ring: Column | str, y: Column | str) -> Column:
     """Where the edges cross a horizontal line."""
     y = as_col(y)

@@ -57,5 +57,10 @@ def product_of_message(message: Column | str, length: int = 60) -> Column:
     return F.substring(as_col(message), 7, length)
 
 
+def time_label(t: Column | str, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
+    """A time as text, for names of jobs and files."""
+    return F.date_format(as_col(t), pattern)
+
+
 def title(label: Column | str, value: Column | str) -> Column:
     return F.format_string("%s %.1f", as_col(label), as_col(value))

@@ -30,6 +30,14 @@ def array_modify(cube: DataFrame, **constants: float) -> DataFrame:
     return cube.withColumns({k: F.lit(v) for k, v in constants.items()})
 
 
+def reduce_bands(cube: DataFrame, bands: Sequence[str], how: str, name: str, keys: Sequence[str] = (*PIXEL, "t")) -> DataFrame:
+    """One band: the mean, sum, min or max over the named bands of each row, without the null ones."""
+    values = F.array_compact(F.array(*bands))
+    total, n = F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values)
+    made = {"sum": F.when(n > 0, total), "mean": total / F.nullif(n, F.lit(0)), "min": F.array_min(values), "max": F.array_max(values)}
+    return cube.select(*[k for k in keys if k in cube.columns], made[how].alias(name))
+
+
 def to_long(cube: DataFrame, bands: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """keys, band, value: one row per band."""
     return cube.unpivot(list(keys), list(bands), "band", "value")

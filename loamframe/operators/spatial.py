@@ -49,6 +49,13 @@ def spatial_join(points: DataFrame, polygons: DataFrame, point_id: str, x: str =
     return points.join(hits, point_id, how)
 
 
+def meeting(features: DataFrame, polygons: DataFrame, id_col: str, ring_col: str = "ring", size: float = 1.0) -> DataFrame:
+    """Features whose ring shares a point with one of the polygons; both meet in the grid cells that their boxes touch."""
+    cells = covering_cells(polygons.select(F.col(ring_col).alias("_other")), "_other", size)
+    near = covering_cells(features.select(id_col, ring_col), ring_col, size).join(cells, ["_cx", "_cy"])
+    return features.join(near.where(geo.rings_meet(ring_col, "_other")).select(id_col).distinct(), id_col, "left_semi")
+
+
 def zonal(cube: DataFrame, zones: DataFrame, keys: Sequence[str], zone_cols: Sequence[str], bands: Sequence[str], how: str = "avg", by: Sequence[str] = ()) -> DataFrame:
     """Bands reduced over each zone (and the columns `by`); zones gives the zone of every key."""
     return cube.join(zones, list(keys)).groupBy(*zone_cols, *by).agg(*[getattr(F, how)(b).alias(b) for b in bands])
@@ -111,10 +118,21 @@ def convex_hulls(points: DataFrame, group_col: str, x: str = "x", y: str = "y",
     return whole.groupBy(F.col("g").alias(group_col)).agg(ring.alias("ring"))
 
 
+def overlapping_rings(polygons: DataFrame, id_col: str, size: float, ring_col: str = "ring") -> DataFrame:
+    """id and group (smallest id) of polygons that share a point, directly or over others; jobs run when this is called."""
+    cells = covering_cells(polygons.select(id_col, ring_col), ring_col, size)
+    a = cells.select("_cx", "_cy", F.col(id_col).alias("a"), F.col(ring_col).alias("ring_a"))
+    b = cells.select("_cx", "_cy", F.col(id_col).alias("b"), F.col(ring_col).alias("ring_b"))
+    links = a.join(b, ["_cx", "_cy"]).where((F.col("a") < F.col("b")) & geo.rings_meet("ring_a", "ring_b")).select("a", "b").distinct()
+    groups = components(links).select(F.col("id").alias(id_col), F.col("component").alias("_group"))
+    return polygons.select(id_col).join(groups, id_col, "left").select(id_col, F.coalesce("_group", id_col).alias("group"))
+
+
 def overlapping_groups(boxes: DataFrame, id_col: str, size: float) -> DataFrame:
     """id and group (smallest id) of boxes (minx, miny, maxx, maxy) that overlap, directly or over others.
 
-    Boxes meet in shared grid cells of the given size; what overlaps is then joined to components.
+    Boxes meet in shared grid cells of the given size; what overlaps is then joined to
+    components, by jobs that run when this is called.
     """
     ring = geo.box_ring("minx", "miny", "maxx", "maxy")
     cells = covering_cells(boxes.withColumn("_ring", ring), "_ring", size).drop("_ring")

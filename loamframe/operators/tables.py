@@ -51,10 +51,18 @@ def not_done(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame
     return difference(todo, done, keys)
 
 
-def positional_join(rows: DataFrame, position_col: str, values: DataFrame, list_col: str, name: str) -> DataFrame:
-    """rows with the list element at their position; rows past its end have null."""
-    items = values.select(F.posexplode(list_col).alias("_at", name))
-    return rows.join(items, F.col(position_col) == F.col("_at"), "left").drop("_at")
+def positional_join(rows: DataFrame, position_col: str, values: DataFrame, list_col: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """rows with the element at their position of the list that has their keys; rows past its end have null.
+
+    values holds one list for each combination of the keys, or one list in all.
+    """
+    items = values.select(*keys, F.posexplode(list_col).alias(position_col, name))
+    return rows.join(items, [*keys, position_col], "left").select(*rows.columns, name)
+
+
+def matching(df: DataFrame, predicate: str) -> DataFrame:
+    """Rows for which a predicate, written as an SQL expression on the columns, is true."""
+    return df.where(F.expr(predicate))
 
 
 def group_sizes(df: DataFrame, *keys: str) -> DataFrame:

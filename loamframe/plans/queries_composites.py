@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from loamframe.functions import arith, geo, text
 from loamframe.operators import cube as C
-from loamframe.operators import ledger, sequences, spatial, tables
+from loamframe.operators import learning, ledger, sequences, spatial, tables
 from loamframe.plans import features, workflows
 from loamframe.plans.catalog import query, table
 from loamframe.plans.queries_cube import grid, lines
 from loamframe.plans.queries_space import lonlat
 from loamframe.plans.specs import PICKS, FeatureOptions, Intervals, Season
+from loamframe.sources import readers
 
 SEASON = Season.crops(1996)
 _BANDS = {
@@ -317,3 +318,62 @@ def bands_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A computed band beside one that stays; the others are dropped."""
     keys = ["l_orderkey", "l_linenumber"]
     return C.with_bands(lines(spark, sf_dir), {"gap": arith.rounded(F.col("nir") - F.col("red"))}, keep=[*keys, "red", "gap"])
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_extendedprice / 1000 + l_quantity + coalesce(nullif(l_tax, 0) * 100, 0)) / (2 + (l_tax <> 0)::INT) + 1e-9, 4) AS mean FROM lineitem")
+def bands_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean over the bands that are not null."""
+    rows = lines(spark, sf_dir).withColumn("green", F.nullif("green", F.lit(0.0)))
+    return C.reduce_bands(rows, ["nir", "red", "green"], "mean", "mean", ["l_orderkey", "l_linenumber"]).withColumn("mean", arith.rounded("mean"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS label FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 200000")
+def matching_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a predicate given as text, with their time as a label."""
+    rows = tables.matching(table(spark, sf_dir, "orders"), "o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 200000")
+    return rows.select("o_orderkey", text.time_label("o_orderdate").alias("label"))
+
+
+@query("""WITH v AS (SELECT n_regionkey, list(n_nationkey * 1.5::DOUBLE ORDER BY n_nationkey) AS v FROM nation GROUP BY ALL),
+r AS (SELECT c_custkey, n_regionkey, (c_custkey % 7)::INT AS position FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey, v[position + 1] AS value FROM r JOIN v USING (n_regionkey)""")
+def keyed_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of several lists by key and position."""
+    nations = table(spark, sf_dir, "nation")
+    values = nations.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.col("n_nationkey") * F.lit(1.5))).alias("v"))
+    rows = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey", (F.col("c_custkey") % 7).cast("int").alias("position"))
+    return tables.positional_join(rows, "position", values, "v", "value", ["n_regionkey"]).select("c_custkey", "value")
+
+
+def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square standing on a corner for each supplier."""
+    k = F.col("s_suppkey")
+    x, y = (k * 37 % 500).cast("double"), (k * 53 % 300).cast("double")
+    corners = ((6.0, 0.0), (12.0, 6.0), (6.0, 12.0), (0.0, 6.0))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array(*[F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in corners]).alias("ring"))
+
+
+_DIAMONDS = "SELECT s_suppkey AS id, (s_suppkey * 37 % 500)::DOUBLE + 6 AS x, (s_suppkey * 53 % 300)::DOUBLE + 6 AS y FROM supplier"
+
+
+@query(f"""WITH RECURSIVE b AS ({_DIAMONDS}), e AS (SELECT a.id AS i, c.id AS j FROM b a JOIN b c ON abs(a.x - c.x) + abs(a.y - c.y) <= 12 AND a.id <> c.id),
+r AS (SELECT id AS s, id AS t FROM b UNION SELECT r.s, e.j FROM r JOIN e ON e.i = r.t)
+SELECT s AS s_suppkey, min(t) AS "group" FROM r GROUP BY s""")
+def overlap_groups_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of polygons that share a point, whatever their boxes do."""
+    return spatial.overlapping_rings(squares(spark, sf_dir), "s_suppkey", 24.0)
+
+
+@query(f"SELECT id AS s_suppkey FROM ({_DIAMONDS}) WHERE greatest(100 - x, 0, x - 250) + greatest(50 - y, 0, y - 200) <= 6")
+def masked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that meet a mask polygon."""
+    mask = spark.range(1).select(geo.box_ring(F.lit(100.0), F.lit(50.0), F.lit(250.0), F.lit(200.0)).alias("ring"))
+    return readers.masked(squares(spark, sf_dir), mask, "s_suppkey", size=50.0).select("s_suppkey")
+
+
+@query()
+def ml_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracies of boosted trees over a grid of learning rates."""
+    names = [f"f{k}" for k in range(8)]
+    rows = table(spark, sf_dir, "embeddings").select((F.col("label") % 3).cast("string").alias("kind"), *[F.get("embedding", F.lit(k)).alias(f"f{k}") for k in range(8)])
+    return learning.tuned_boosting(rows, learning.boosted(names, "kind", rounds=2, depth=2), rates=(0.1, 0.3), depths=(2,), folds=2)[1]

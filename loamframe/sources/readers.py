@@ -51,10 +51,12 @@ def features_from_dict(spark: SparkSession, collection: Mapping) -> DataFrame:
     return spark.createDataFrame(rows, "position int, properties map<string,string>, ring array<struct<x:double,y:double>>")
 
 
-def masked(features: DataFrame, polygons: DataFrame, id_col: str, size: float = 1.0) -> DataFrame:
-    """Features whose centroid lies in one of the polygons (column ring)."""
-    from loamframe.operators.spatial import spatial_join
+def masked(features: DataFrame, polygons: DataFrame, id_col: str, size: float = 1.0, by: str = "intersection") -> DataFrame:
+    """Features that share a point with one of the polygons (column ring) or, by `centroid`, whose centroid lies in one."""
+    from loamframe.operators.spatial import meeting, spatial_join
 
+    if by == "intersection":
+        return meeting(features, polygons, id_col, size=size)
     middle, first = geo.centroid("ring"), F.get("ring", F.lit(0))
     at = features.select(id_col, F.coalesce(middle.x, first.x).alias("x"), F.coalesce(middle.y, first.y).alias("y"))
     inside = spatial_join(at, polygons.select("ring"), id_col, size=size, how="left_semi").select(id_col)

@@ -2,6 +2,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from loamframe.functions import geo
 from loamframe.operators import cube, sequences, spatial, tables
 from loamframe.plans import features, workflows
 from loamframe.plans.specs import FeatureOptions, Season
@@ -58,3 +59,20 @@ def test_resources_and_tile_counts(spark, tmp_path, monkeypatch):
     assert {r.tile: r.n for r in spatial.tile_counts(products, tiles, "2019-01-01", "2019-12-31").collect()} == {"t1": 1, "t2": 0}
     split = workflows.tile_providers(spark.createDataFrame([(200, 100), (50, 100), (None, 100)], "sentinel2count int, sentinel1count int"))
     assert [r.provider for r in split.collect()] == ["local", "cloud", "cloud"]
+
+
+def test_rings_meet_at_corners_edges_and_inside(spark):
+    def box(x, y, w):
+        return [(float(a), float(b)) for a, b in ((x, y), (x + w, y), (x + w, y + w), (x, y + w))]
+
+    rings = [("apart", box(0, 0, 2), box(5, 5, 1), False), ("corner", box(0, 0, 2), box(2, 2, 1), True), ("edge", box(0, 0, 2), box(2, 0.5, 1), True), ("inside", box(0, 0, 9), box(3, 3, 1), True), ("cross", box(0, 0, 2), box(1, 1, 2), True)]
+    rings += [("boxes only", [(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)], [(4.0, 4.0), (4.0, 2.5), (2.5, 4.0)], False)]
+    df = spark.createDataFrame([(n, a, b, e) for n, a, b, e in rings], "name string, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>, expected boolean")
+    for r in df.select("name", "expected", geo.rings_meet("a", "b").alias("ab"), geo.rings_meet("b", "a").alias("ba")).collect():
+        assert r.ab == r.ba == r.expected, r.name
+
+
+def test_reduce_bands_leaves_nulls_out(spark):
+    df = spark.createDataFrame([(1, 2.0, None, 4.0), (2, None, None, None)], "k int, a double, b double, c double")
+    found = {how: [r.v for r in cube.reduce_bands(df, ["a", "b", "c"], how, "v", ["k"]).orderBy("k").collect()] for how in ("mean", "sum", "min", "max")}
+    assert found == {"mean": [3.0, None], "sum": [6.0, None], "min": [2.0, None], "max": [4.0, None]}
