@@ -3,6 +3,13 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the
 rows are written as Parquet to the shared folder and read again.  All but the
 last return the columns of documents.
+
+Defined results: rows with a null id are never labelled, deduplicated or found to
+leak, so only their toxicity drops them; null and empty texts pass all filters, and
+very long ones are read whole; rows with one id are dropped or kept together and, in
+the mix, all taken as often as the one taken most; an empty table gives no rows; extra
+columns, whatever their names, pass through all stages but the last, which does not
+read them.
 """
 
 from __future__ import annotations

@@ -45,10 +45,15 @@ def block(role: Column, text: Column, again: bool = False) -> Column:
     return F.concat(F.lit(AGAIN if again else NEW), role, F.lit("\n"), text, F.lit(AGAIN_END if again else NEW_END))
 
 
-def format_windows(conversations: DataFrame, budget: int = 512, history_turns: int = 2, history_budget: int = 128, target: str = "assistant", system: str = "system", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per window: conv_id, window, formatted text, loss spans (code points, [start, end)) and n_new turns."""
+def format_windows(conversations: DataFrame, budget: int = 512, history_turns: int = 2, history_budget: int = 128, target: str = "assistant", system: str = "system", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
+    """One row per window: conv_id, window, formatted text, loss spans (code points, [start, end)) and n_new turns.
+
+    A turn's tokens are those that the column tokens_col counts, as a tokenizer gives them, or
+    else its words; a null count is 0.
+    """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
-    rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
+    counted = word_count(text) if tokens_col is None else F.coalesce(F.col(tokens_col), F.lit(0)).cast("long")
+    rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), counted.alias("counted"))
     order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.select(
         "conv",
@@ -56,7 +61,7 @@ def format_windows(conversations: DataFrame, budget: int = 512, history_turns: i
         F.col("role"),
         escape(F.col("role"), line_breaks=True).alias("r"),
         escape(F.col("text")).alias("t"),
-        (word_count(F.col("text")) + MARK_TOKENS).alias("tokens"),
+        (F.col("counted") + MARK_TOKENS).alias("tokens"),
     )
     order = Window.partitionBy("conv").orderBy("pos")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -8,9 +8,11 @@ constant, and a bounded-knapsack dynamic programme over the remaining lengths
 finds the sum nearest below it.  Which documents of a length are taken follows
 from a seeded hash of the id.
 
-Defined results: null texts have size 0; a null source is a source of its own and
-comes last; documents of size 0 follow their source's whole passes; repeated rows
-count as documents of their own; an empty table gives no rows.
+Defined results: null texts have size 0, very long ones are counted whole; a null
+source is a source of its own and comes last; documents of size 0 follow their
+source's whole passes; repeated rows count as documents of their own; an empty table
+gives no rows; other columns, whatever their names, are not read, and pass through
+`mixed`.
 """
 
 from __future__ import annotations

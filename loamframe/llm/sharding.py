@@ -8,9 +8,11 @@ prunes files for predicates on any of them.
 Rows of one cell are spread over hash buckets of the id; only the bounded table
 of cells is summed in one task.  Everything is DataFrame expressions.
 
-Defined results: null texts have size 1 and checksum 0; null metadata lie in
-bucket 0; null ids come first in their bucket; repeated rows take slots of their
-own; an empty table gives no rows; other columns are carried through by `write`.
+Defined results: null texts have size 1 and checksum 0; very long texts are sized
+and summed whole, and above about 46 kB all lie in the last level of size; null
+metadata lie in bucket 0; null ids come first in their bucket; repeated rows take slots of their
+own; an empty table gives no rows; other columns, whatever their names, are not
+read, and carried through by `write`.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ The vocabulary is a byte-level BPE file with word ends, lower case and white
 space dropped.  Its special strings inside a text are one token each, as the
 library that reads such files does by default.
 
-Defined results: a null text counts as an empty one, with 0 tokens; null ids,
-repeated rows and extra columns do not matter; an empty table gives no rows.
+Defined results: a null text counts as an empty one, with 0 tokens; a very long
+text is counted whole, as a piece of its own; null ids, repeated rows and extra
+columns, whatever their names, do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations

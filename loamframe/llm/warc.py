@@ -10,10 +10,12 @@ WARC files come from the same records: `write_warc` lets Spark's text writer put
 the records, each ended by two line breaks, into .warc files, and `read_warc`
 cuts such files by their records' Content-Length.
 
-Defined results: a null payload counts as an empty one; null ids come last, so
+Defined results: a null payload counts as an empty one, a very long one is stored
+whole; null ids come last, so
 that such a page is the response only if all its copies lack an id; of repeated
 rows with one id and payload one is the response and the others revisit that id;
-an empty table gives an empty archive; other columns are not archived.
+an empty table gives an empty archive; other columns, whatever their names, are
+not archived.
 """
 
 from __future__ import annotations
@@ -123,7 +125,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The records of an archive, rebuilt by joining headers and payloads.
 
     header and payload give a record's original bytes; the other columns are read
-    from the header or computed from the stored payload, which is verified first.
+    from the header or computed from the stored payload, which is verified first; a
+    header whose digest or length does not fit its block stops the job.
     """
     stored = spark.read.parquet(f"{path}/payloads")
     sound = F.sha2("payload", 256) == F.col("digest")
@@ -137,10 +140,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     refers = F.regexp_extract(field("WARC-Refers-To"), r"^<urn:page:([^:>]*)", 1)
     heads = spark.read.parquet(f"{path}/headers").select(
         "digest", "header", "payload_bytes", page.alias("page"), field("WARC-Type").alias("record_type"), refers.alias("refers"),
-        F.substring(field("WARC-Payload-Digest"), 6, 32).alias("_declared"),
+        F.substring(field("WARC-Payload-Digest"), 6, 32).alias("_declared"), field("Content-Length").cast("long").alias("_length"),
     )
     found = heads.join(checked, F.col("digest") == F.col("_digest"), "left")
-    intact = (F.col("stored_bytes") == F.col("payload_bytes")) & (F.col("_declared") == F.col("payload_digest"))
+    block = F.when(F.col("record_type") == "response", F.col("stored_bytes")).otherwise(F.lit(0))
+    intact = (F.col("stored_bytes") == F.col("payload_bytes")) & (F.col("_declared") == F.col("payload_digest")) & (F.col("_length") == block)
     return found.select(
         F.when(F.col("page") != "null", F.col("page")).alias("page_id"),
         F.when(intact, F.col("stored_bytes")).otherwise(F.raise_error(F.concat(F.lit("no sound payload for "), F.col("digest")))).alias("payload_bytes"),

@@ -393,6 +393,16 @@ def test_a_changed_payload_is_found(spark, pages):
         warc.read_archive(spark, f"{path}-2").collect()
 
 
+def test_a_length_that_does_not_fit_is_found(spark, pages):
+    path = fresh_path(spark, "test-length")
+    warc.archive(pages, path)
+    longer = F.regexp_replace(F.col("header").cast("string"), "Content-Length: 0", "Content-Length: 1").cast("binary")
+    spark.read.parquet(f"{path}/headers").withColumn("header", longer).write.parquet(f"{path}-2/headers")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{path}-2/payloads")
+    with pytest.raises(Exception, match="no sound payload"):
+        warc.read_archive(spark, f"{path}-2").collect()
+
+
 def test_small_payloads_are_never_revisits(spark, pages):
     kinds = {r.page_id: r.record_type for r in warc.typed(warc.records(pages), least_bytes=11).collect()}
     assert set(kinds.values()) <= {"response", "revisit"} and kinds[5] == "revisit" and kinds[9] == kinds[3] == "response"
@@ -613,6 +623,13 @@ def test_chat_windows_read_back(spark, budget, history, history_budget):
     assert budget == 512 or windows.where("window > 0").count() > 0
 
 
+def test_tokens_of_a_column_cut_windows(spark):
+    rows = [(1, k, ("user", "assistant")[k % 2], "one long text without many words", n) for k, n in enumerate([20, 20, None, 90, 20])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n int")
+    windows = chat.format_windows(df, 60, 0, 0, tokens_col="n").orderBy("window").collect()
+    assert [w.n_new for w in windows] == [3, 1, 1] and chat.format_windows(df, 60, 0, 0).count() == 1
+
+
 def test_escape_is_reversible(spark):
     df = spark.createDataFrame([(t,) for t in ODD + ["\\\\l", "\\n\n"]], "t string")
     assert all(r.t == r.u == r.v for r in df.select("t", chat.unescape(chat.escape(F.col("t"))).alias("u"), chat.unescape(chat.escape(F.col("t"), True)).alias("v")).collect())
