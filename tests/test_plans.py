@@ -6,9 +6,9 @@ from loamframe.plans import catalog
 
 QUERIES, _ = catalog.load()
 #: Grids of small dimensions are crosses; quantile edges are one row; ledgers match at most their capacity's slots.
-CROSSES = {"cross_job_grid", "expected_gaps", "decile_medians"}
+CROSSES = {"cross_job_grid", "expected_gaps", "decile_medians", "extraction_plan"}
 #: Forests and hulls run Python or collect by design; streams have run before their result is read.
-OTHERS = {"ml_train_predict", "ml_feature_importance", "ml_cv", "cluster_hulls", "stream_interval_means", "overlap_groups"}
+OTHERS = {"ml_train_predict", "ml_feature_importance", "ml_cv", "ml_boosting", "cluster_hulls", "stream_interval_means", "overlap_groups", "overlap_groups_exact", "parcels_without_overlaps"}
 
 
 def plan(df):
