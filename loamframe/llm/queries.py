@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamframe.llm import chat, decontaminate, licenses, mixing, neardup, quality, sharding, tokencount, toxicity, warc
+from loamframe.llm import chat, decontaminate, licenses, mixing, neardup, quality, sharding, tokencount, toxicity, turnrepair, warc
 from loamframe.storage import fresh_path
 
 
@@ -234,10 +234,61 @@ SELECT * FROM whole UNION ALL SELECT i.* FROM inner_ i LEFT JOIN whole w ON w.do
 """
 
 
+def op11_turn_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "conversations")
+    return turnrepair.digests(found, turnrepair.repair(turnrepair.damaged(found)))
+
+
+def _op11_sql() -> str:
+    """The same by dynamic programming: per turn and state the least (cost, audit) as one string of nine digits and letters."""
+    edit = lambda key, cost, letter: f"(lpad(CAST(CAST(left({key}, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({key}, 10) || '{letter}')"
+    keep = lambda key, initial: f"CASE WHEN ini = '{initial}' AND NOT must THEN {edit(key, 'cut', 'K')} END"
+    role = lambda key: f"CASE WHEN NOT must THEN {edit(key, '2 + cut', 'R')} END"
+    drop = lambda key: edit(key, 3, "D")
+    asked = f"least(k2, {edit('k0', 2, 'I')}, {edit('k1', 2, 'I')}, {edit('k3', 2, 'I')})"
+    return rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+f AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS f FROM c),
+d AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS again FROM f WHERE f <> 0),
+o AS (SELECT conv_id, turn, role, text, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+k AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ 	-]*$') AS open, lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS pair FROM o),
+t AS (SELECT *, blank OR again AS must, CASE WHEN open THEN 1 ELSE 0 END AS cut FROM k),
+n AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (open AND NOT must) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id),
+s AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, '000000000' AS k0, CAST(NULL AS VARCHAR) AS k1, CAST(NULL AS VARCHAR) AS k2, CAST(NULL AS VARCHAR) AS k3 FROM t
+  UNION ALL
+  SELECT conv_id, pos, {drop('k0')}, least({drop('k1')}, {keep('k0', 's')}),
+    least({drop('j2')}, {', '.join(keep(x, 'u') + ', ' + role(x) for x in ('k0', 'k1', 'j3'))}), least({drop('j3')}, {keep('j2', 'a')}, {role('j2')})
+  FROM (SELECT *, least(k3, {edit('j2', 2, 'I')}) AS j3 FROM (
+    SELECT s.conv_id, t.pos, k0, k1, k2, k3, ini, must, cut, {asked} AS j2 FROM s JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.pos = s.pos + 1))),
+e AS (SELECT conv_id, arg_max(least(k0, k3, {edit('j2', 2, 'I')}), pos) AS best FROM (SELECT *, {asked} AS j2 FROM s) GROUP BY conv_id),
+a AS (SELECT conv_id, CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM e),
+x AS (SELECT conv_id, i, substr(audit, CAST(i AS INT), 1) AS letter FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS i FROM a)),
+y AS (
+  SELECT *, CASE WHEN letter <> 'I' THEN count(*) FILTER (letter <> 'I') OVER w END AS pos, count(*) FILTER (letter <> 'D') OVER w AS nth FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+z AS (SELECT y.*, t.role, t.text, max(CASE WHEN nth = 1 AND letter = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY y.conv_id) AS led FROM y LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM y.conv_id AND t.pos = y.pos),
+r AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (nth - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS said
+  FROM z WHERE letter <> 'D' GROUP BY conv_id)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_leaks": _op1_sql(), "op3_web_archive": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_windows": OP9_SQL, "op10_license_scan": _op10_sql()}
+    return {"op1_benchmark_leaks": _op1_sql(), "op3_web_archive": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_windows": OP9_SQL, "op10_license_scan": _op10_sql(), "op11_turn_repairs": _op11_sql()}
