@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamframe.llm import chat, decontaminate, licenses, mixing, neardup, quality, sharding, tokencount, toxicity, turnrepair, warc
+from loamframe.llm import chat, decontaminate, licenses, mixing, neardup, quality, sharding, tokencount, topk, toxicity, turnrepair, warc
 from loamframe.storage import fresh_path
 
 
@@ -257,8 +257,10 @@ d AS (
     CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS again FROM f WHERE f <> 0),
 o AS (SELECT conv_id, turn, role, text, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
 k AS (
-  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
-    NOT regexp_matches(text, '[.!?][ 	-]*$') AS open, lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS pair FROM o),
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS open, lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS pair FROM o),
 t AS (SELECT *, blank OR again AS must, CASE WHEN open THEN 1 ELSE 0 END AS cut FROM k),
 n AS (
   SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
@@ -285,10 +287,28 @@ FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN n ON n.conv_id IS
 """
 
 
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    vectors = vectors.select("vec_id", topk.scaled(F.col("embedding"), 1024).alias("v"))
+    return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors, k=10)
+
+
+OP12_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id AND len(c.v) = len(q.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_leaks": _op1_sql(), "op3_web_archive": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_windows": OP9_SQL, "op10_license_scan": _op10_sql(), "op11_turn_repairs": _op11_sql()}
+    return {"op1_benchmark_leaks": _op1_sql(), "op3_web_archive": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_windows": OP9_SQL, "op10_license_scan": _op10_sql(), "op11_turn_repairs": _op11_sql(), "op12_top_products": OP12_SQL}
