@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamframe.llm import chat, decontaminate, licenses, mixing, neardup, quality, sharding, tokencount, topk, toxicity, turnrepair, warc
+from loamframe.llm import chat, decontaminate, licenses, mixing, neardup, quality, sharding, tokencount, topk, toxicity, turnrepair, warc, whitening
 from loamframe.storage import fresh_path
 
 
@@ -305,6 +305,16 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 1
 """
 
 
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    whole = F.transform("embedding", lambda c: F.floor(F.lit(64) * c.cast("double")).cast("long") + 1_000_000)
+    found = whitening.whiten(vectors.select("vec_id", whole.alias("x")), components=16)
+    found = found.select("*", F.posexplode("whitened").alias("pos", "one"))
+    return found.select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", F.col("deviation").cast("long").alias("deviation"), F.col("one").alias("whitened"), F.get("explained", "pos").alias("explained"), "identity_error"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
