@@ -199,6 +199,15 @@ def crossings(ring: Column | str, y: Column | str) -> Column:
     return F.transform(cut, lambda e: (e.q.x - e.p.x) * (y - e.p.y) / (e.q.y - e.p.y) + e.p.x)
 
 
+def inner_point(ring: Column | str) -> Column:
+    """struct<x, y> of a point inside: on a line between the two lowest heights of corners, in the middle of its first part inside."""
+    ring = as_col(ring)
+    heights = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p.y)))
+    y = (F.get(heights, F.lit(0)) + F.get(heights, F.lit(1))) / 2
+    cut = F.array_sort(crossings(ring, y))
+    return F.when(F.size(cut) > 1, F.struct(((F.get(cut, F.lit(0)) + F.get(cut, F.lit(1))) / 2).alias("x"), y.alias("y")))
+
+
 def edge_distance(ring: Column | str, x: Column | str, y: Column | str) -> Column:
     """Distance from a point to the nearest edge."""
     x, y = as_col(x), as_col(y)

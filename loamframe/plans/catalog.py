@@ -30,6 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their SQL."""
-    from loamframe.plans import queries_composites, queries_cube, queries_space, queries_tables  # noqa: F401  they register their queries
+    from loamframe.plans import queries_composites, queries_cube, queries_overlay, queries_space, queries_tables  # noqa: F401  they register their queries
 
     return dict(QUERIES), dict(SQL)

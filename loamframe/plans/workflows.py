@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamframe.functions import arith, geo, legends, text
 from loamframe.operators import cube as C
-from loamframe.operators import metrics, sampling, sequences, spatial, tables
+from loamframe.operators import metrics, overlay, sampling, sequences, spatial, tables
 from loamframe.sources import sinks
 
 
@@ -190,6 +190,18 @@ def parcel_counts(parcels: DataFrame, raster: DataFrame, classes: Sequence[int],
     return metrics.anything_detected(big.join(counts, id_col, "left"), [f"c{k}" for k in classes])
 
 
+def dissolved_parcels(parcels: DataFrame, id_col: str, size: float, ring_col: str = "ring", precision: float = 1e-6) -> DataFrame:
+    """The parts of the union of all parcels (ring, holes, area), each with the attributes of its parcel of smallest id."""
+    parts = overlay.dissolved(parcels, size, ring_col=ring_col, precision=precision).withColumnsRenamed({"ring": "_ring", "area": "_area"})
+    inner = geo.inner_point(ring_col)
+    attributes = [c for c in parcels.columns if c != ring_col]
+    points = parcels.select(*attributes, inner.alias("_p")).select("*", F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y")).drop("_p")
+    # a parcel in a hole of another part lies inside that part's ring too: the smallest ring around it is its own part's
+    found = spatial.spatial_join(points, parts.select("_ring", F.struct("_area", "ring_id").alias("_part")), id_col, "_x", "_y", "_ring", size, "inner", keep="_part")
+    first = found.groupBy(F.col("_part.ring_id").alias("ring_id")).agg(F.min(F.struct(id_col, *[c for c in attributes if c != id_col])).alias("_first"))
+    return first.join(parts, "ring_id").select(*[F.col(f"_first.{c}").alias(c) for c in attributes], F.col("_ring").alias("ring"), "holes", F.col("_area").alias("area"))
+
+
 def without_overlaps(parcels: DataFrame, id_col: str, size: float) -> DataFrame:
     """One parcel, that of the smallest id, of each group of overlapping boxes."""
     return parcels.join(spatial.overlapping_groups(parcels, id_col, size), id_col).where(F.col(id_col) == F.col("group")).drop("group")
