@@ -32,10 +32,14 @@ _FROM, _TO = ("x1", "y1"), ("x2", "y2")
 _PAIRS = 1 << 21
 
 
-def _snapped(ring: Column, precision: float) -> Column:
-    """Integer corners without repeated neighbours."""
-    whole = F.transform(ring, lambda p: F.struct(F.round(p.x / precision).cast("long").alias("x"), F.round(p.y / precision).cast("long").alias("y")))
-    return F.filter(whole, lambda p, i: p != F.element_at(whole, F.when(i == 0, -1).otherwise(i)))
+def _snapped(df: DataFrame, ring_col: str, precision: float) -> DataFrame:
+    """g and ring: integer corners without repeated neighbours, counter-clockwise; each step reads the column of the one before it, so none is worked out twice."""
+    whole = F.transform(ring_col, lambda p: F.struct(F.round(p.x / precision).cast("long").alias("x"), F.round(p.y / precision).cast("long").alias("y")))
+    before = F.concat(F.slice("whole", -1, 1), F.slice("whole", 1, F.greatest(F.size("whole") - 1, F.lit(0))))
+    moved = F.filter(F.zip_with("whole", "before", lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda e: e.p != e.q)
+    rows = df.select("g", whole.alias("whole")).where(F.size("whole") > 2).withColumn("before", before).select("g", F.transform(moved, lambda e: e.p).alias("ring"))
+    rows = rows.where(F.size("ring") > 2).withColumn("area", geo.signed_area("ring")).where("area <> 0")
+    return rows.select("g", F.when(F.col("area") < 0, F.reverse("ring")).otherwise(F.col("ring")).alias("ring"))
 
 
 def _crossings(a: np.ndarray, i: np.ndarray, j: np.ndarray) -> set[tuple[int, int]]:
@@ -92,6 +96,27 @@ def _split_points(size: float):
     return work
 
 
+def _inside(pieces: pd.DataFrame, polygons: pd.DataFrame) -> pd.DataFrame:
+    """Numbers of a cell's pieces whose middle lies in a polygon that does not own them."""
+    number, x, y = (pieces[c].to_numpy() for c in ("number", "mx", "my"))
+    owners = [set(o) for o in pieces["owners"]]
+    left, found = np.arange(len(pieces)), []
+    for poly, xs, ys in zip(polygons["poly"].tolist(), polygons["xs"], polygons["ys"]):
+        x1, y1 = np.asarray(xs, dtype=np.float64)[:, None], np.asarray(ys, dtype=np.float64)[:, None]
+        x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
+        px, py = x[left], y[left]
+        spans = (y1 > py) != (y2 > py)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            beyond = px < (x2 - x1) * (py - y1) / (y2 - y1) + x1
+        hit = (spans & beyond).sum(axis=0) % 2 == 1
+        hit &= np.array([poly not in owners[k] for k in left], dtype=bool)
+        found.append(left[hit])
+        left = left[~hit]
+        if not len(left):
+            break
+    return pd.DataFrame({"number": number[np.concatenate(found)] if found else number[:0]})
+
+
 def _chained(rows: pd.DataFrame) -> pd.DataFrame:
     """Runs of pieces that follow each other inside a cell: chain (its first piece), pos and, behind the last one, out."""
     after = dict(zip(rows["piece"].tolist(), rows["next"].tolist(), strict=True))
@@ -137,9 +162,7 @@ def union_rings(polygons: DataFrame, size: float, by: str | None = None, ring_co
     spark = polygons.sparkSession
     group = F.struct((F.lit(0) if by is None else F.col(by)).alias("v"))  # a struct is never null, so null groups join like others
     with Scratch(spark) as scratch:
-        rings = polygons.select(group.alias("g"), _snapped(F.col(ring_col), precision).alias("ring")).where(F.size("ring") > 2)
-        twice = geo.signed_area("ring")
-        rings = rings.withColumn("ring", F.when(twice < 0, F.reverse("ring")).otherwise(F.col("ring"))).where(twice != 0).distinct()
+        rings = _snapped(polygons.select(group.alias("g"), F.col(ring_col).alias("ring")), "ring", precision).distinct()
         rings = scratch.table(rings, "rings")
         # numbered where the written table is read, which gives the same numbers each time
         rings = scratch.table(rings.select("g", F.monotonically_increasing_id().alias("poly"), "ring"), "numbered")
@@ -166,16 +189,18 @@ def union_rings(polygons: DataFrame, size: float, by: str | None = None, ring_co
         sides = pieces.groupBy("g", "poly", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum(F.when(forward, 1).otherwise(-1)).alias("net"))
         sides = sides.where("net <> 0").groupBy("g", "a", "b").agg(F.bool_or(F.col("net") > 0).alias("left"), F.bool_or(F.col("net") < 0).alias("right"), F.collect_set("poly").alias("owners"))
         middle = [(F.col("a.x") + F.col("b.x")) / 2, (F.col("a.y") + F.col("b.y")) / 2]
-        sides = scratch.table(tree.place(sides.where("left <> right"), *middle), "sides")
+        sides = scratch.table(sides.where("left <> right"), "sides")
+        sides = sides.select("g", "a", "b", "left", "owners", F.monotonically_increasing_id().alias("number"), middle[0].alias("mx"), middle[1].alias("my"))
+        sides = scratch.table(tree.place(sides, F.col("mx"), F.col("my")), "sides")
         # cells that a polygon covers without an edge in them hold no border
         here = placed.select(*cell, "poly").distinct()
         box = geo.ring_box("ring")
         over = tree.place(moved, box.minx, box.miny, box.maxx, box.maxy).join(here, [*cell, "poly"], "left_anti")
         covered = over.where(geo.contains("ring", *tree.middle())).select(*cell).distinct()
         sides = sides.join(covered, cell, "left_anti")
-        inside = sides.select(*cell, "a", "b", "owners").join(here, cell).where(~F.array_contains("owners", F.col("poly")))
-        inside = inside.join(moved, ["g", "poly"]).where(geo.contains("ring", *middle)).select("g", "a", "b").distinct()
-        border = sides.join(inside, ["g", "a", "b"], "left_anti")
+        around = here.join(moved.select("poly", F.col("ring.x").alias("xs"), F.col("ring.y").alias("ys")), "poly")
+        inside = sides.select(*cell, "number", "mx", "my", "owners").groupBy(*cell).cogroup(around.groupBy(*cell)).applyInPandas(_inside, "number long")
+        border = sides.join(inside, "number", "left_anti")
         start, end = F.when(F.col("left"), F.col("a")).otherwise(F.col("b")), F.when(F.col("left"), F.col("b")).otherwise(F.col("a"))
         border = scratch.table(border.select("g", start.alias("p"), end.alias("q")), "border")
         border = scratch.table(border.select(F.monotonically_increasing_id().alias("piece"), "g", "p", "q"), "border")
