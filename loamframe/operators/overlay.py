@@ -56,6 +56,40 @@ def _crossings(a: np.ndarray, i: np.ndarray, j: np.ndarray) -> set[tuple[int, in
     return out
 
 
+def hot_points(edges: np.ndarray) -> np.ndarray:
+    """Ends and crossings of edges (rows x1, y1, x2, y2 of integers), each once."""
+    flat = np.unique(np.where((edges[:, :2] <= edges[:, 2:]).all(axis=1)[:, None], edges, edges[:, [2, 3, 0, 1]]), axis=0)
+    low, high = np.minimum(flat[:, :2], flat[:, 2:]), np.maximum(flat[:, :2], flat[:, 2:])
+    hot = {tuple(p) for p in flat.reshape(-1, 2).tolist()}
+    step = max(1, _PAIRS // max(1, len(flat)))
+    for top in range(0, len(flat), step):
+        part = slice(top, top + step)
+        meet = ((low[part, None] <= high[None]) & (low[None] <= high[part, None])).all(axis=2)
+        i, j = np.nonzero(meet)
+        i += top
+        hot |= _crossings(flat, i[i < j], j[i < j])
+    return np.array(sorted(hot), dtype=np.int64).reshape(-1, 2)
+
+
+def passes(edges: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (edge, point) of an edge and a point that it passes by half a step, without its own ends."""
+    out = [np.zeros((0, 2), dtype=np.int64)]
+    low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
+    step = max(1, _PAIRS // max(1, len(points)))
+    for top in range(0, len(edges), step):
+        e = edges[top : top + step]
+        d = e[:, 2:] - e[:, :2]
+        near = ((low[top : top + step, None] <= points[None]) & (points[None] <= high[top : top + step, None])).all(axis=2)
+        off = d[:, None, 0] * (points[None, :, 1] - e[:, None, 1]) - d[:, None, 1] * (points[None, :, 0] - e[:, None, 0])
+        near &= 2 * np.abs(off) <= np.abs(d).sum(axis=1)[:, None]
+        for end in (e[:, :2], e[:, 2:]):
+            near &= (points[None] != end[:, None]).any(axis=2)
+        i, j = np.nonzero(near)
+        out.append(np.column_stack([i + top, j]))
+    found = np.concatenate(out)
+    return found[:, 0], found[:, 1]
+
+
 def _split_points(size: float):
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         """Grid points of a cell at which its edges are split."""
@@ -63,35 +97,11 @@ def _split_points(size: float):
         side = size / 2 ** int(first["_level"])
         edges = rows[[*_FROM, *_TO]].to_numpy(dtype=np.int64)
         base = edges[:, :2].min(axis=0)
-        shifted = edges - np.tile(base, 2)
-        flat = np.unique(np.where((shifted[:, :2] <= shifted[:, 2:]).all(axis=1)[:, None], shifted, shifted[:, [2, 3, 0, 1]]), axis=0)
-        low, high = np.minimum(flat[:, :2], flat[:, 2:]), np.maximum(flat[:, :2], flat[:, 2:])
-        hot = {tuple(p) for p in flat.reshape(-1, 2).tolist()}
-        step = max(1, _PAIRS // max(1, len(flat)))
-        for top in range(0, len(flat), step):
-            part = slice(top, top + step)
-            meet = ((low[part, None] <= high[None]) & (low[None] <= high[part, None])).all(axis=2)
-            i, j = np.nonzero(meet)
-            i += top
-            hot |= _crossings(flat, i[i < j], j[i < j])
-        points = np.array(sorted(hot), dtype=np.int64).reshape(-1, 2)
-        own = (np.floor((points + base) / side) == np.array([first["_cx"], first["_cy"]])).all(axis=1)
-        points = points[own]
-        out = []
-        low, high = np.minimum(shifted[:, :2], shifted[:, 2:]), np.maximum(shifted[:, :2], shifted[:, 2:])
-        step = max(1, _PAIRS // max(1, len(points)))
-        for top in range(0, len(shifted), step):
-            e = shifted[top : top + step]
-            d = e[:, 2:] - e[:, :2]
-            near = ((low[top : top + step, None] <= points[None]) & (points[None] <= high[top : top + step, None])).all(axis=2)
-            off = d[:, None, 0] * (points[None, :, 1] - e[:, None, 1]) - d[:, None, 1] * (points[None, :, 0] - e[:, None, 0])
-            near &= 2 * np.abs(off) <= np.abs(d).sum(axis=1)[:, None]
-            for end in (e[:, :2], e[:, 2:]):
-                near &= (points[None] != end[:, None]).any(axis=2)
-            i, j = np.nonzero(near)
-            out.append(np.column_stack([i + top, points[j] + base]))
-        found = np.concatenate(out)
-        return pd.DataFrame({"poly": rows["poly"].to_numpy()[found[:, 0]], "k": rows["k"].to_numpy()[found[:, 0]], "px": found[:, 1], "py": found[:, 2]})
+        edges = edges - np.tile(base, 2)
+        points = hot_points(edges)
+        points = points[(np.floor((points + base) / side) == np.array([first["_cx"], first["_cy"]])).all(axis=1)]
+        i, j = passes(edges, points)
+        return pd.DataFrame({"poly": rows["poly"].to_numpy()[i], "k": rows["k"].to_numpy()[i], "px": points[j, 0] + base[0], "py": points[j, 1] + base[1]})
 
     return work
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamframe.operators import overlay
+from loamframe.operators import buffers, overlay
 from loamframe.plans import workflows
 from loamframe.plans.catalog import query, table
 
@@ -46,3 +46,33 @@ def dissolved_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.array(*[F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in ((x, y), (x + 5 + k % 11, y), (x + 5 + k % 11, y + 5 + k % 13), (x, y + 5 + k % 13))])
     parcels = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", ring.alias("ring"))
     return workflows.dissolved_parcels(parcels, "s_suppkey", 16.0, precision=1.0).select("s_suppkey", "s_nationkey", "area")
+
+
+_LETTERS = """l AS (SELECT c_custkey AS id, 4 + c_custkey % 9 AS w, 4 + c_custkey % 7 AS h, 2 + c_custkey % 4 AS t FROM customer),
+c AS (SELECT id, i, j FROM (SELECT *, unnest(range(w + t)) AS i FROM (SELECT *, unnest(range(h + t)) AS j FROM l)) WHERE i < t OR j < t)"""
+_AROUND = "(SELECT unnest(range(-{d}, {d} + 1)) AS di), (SELECT unnest(range(-{d}, {d} + 1)) AS dj)"
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters L with strokes of t, a foot of w and a stem of h beyond it."""
+    k = F.col("c_custkey")
+    w, h, t = 4 + k % 9, 4 + k % 7, 2 + k % 4
+    corners = ((F.lit(0), F.lit(0)), (w + t, F.lit(0)), (w + t, t), (t, t), (t, h + t), (F.lit(0), h + t))
+    ring = F.array(*[F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in corners])
+    return table(spark, sf_dir, "customer").select("c_custkey", ring.alias("ring"))
+
+
+@query(f"WITH {_LETTERS} SELECT id AS c_custkey, count(DISTINCT (i + di, j + dj))::DOUBLE AS area FROM c, {_AROUND.format(d=2)} GROUP BY id")
+def buffer_outward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area of each parcel with a mitred border of 2 around it."""
+    found = buffers.buffered(letters(spark, sf_dir), "c_custkey", 2.0)
+    return found.groupBy("c_custkey").agg(F.round(F.sum("area"), 3).alias("area"))
+
+
+@query(f"""WITH {_LETTERS}, e AS (SELECT id, i + di AS i, j + dj AS j FROM c, {_AROUND.format(d=1)} GROUP BY ALL HAVING count(*) = 9)
+SELECT l.id AS c_custkey, count(e.id)::DOUBLE AS area FROM l LEFT JOIN e ON e.id = l.id GROUP BY l.id""")
+def buffer_inward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area that is left of each parcel without a mitred border of 1 inside it; 0 if nothing is."""
+    shapes = letters(spark, sf_dir)
+    found = buffers.buffered(shapes, "c_custkey", -1.0).groupBy("c_custkey").agg(F.round(F.sum("area"), 3).alias("area"))
+    return shapes.select("c_custkey").join(found, "c_custkey", "left").select("c_custkey", F.coalesce("area", F.lit(0.0)).alias("area"))
