@@ -39,7 +39,7 @@ def boosted(features: Sequence[str], target: str, categories: Sequence[str] = ()
     Spark's boosting has no L2 term on leaf weights; the least gain of a split takes its place against small splits.
     """
     trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, minInfoGain=least_gain, seed=seed)
-    return Pipeline(stages=[*forest(features, target, categories).getStages()[:-1], OneVsRest(classifier=trees)])
+    return Pipeline(stages=[*forest(features, target, categories).getStages()[:-1], OneVsRest(classifier=trees, parallelism=4)])
 
 
 def tuned_boosting(df: DataFrame, pipeline: Pipeline, rates: Sequence[float] = (0.1,), depths: Sequence[int] = (6,), least_gains: Sequence[float] = (0.0,), folds: int = 3, seed: int = 190) -> tuple[PipelineModel, DataFrame]:
