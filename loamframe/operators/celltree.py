@@ -14,14 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamframe.storage import Scratch
+from loamframe.storage import Scratch, written
 
 CELL = ("_level", "_cx", "_cy")
 _SIDES = ("_x0", "_y0", "_x1", "_y1")
 
 
 class CellTree:
-    """Cells for boxes, each tree by itself in every group of the columns `by`; its tables live as long as scratch."""
+    """Cells for boxes, each tree by itself in every group of the columns `by`; scratch holds boxes while it grows."""
 
     def __init__(self, scratch: Scratch, size: float, by: Sequence[str] = (), limit: int = 512, depth: int = 16):
         self.scratch, self.size, self.by, self.limit, self.depth = scratch, float(size), list(by), limit, depth
@@ -33,7 +33,7 @@ class CellTree:
         rows = self._top(rows)
         for _ in range(self.depth):
             counts = rows.groupBy(*self.by, *CELL).agg(F.count(F.lit(1)).alias("_n"))
-            full = self.scratch.table(counts.where(F.col("_n") > self.limit).select(*self.by, *CELL), "full_cells")
+            full = written(counts.where(F.col("_n") > self.limit).select(*self.by, *CELL), "full_cells")
             if full.isEmpty():
                 break
             self.full.append(full)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamframe.functions import geo
+
 PIXEL = ("x", "y")
 
 
@@ -170,6 +172,47 @@ def replicate(cube: DataFrame, factor: int, keys: Sequence[str] = PIXEL) -> Data
     return out.select((F.col(x) * factor + F.col("_i")).alias(x), (F.col(y) * factor + F.col("_j")).alias(y), *rest)
 
 
+def align(cube: DataFrame, targets: DataFrame, size: float, bands: Sequence[str], how: str = "bilinear", locate: Callable[[Column, Column], tuple[Column, Column]] | None = None, others: Sequence[str] = (), origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """The targets (columns x, y: centres of pixels of any grid) with bands of a cube whose pixels (x, y: centres) are size wide.
+
+    Each target is taken back to the cube's coordinates by locate, where both have different ones (see `between_zones`).
+    `nearest` takes the pixel that it falls in; `bilinear` weighs the four pixels around it and shares out the
+    weights of pixels that are missing or null.  A corner of a pixel lies at origin.  others are columns of the cube, such as
+    the time, that make images of their own: a target is then repeated for each image that has one of its pixels, and else has nulls once.
+    """
+    x, y = (F.col("x"), F.col("y")) if locate is None else locate(F.col("x"), F.col("y"))
+    u, v = ((c.cast("double") - o) / size for c, o in zip((x, y), origin, strict=True))
+    at = targets.withColumn("_id", F.struct(*targets.columns)).withColumn("_u", u).withColumn("_v", v)
+    if how == "nearest":
+        corners = [(F.floor("_u"), F.floor("_v"), F.lit(1.0))]
+    elif how == "bilinear":
+        i, j = F.floor(F.col("_u") - 0.5), F.floor(F.col("_v") - 0.5)
+        p, q = F.col("_u") - 0.5 - i, F.col("_v") - 0.5 - j
+        corners = [(i + a, j + b, (p if a else 1 - p) * (q if b else 1 - q)) for a in (0, 1) for b in (0, 1)]
+    else:
+        raise ValueError(f"unknown kernel: {how}")
+    near = at.select("_id", F.explode(F.array(*[F.struct(a.alias("i"), b.alias("j"), w.alias("w")) for a, b, w in corners])).alias("_c")).where("_c.w > 0")
+    near = near.select("_id", F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"), F.col("_c.w").alias("_w"))
+    place = [F.floor((F.col(c).cast("double") - o) / size).alias(n) for c, o, n in zip(("x", "y"), origin, ("_i", "_j"), strict=True)]
+    pixels = cube.select(*place, *[F.col(c).alias(f"_o_{c}") for c in others], *[F.col(b).cast("double").alias(f"_b_{b}") for b in bands])
+    images = [f"_o_{c}" for c in others]
+    weighed = [(F.sum(F.col("_w") * F.col(f"_b_{b}")) / F.nullif(F.sum(F.when(F.col(f"_b_{b}").isNotNull(), F.col("_w"))), F.lit(0.0))).alias(b) for b in bands]
+    found = near.join(pixels, ["_i", "_j"]).groupBy("_id", *images).agg(*weighed)
+    out = targets.withColumn("_id", F.struct(*targets.columns)).join(found, "_id", "left")
+    return out.select(*[F.col(f"_id.{c}").alias(c) for c in targets.columns], *[F.col(i).alias(c) for i, c in zip(images, others, strict=True)], *bands)
+
+
+def between_zones(target: int, source: int, south: bool = False) -> Callable[[Column, Column], tuple[Column, Column]]:
+    """Coordinates of a target zone's points in the source's zone, for `align`."""
+
+    def locate(x: Column, y: Column) -> tuple[Column, Column]:
+        at = geo.utm_unproject(x, y, F.lit(target), south)
+        there = geo.utm_project(at.lon, at.lat, F.lit(source))
+        return there.x, there.y
+
+    return locate
+
+
 def overview(raster: DataFrame, value_col: str, level: int, keys: Sequence[str] = PIXEL) -> DataFrame:
     """Most frequent value per pixel of 2 ** level; ties go to the smallest value."""
     x, y = keys

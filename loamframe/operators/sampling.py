@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamframe.functions import geo
+from loamframe.operators.ranking import at_ranks, numbered, numbered_in_groups
 
 
 def hash_order(*ids: Column | str, seed: str = "") -> Column:
@@ -59,9 +61,7 @@ def train_part(ids: Sequence[str], share: float, seed: str = "") -> Column:
 
 def chunked(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], per_chunk: int = 150) -> DataFrame:
     """df with chunk: n rows of a group in n // per_chunk + 1 chunks, the first ones a row larger."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group_cols))
-    i = F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order_cols)) - 1
-    rows = df.withColumn("_n", n).withColumn("_i", i).withColumn("_k", F.floor(F.col("_n") / per_chunk) + 1)
+    rows = numbered_in_groups(df, group_cols, [F.col(c) for c in order_cols], "_i").withColumn("_k", F.floor(F.col("_n") / per_chunk) + 1)
     q, r = F.floor(F.col("_n") / F.col("_k")), F.col("_n") % F.col("_k")
     big = r * (q + 1)
     chunk = F.when(F.col("_i") < big, F.floor(F.col("_i") / (q + 1))).otherwise(r + F.floor((F.col("_i") - big) / F.nullif(q, F.lit(0))))
@@ -103,11 +103,21 @@ def points_in_polygons(polygons: DataFrame, id_col: str, ring_col: str = "ring",
 def decile_medians(df: DataFrame, value_col: str, id_col: str, bins: int = 10) -> DataFrame:
     """One row per equal-frequency bin of the values: the row nearest the bin's median, ties to the smallest id.
 
-    Quantiles are exact, so the distinct values must fit one task; it serves grids of tiles.
+    Rows are numbered in the order of their values; quantiles and medians, between two values as the mean by distance, are
+    those at the ranks that they fall on, so no task holds all values.  The sort runs when this is called.
     """
-    edges = df.agg(F.percentile(value_col, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_e"))
-    over = F.size(F.filter(F.col("_e"), lambda e: e < F.col(value_col)))
-    binned = df.where(F.col(value_col).isNotNull()).join(F.broadcast(edges)).withColumn("bin", over).drop("_e")
-    middle = binned.groupBy("bin").agg(F.median(value_col).alias("_m"))
-    near = binned.join(middle, "bin").groupBy("bin").agg(F.min(F.struct(F.abs(F.col(value_col) - F.col("_m")).alias("d"), F.col(id_col).alias("id"), F.col(value_col).alias("v"))).alias("_b"))
+    rows = numbered(df.where(F.col(value_col).isNotNull()), [F.col(value_col), F.col(id_col)])
+    n = rows.count()
+    places = [k / bins * (n - 1) for k in range(1, bins)] if n else []
+    values = at_ranks(rows, value_col, [f(p) for p in places for f in (math.floor, math.ceil)])
+    edges = [values[math.floor(p)] + (p - math.floor(p)) * (values[math.ceil(p)] - values[math.floor(p)]) for p in places]
+    # few edges, so literals; values equal to an edge are below it
+    over = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(value_col))) if edges else F.lit(0)
+    binned = rows.withColumn("bin", over)
+    spans = {r.bin: (r.low, r.n) for r in binned.groupBy("bin").agg(F.min("_rank").alias("low"), F.count(F.lit(1)).alias("n")).collect()}
+    halves = {b: (low + (m - 1) // 2, low + m // 2) for b, (low, m) in spans.items()}
+    values = at_ranks(rows, value_col, [r for pair in halves.values() for r in pair])
+    middle = F.create_map(*[x for b, (i, j) in halves.items() for x in (F.lit(b), F.lit((values[i] + values[j]) / 2))])
+    gap = F.abs(F.col(value_col) - middle[F.col("bin")]) if halves else F.lit(0.0)
+    near = binned.groupBy("bin").agg(F.min(F.struct(gap.alias("d"), F.col(id_col).alias("id"), F.col(value_col).alias("v"))).alias("_b"))
     return near.select("bin", F.col("_b.id").alias(id_col), F.col("_b.v").alias(value_col))

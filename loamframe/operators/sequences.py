@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamframe.functions import geo
-
-#: Leading bits of a cell index that make a block; blocks are bounded in number.
-BLOCK_BITS = 12
-
+from loamframe.operators.ranking import in_order, numbered
 
 def gap_groups(points: DataFrame, id_col: str, lon: str = "lon", lat: str = "lat", break_km: float = 200.0, cell_bits: int = 16) -> DataFrame:
     """points with cell, distance to the row before in cell order, group and inside.
@@ -19,16 +16,15 @@ def gap_groups(points: DataFrame, id_col: str, lon: str = "lon", lat: str = "lat
     A row farther than break_km from the one before begins a group.  Rows before
     the first break and from the last one on have inside = false.
 
-    The order is kept per block of leading cell bits; only the blocks' first and
-    last rows and numbers of breaks are looked at across blocks, in one task.
+    Rows are sorted in ranges of about equal size, whatever their density; only the ranges' first
+    and last rows and numbers of breaks are looked at across them, in one task.  The sort runs when this is called.
     """
-    rows = points.withColumn("cell", geo.cell_index(lon, lat, cell_bits)).withColumn("_block", F.shiftright("cell", max(0, 2 * cell_bits - BLOCK_BITS)))
-    order = Window.partitionBy("_block").orderBy("cell", id_col)
+    rows = in_order(points.withColumn("cell", geo.cell_index(lon, lat, cell_bits)), [F.col("cell"), F.col(id_col)], "cells").withColumnRenamed("_part", "_block")
+    order = Window.partitionBy("_block").orderBy("_at")
     here = F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat"))
     rows = rows.withColumn("_before", F.lag(here).over(order))
-    key = F.struct("cell", id_col)
     across = Window.orderBy("_block")
-    blocks = rows.groupBy("_block").agg(F.max(F.struct(key.alias("k"), here.alias("p"))).alias("_last"))
+    blocks = rows.groupBy("_block").agg(F.max(F.struct(F.col("_at"), here.alias("p"))).alias("_last"))
     blocks = blocks.select(F.col("_block").alias("_b"), F.lag("_last.p").over(across).alias("_previous"))
     rows = rows.join(blocks, F.col("_block") == F.col("_b")).withColumn("_before", F.coalesce("_before", "_previous"))
     rows = rows.withColumn("distance_km", geo.haversine_km("_before.lon", "_before.lat", lon, lat))
@@ -46,8 +42,9 @@ def gap_groups(points: DataFrame, id_col: str, lon: str = "lon", lat: str = "lat
 
 
 def ranked(df: DataFrame, value_col: str, ties: Sequence[str], name: str = "rank") -> DataFrame:
-    """df with its rank by falling value; for small tables such as feature importances."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(F.col(value_col).desc(), *ties)))
+    """df with its rank by falling value, from 1; the sort runs when this is called."""
+    out = numbered(df, [F.col(value_col).desc(), *[F.col(c) for c in ties]], name)
+    return out.withColumn(name, F.col(name) + 1)
 
 
 def enumerated(df: DataFrame, list_col: str, name: str = "position") -> DataFrame:

@@ -1,7 +1,8 @@
 """Spatial joins and zonal aggregates.
 
 Polygons are covered by grid cells and points meet them in an equi-join on the
-cell, so no nested loop is planned; ray casting then decides.
+cell, so no nested loop is planned; ray casting then decides.  Cells that hold too much
+are divided first, so that no task sees more of a crowded place than a small cell of it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamframe.functions import geo
+from loamframe.operators.celltree import CELL, CellTree
 from loamframe.operators.graph import components
+from loamframe.storage import Scratch
 
 
 def covering_cells(polygons: DataFrame, ring_col: str, size: float) -> DataFrame:
@@ -24,20 +27,27 @@ def covering_cells(polygons: DataFrame, ring_col: str, size: float) -> DataFrame
     return wide.withColumn("_cx", F.explode(F.sequence("_x0", "_x1"))).withColumn("_cy", F.explode(F.sequence("_y0", "_y1"))).drop(*lows)
 
 
-def _pairs(points: DataFrame, polygons: DataFrame, x: str, y: str, ring_col: str, size: float) -> DataFrame:
-    on = points.withColumn("_cx", F.floor(F.col(x) / size)).withColumn("_cy", F.floor(F.col(y) / size))
-    cells = covering_cells(polygons, ring_col, size)
-    return on.join(cells, ["_cx", "_cy"]).where(geo.contains(ring_col, x, y)).drop("_cx", "_cy")
+def _pairs(points: DataFrame, polygons: DataFrame, x: str, y: str, ring_col: str, size: float, limit: int) -> DataFrame:
+    box = geo.ring_box(ring_col)
+    sides = ("_x0", "_y0", "_x1", "_y1")
+    with Scratch(points.sparkSession) as scratch:
+        at = points.select(*[F.col(c).cast("double").alias(s) for c, s in zip((x, y, x, y), sides)])
+        around = polygons.select(*[b.cast("double").alias(s) for b, s in zip((box.minx, box.miny, box.maxx, box.maxy), sides)])
+        tree = CellTree(scratch, size, limit=limit).grow(at, around)
+    on = tree.place(points, F.col(x), F.col(y))
+    cells = tree.place(polygons, box.minx, box.miny, box.maxx, box.maxy)
+    return on.join(cells, list(CELL)).where(geo.contains(ring_col, x, y)).drop(*CELL)
 
 
-def spatial_join(points: DataFrame, polygons: DataFrame, point_id: str, x: str = "x", y: str = "y", ring_col: str = "ring", size: float = 1.0, how: str = "left", keep: str | None = None) -> DataFrame:
+def spatial_join(points: DataFrame, polygons: DataFrame, point_id: str, x: str = "x", y: str = "y", ring_col: str = "ring", size: float = 1.0, how: str = "left", keep: str | None = None, limit: int = 20_000) -> DataFrame:
     """Points with the attributes of the polygons they lie in.
 
     A point in several polygons is repeated, unless keep names a polygon column:
     then the polygon with its smallest value stays.  how: left, inner, left_semi
-    or left_anti.
+    or left_anti.  Cells with more than limit points and polygons are divided; they are
+    counted when this is called.
     """
-    found = _pairs(points, polygons, x, y, ring_col, size)
+    found = _pairs(points, polygons, x, y, ring_col, size, limit)
     if how in ("left_semi", "left_anti"):
         return points.join(found.select(point_id).distinct(), point_id, how)
     attributes = [c for c in polygons.columns if c != ring_col]

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamframe.functions import arith, geo
 from loamframe.operators import buffers, overlay
+from loamframe.operators import cube as C
 from loamframe.plans import workflows
 from loamframe.plans.catalog import query, table
+from loamframe.plans.queries_composites import squares
+from loamframe.sources import readers, sinks
+from loamframe.storage import fresh_path
 
 
 def corners_ring(x, y, w, h):
@@ -76,3 +81,37 @@ def buffer_inward(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = letters(spark, sf_dir)
     found = buffers.buffered(shapes, "c_custkey", -1.0).groupBy("c_custkey").agg(F.round(F.sum("area"), 3).alias("area"))
     return shapes.select("c_custkey").join(found, "c_custkey", "left").select("c_custkey", F.coalesce("area", F.lit(0.0)).alias("area"))
+
+
+@query("""WITH b AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 500)::DOUBLE + 6 AS x, (s_suppkey * 53 % 300)::DOUBLE + 6 AS y FROM supplier)
+SELECT id AS s_suppkey FROM b WHERE greatest(100 - x, 0, x - 250) + greatest(50 - y, 0, y - 200) <= 6""")
+def indexed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that meet a mask, read from the files whose boxes meet it."""
+    path = fresh_path(spark, "indexed")
+    sinks.write_indexed(squares(spark, sf_dir), path, 25.0, files=8)
+    mask = spark.range(1).select(geo.box_ring(F.lit(100.0), F.lit(50.0), F.lit(250.0), F.lit(200.0)).alias("ring"))
+    return readers.read_indexed(spark, path, mask, "s_suppkey", 50.0).select("s_suppkey")
+
+
+_TARGETS = "t AS (SELECT p_partkey AS id, (p_partkey % 25 * 1.6 + 0.8)::DOUBLE AS x, (p_partkey // 25 * 1.6 + 0.8)::DOUBLE AS y FROM part), s AS (SELECT p_partkey % 40 AS i, p_partkey // 40 AS j, p_retailprice::DOUBLE AS v FROM part)"
+
+
+def aligned(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    """Prices of parts, a raster of unit pixels, at the pixels of a grid 1.6 wide."""
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part")
+    cube = parts.select((k % 40 + 0.5).alias("x"), (F.floor(k / 40) + 0.5).alias("y"), "p_retailprice")
+    targets = parts.select("p_partkey", (k % 25 * 1.6 + 0.8).cast("double").alias("x"), (F.floor(k / 25) * 1.6 + 0.8).cast("double").alias("y"))
+    found = C.align(cube, targets, 1.0, ["p_retailprice"], how)
+    return found.select("p_partkey", arith.rounded("p_retailprice", 4).alias("p_retailprice"))
+
+
+@query(f"WITH {_TARGETS} SELECT id AS p_partkey, round(v + 1e-9, 4) AS p_retailprice FROM t LEFT JOIN s ON i = floor(x) AND j = floor(y)")
+def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(spark, sf_dir, "nearest")
+
+
+@query(f"""WITH {_TARGETS}, c AS (SELECT id, floor(x - 0.5) + a AS i, floor(y - 0.5) + b AS j, abs(1 - a - (x - 0.5 - floor(x - 0.5))) * abs(1 - b - (y - 0.5 - floor(y - 0.5))) AS w FROM t, range(2) r(a), range(2) q(b))
+SELECT id AS p_partkey, round(sum(w * v) / nullif(sum(CASE WHEN v IS NOT NULL AND w > 0 THEN w END), 0) + 1e-9, 4) AS p_retailprice FROM c LEFT JOIN s USING (i, j) GROUP BY id""")
+def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(spark, sf_dir, "bilinear")

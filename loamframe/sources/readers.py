@@ -63,6 +63,24 @@ def masked(features: DataFrame, polygons: DataFrame, id_col: str, size: float =
     return features.join(inside, id_col, "left_semi")
 
 
+def read_indexed(spark: SparkSession, path: str, polygons: DataFrame, id_col: str, size: float, exact: bool = True) -> DataFrame:
+    """Features that `sinks.write_indexed` wrote and that meet one of the polygons (column ring); other files are not opened.
+
+    The names of the files to open, as many as a listing of the folder has, pass through the driver.  With exact False, all
+    features of these files are returned.
+    """
+    from loamframe.operators.spatial import covering_cells
+
+    boxes, box = spark.read.parquet(f"{path}/boxes"), geo.ring_box("ring")
+    around = boxes.where("minx IS NOT NULL").withColumn("_file_ring", geo.box_ring("minx", "miny", "maxx", "maxy"))
+    masks = covering_cells(polygons.select("ring"), "ring", size).select("_cx", "_cy", box.alias("_m"))
+    meets = (F.col("minx") <= F.col("_m.maxx")) & (F.col("maxx") >= F.col("_m.minx")) & (F.col("miny") <= F.col("_m.maxy")) & (F.col("maxy") >= F.col("_m.miny"))
+    files = [r.file for r in covering_cells(around, "_file_ring", size).join(masks, ["_cx", "_cy"]).where(meets).select("file").distinct().collect()]
+    whole = spark.read.parquet(f"{path}/features")
+    found = spark.read.schema(whole.schema).parquet(*[f"{path}/features/{f}" for f in sorted(files)]) if files else whole.limit(0)
+    return masked(found, polygons, id_col, size=size) if exact else found
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header and a declared schema."""
     return spark.read.schema(schema).option("header", True).csv(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamframe.functions import geo
+
 from loamframe.functions.text import sample_path
 from loamframe.operators.cube import narrow_class, overview
 
@@ -59,5 +61,22 @@ def write_feature_collections(df: DataFrame, path: str, properties: list[str], *
     found.select(F.col("json").alias("value"), "year", "zone", "crop", "chunk").write.mode("overwrite").partitionBy("year", "zone", "crop", "chunk").text(path)
 
 
+def write_indexed(df: DataFrame, path: str, size: float, ring_col: str = "ring", files: int | None = None) -> None:
+    """Features in files along a Z-order curve of their boxes' middles, with a table of the files' boxes beside them.
+
+    size is the side of a cell of the curve.  `readers.read_indexed` opens only the files whose box a mask meets.
+    """
+    box = geo.ring_box(ring_col)
+    cell = lambda low, high: F.least(F.greatest(F.floor((low + high) / 2 / size) + (1 << 29), F.lit(0)), F.lit((1 << 30) - 1))
+    key = geo.interleave(cell(box.minx, box.maxx), cell(box.miny, box.maxy), 30)
+    order = [F.lit(1)] if files == 1 else [key, F.xxhash64(ring_col)]
+    spread = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    spread.write.mode("overwrite").parquet(f"{path}/features")
+    written = df.sparkSession.read.schema(df.schema).parquet(f"{path}/features").withColumn("_box", box)
+    sides = [F.min("_box.minx").alias("minx"), F.min("_box.miny").alias("miny"), F.max("_box.maxx").alias("maxx"), F.max("_box.maxy").alias("maxy")]
+    boxes = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(*sides)
+    boxes.coalesce(1).write.mode("overwrite").parquet(f"{path}/boxes")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
