@@ -205,30 +205,54 @@ def _op10_sql() -> str:
     values = ", ".join(f"('{name}', {k}, '{quoted(text)}')" for name, texts in licenses.TEMPLATES.items() for k, text in enumerate(texts))
     words = r"list_filter(string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
     bigrams = "CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
+    spdx = " ".join(f"WHEN {f"starts_with(name, '{k}')" if k.endswith('-') else f"name = '{k}'"} THEN '{v}'" for k, v in licenses.SPDX.items())
     t = licenses.THRESHOLD
     return rf"""
 WITH t AS (SELECT license, k, {words.format("notice")} AS w FROM (VALUES {values}) v(license, k, notice)),
 tb AS (SELECT license, k, {bigrams} AS b FROM t),
-d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents WHERE text IS NOT NULL),
+te AS (SELECT license, k, len(b) AS m, unnest(b) AS b FROM tb),
+tt AS (
+  SELECT *, CASE WHEN alone THEN 1 ELSE 0 END AS told, b = replace(regexp_extract(license, '-([0-9]+\.[0-9]+)$', 1), '.', ' ') AS ver
+  FROM (SELECT te.*, one.n = 1 AS alone FROM te JOIN (SELECT b, count(DISTINCT license) AS n FROM te GROUP BY b) one USING (b))),
+e AS (
+  SELECT *, ceil(m * {2 - t} / {t} - 1e-9) AS width, ceil(sum(told) OVER (PARTITION BY license, k) / 2) AS half, bool_or(ver) OVER (PARTITION BY license, k) AS versioned FROM tt),
+d0 AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents WHERE text IS NOT NULL),
+sp AS (SELECT doc_id, unnest(regexp_extract_all(text, '{licenses.SPDX_LINE}', 1)) AS unit FROM d0),
+sn AS (SELECT doc_id, unit, unnest(regexp_split_to_array(lower(unit), '{licenses.SPDX_BETWEEN}')) AS name FROM sp),
+s1 AS (SELECT DISTINCT doc_id, unit, CASE {spdx} END AS license FROM sn),
+d AS (SELECT row, doc_id, regexp_replace(text, '{licenses.SPDX_LINE}', '', 'g') AS text FROM d0),
 u AS (
   SELECT doc_id, unnest(list_concat(string_split(text, chr(10)),
     CASE WHEN regexp_matches(text, '\n\s*\n') THEN regexp_split_to_array(text, '\n\s*\n') ELSE [] END, [text])) AS unit FROM d),
 uw AS (SELECT DISTINCT doc_id, {words.format("unit")} AS w FROM u),
 ub AS (SELECT doc_id, array_to_string(w, ' ') AS unit, {bigrams} AS b FROM uw WHERE len(w) > 0),
+um AS (SELECT doc_id, unit, len(b) AS n, unnest(b) AS b FROM ub),
 n AS (
-  SELECT doc_id, unit, license, 2.0 * len(list_intersect(ub.b, tb.b)) / (len(ub.b) + len(tb.b)) AS dice
-  FROM ub JOIN tb ON len(ub.b) BETWEEN len(tb.b) * {t} / {2 - t} - 1e-9 AND len(tb.b) * {2 - t} / {t} + 1e-9 AND list_has_any(ub.b, tb.b)),
-whole AS (SELECT doc_id, license, max(dice) AS dice, count(DISTINCT unit) AS n_units FROM n WHERE dice >= {t} GROUP BY doc_id, license),
+  SELECT doc_id, unit, license, 2.0 * count(*) / (n + m) AS dice FROM um JOIN e USING (b)
+  WHERE n BETWEEN m * {t} / {2 - t} - 1e-9 AND m * {2 - t} / {t} + 1e-9
+  GROUP BY doc_id, unit, license, k, n, m, half, versioned HAVING 2.0 * count(*) / (n + m) >= {t} AND sum(told) >= half AND bool_or(ver) >= versioned),
+nb AS (SELECT doc_id, unit, license, dice FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1
+  UNION ALL SELECT doc_id, 'spdx ' || unit, license, 1.0 FROM s1 WHERE license IS NOT NULL),
+whole AS (SELECT doc_id, license, max(dice) AS dice, count(DISTINCT unit) AS n_units FROM nb GROUP BY doc_id, license),
 w AS (SELECT row, doc_id, {words.format("text")} AS w FROM d),
 p AS (SELECT row, doc_id, unnest(range(len(w) - 1)) AS p, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
-e AS (SELECT license, k, len(b) AS m, ceil(len(b) * {2 - t} / {t} - 1e-9) AS width, unnest(b) AS b FROM tb),
-h AS (SELECT row, doc_id, license, k, m, width, p, b, count(*) OVER (PARTITION BY row, license, k ORDER BY p RANGE BETWEEN CURRENT ROW AND 1000 FOLLOWING) AS ahead FROM p JOIN e USING (b) WHERE contains(b, ' ')),
-a AS (SELECT row, license, k, p, m, width FROM h WHERE ahead >= m * {t} / {2 - t} - 1e-9),
-f AS (SELECT a.*, b.b, b.p AS q FROM a JOIN h b USING (row, license, k) WHERE b.p >= a.p AND b.p < a.p + a.width),
-o AS (SELECT a.row, a.license, a.k, a.m, a.p, b.q, x.b, min(x.q) AS seen_at, count(*) AS c FROM a JOIN f b USING (row, license, k, p) JOIN f x ON x.row = a.row AND x.license = a.license AND x.k = a.k AND x.p = a.p AND x.q <= b.q GROUP BY ALL),
-s AS (SELECT row, license, k, m, p, q, sum(c) AS c, count(*) AS d, string_agg(b, '|' ORDER BY seen_at) AS seen FROM o GROUP BY ALL),
-g AS (SELECT row, license, seen, 2.0 * d / (q - p + 1 - c + d + m) AS dice, row_number() OVER (PARTITION BY row, license, k, p ORDER BY 2.0 * d / (q - p + 1 - c + d + m) DESC, q) AS best FROM s),
-i AS (SELECT doc_id, license, dice, count(DISTINCT seen) AS n_units FROM g JOIN (SELECT row, doc_id FROM d) USING (row) WHERE best = 1 AND dice >= {t} GROUP BY ALL),
+h AS (
+  SELECT row, doc_id, license, k, m, half, versioned, width, p, b, told, ver, count(*) OVER (PARTITION BY row, license, k ORDER BY p RANGE BETWEEN CURRENT ROW AND 1000 FOLLOWING) AS ahead
+  FROM p JOIN e USING (b) WHERE contains(b, ' ')),
+a AS (SELECT row, license, k, p, m, half, versioned, width FROM h WHERE ahead >= m * {t} / {2 - t} - 1e-9),
+f AS (SELECT a.*, b.b, b.p AS q, b.told, b.ver FROM a JOIN h b USING (row, license, k) WHERE b.p >= a.p AND b.p < a.p + a.width),
+o AS (
+  SELECT a.row, a.license, a.k, a.m, a.half, a.versioned, a.p, b.q, x.b, any_value(x.told) AS told, any_value(x.ver) AS ver, min(x.q) AS seen_at, count(*) AS c
+  FROM a JOIN f b USING (row, license, k, p) JOIN f x ON x.row = a.row AND x.license = a.license AND x.k = a.k AND x.p = a.p AND x.q <= b.q GROUP BY ALL),
+s AS (
+  SELECT row, license, k, m, half, versioned, p, q, sum(c) AS c, count(*) AS d, sum(told) AS told, bool_or(ver) AS ver, string_agg(b, '|' ORDER BY seen_at) AS seen FROM o GROUP BY ALL),
+g AS (
+  SELECT row, license, p, q, seen, 2.0 * d / (q - p + 1 - c + d + m) AS dice FROM s WHERE told >= half AND ver >= versioned
+  QUALIFY row_number() OVER (PARTITION BY row, license, k, p ORDER BY 2.0 * d / (q - p + 1 - c + d + m) DESC, q) = 1),
+gb AS (SELECT * FROM g WHERE dice >= {t}),
+gk AS (
+  SELECT * FROM gb x WHERE NOT EXISTS (SELECT 1 FROM gb y WHERE y.row = x.row AND y.license <> x.license AND y.p <= x.q AND y.q >= x.p AND (y.dice > x.dice OR (y.dice = x.dice AND y.license < x.license)))),
+i AS (SELECT doc_id, license, dice, count(DISTINCT seen) AS n_units FROM gk JOIN (SELECT row, doc_id FROM d) USING (row) GROUP BY ALL),
 inner_ AS (SELECT doc_id, license, max(dice) AS dice, arg_max(n_units, dice) AS n_units FROM i GROUP BY ALL)
 SELECT * FROM whole UNION ALL SELECT i.* FROM inner_ i LEFT JOIN whole w ON w.doc_id IS NOT DISTINCT FROM i.doc_id AND w.license = i.license WHERE w.license IS NULL
 """
