@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
-from typing import Any, Protocol
+from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamframe.functions.text import deep_get, with_unit
@@ -75,131 +74,6 @@ def usage_columns(events: DataFrame, usage_col: str = "usage") -> DataFrame:
     return events.withColumns({k: F.when(v != "", v) for k, v in parts.items()})
 
 
-class Job(Protocol):
-    job_id: str
-
-    def status(self) -> str: ...
-
-    def start_job(self) -> None: ...
-
-
-@dataclass
-class Backend:
-    name: str
-    connect: Callable[[], Any]
-    capacity: int = 2
-
-
-@dataclass
-class JobManager:
-    """Runs jobs on several backends within their capacity; every transition is an event.
-
-    The loop is the driver's, as it talks to services; only one row per job is held.
-    Errors and cancellations end a job; a job that has a backend is not launched again.
-    """
-
-    spark: SparkSession
-    path: str
-    backends: dict[str, Backend] = field(default_factory=dict)
-    poll_seconds: float = 60.0
-    on_done: Callable[[str, str], None] = lambda job_id, backend: None
-    on_error: Callable[[str, str], None] = lambda job_id, backend: None
-
-    def add_backend(self, name: str, connect: Callable[[], Any], capacity: int = 2) -> None:
-        self.backends[name] = Backend(name, connect, capacity)
-
-    def state(self) -> DataFrame:
-        return latest(self.spark.read.schema(EVENT_SCHEMA).parquet(self.path))
-
-    def _write(self, rows: list[tuple]) -> None:
-        if rows:
-            now = F.current_timestamp()
-            table = self.spark.createDataFrame(rows, "job_id string, seq long, status string, backend string, backend_job string, usage string")
-            table.withColumn("at", now).select("job_id", "seq", "at", "status", "backend", "backend_job", "usage").coalesce(1).write.mode("append").parquet(self.path)
-
-    def register(self, job_ids: list[str]) -> None:
-        """Add jobs that the ledger does not know yet."""
-        try:
-            known = {r.job_id for r in self.state().select("job_id").collect()}
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = set()
-        self._write([(j, 0, "not_started", None, None, None) for j in job_ids if j not in known])
-
-    def step(self, start_job: Callable[[str, Backend], Job | None], jobs: dict[str, Job]) -> bool:
-        """Poll active jobs and launch waiting ones; false when none is left open."""
-        rows = {r.job_id: r for r in self.state().collect()}
-        events: list[tuple] = []
-
-        def note(job_id: str, status: str, backend: str | None, backend_job: str | None = None) -> None:
-            events.append((job_id, rows[job_id].seq + 1 + sum(e[0] == job_id for e in events), status, backend, backend_job, None))
-
-        status = {j: r.status for j, r in rows.items()}
-        for job_id, row in rows.items():
-            if row.status in ACTIVE and job_id in jobs:
-                try:
-                    new = jobs[job_id].status()
-                except ConnectionError:
-                    _log.warning("no status for %s", job_id, exc_info=True)
-                    continue
-                if new != row.status:
-                    status[job_id] = new
-                    note(job_id, new, row.backend, row.backend_job)
-                    if new == "finished":
-                        self.on_done(job_id, row.backend)
-                    elif new in ("error", "canceled"):
-                        self.on_error(job_id, row.backend)
-        waiting = [j for j in sorted(rows) if status[j] == "not_started"]
-        for name, backend in self.backends.items():
-            busy = sum(1 for j, r in rows.items() if status[j] in ACTIVE and r.backend == name)
-            for job_id in waiting[: max(0, backend.capacity - busy)]:
-                waiting.remove(job_id)
-                try:
-                    job = start_job(job_id, backend)
-                    if job is not None and job.status() == "created":
-                        job.start_job()
-                except ConnectionError:
-                    _log.warning("start of %s failed", job_id, exc_info=True)
-                    status[job_id] = "start_failed"
-                    note(job_id, "start_failed", name)
-                    continue
-                if job is None:
-                    status[job_id] = "skipped"
-                    note(job_id, "skipped", name)
-                else:
-                    jobs[job_id] = job
-                    status[job_id] = job.status()
-                    note(job_id, status[job_id], name, job.job_id)
-        self._write(events)
-        return any(s not in TERMINAL for s in status.values())
-
-    def run(self, start_job: Callable[[str, Backend], Job | None], most_rounds: int = 1_000_000) -> DataFrame:
-        """Poll until every job has ended; jobs of an earlier run need their handles from start_job."""
-        jobs: dict[str, Job] = {}
-        for _ in range(most_rounds):
-            if not self.step(start_job, jobs):
-                break
-            time.sleep(self.poll_seconds)
-        return self.state()
-
-
-def replay(scripts: Mapping[str, list[str]]) -> Callable[[str, Backend], Job]:
-    """start_job for jobs whose status goes through a script, one entry per poll; the last one stays."""
-
-    class Scripted:
-        def __init__(self, job_id: str):
-            self.job_id, self.left = job_id, list(scripts[job_id])
-
-        def status(self) -> str:
-            return self.left.pop(0) if len(self.left) > 1 else self.left[0]
-
-        def start_job(self) -> None:
-            pass
-
-    return lambda job_id, backend: Scripted(job_id)
-
-
 def with_retries(call: Callable[[], Any], wait_seconds: float = 5.0, times: int = 3) -> Any:
     """call(), again after a wait where the connection fails; None if it fails each time."""
     for _ in range(times):

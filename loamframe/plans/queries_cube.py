@@ -290,5 +290,5 @@ JOIN range(3) r(k) ON date_diff('day', DATE '2024-01-01', ts::DATE) >= k * 7 AND
 def stream_interval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window means of a stream of the events' files, run until all are read."""
     events = table_stream(spark, sf_dir, "events.parquet")
-    found = completed(interval_means(events, _WEEKS, START, ["event_type"], late="40 days"), "stream")
+    found = completed(interval_means(events, _WEEKS, START, ["event_type"], late="40 days"), "stream", ["event_type", "k"])
     return found.withColumn("mean", arith.rounded("mean"))

@@ -178,13 +178,13 @@ def tile_provider_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT DISTINCT c_nationkey AS tile, o_orderdate::DATE AS date FROM orders JOIN customer ON c_custkey = o_custkey)
-SELECT t.tile, d.date::VARCHAR AS date FROM (SELECT n_nationkey AS tile FROM nation) t CROSS JOIN (SELECT DISTINCT o_orderdate::DATE AS date FROM orders) d
+SELECT t.tile, d.date::VARCHAR AS date FROM (SELECT n_nationkey AS tile FROM nation) t CROSS JOIN (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY))::DATE AS date FROM orders) d
 LEFT JOIN c ON c.tile = t.tile AND c.date = d.date WHERE c.tile IS NULL""")
 def expected_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     catalogue = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("tile"), F.to_date("o_orderdate").alias("date"))
-    dates = orders.select(F.to_date("o_orderdate").alias("date")).distinct()
-    return workflows.expected_gaps(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tile")), dates, catalogue).withColumn("date", F.col("date").cast("string"))
+    span = orders.agg(F.min(F.to_date("o_orderdate")).cast("string").alias("first"), F.max(F.to_date("o_orderdate")).cast("string").alias("last")).first()
+    return workflows.expected_gaps(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tile")), span.first, span.last, catalogue).withColumn("date", F.col("date").cast("string"))
 
 
 @query("""WITH RECURSIVE b AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 500)::DOUBLE AS x, (s_suppkey * 53 % 300)::DOUBLE AS y FROM supplier),

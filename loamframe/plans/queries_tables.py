@@ -150,11 +150,13 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.positional_join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", values, "means", "mean")
 
 
-@query("SELECT i::INT AS position, v::DOUBLE AS value FROM (VALUES (0, 0.25), (1, 0.0), (2, 1.5)) t(i, v)")
+@query("SELECT (row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) - 1)::INT AS position, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END::DOUBLE AS value FROM customer")
 def zonal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zone values of a JSON result; a zone without bands has the default."""
-    found = spark.range(1).select(F.lit('{"2020-12-31T00:00:00Z": [[0.25, 7.0], [], [1.5]]}').alias("value"))
-    return readers.zonal_lists(spark, found, "2020-12-31T00:00:00Z")
+    """Zone values of JSON results of 50 zones each; a zone without bands has the default."""
+    bands = F.when(F.col("c_custkey") % 3 == 0, F.array().cast("array<double>")).otherwise(F.array("c_acctbal", F.lit(7.0)))
+    zones = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 50)).agg(F.array_sort(F.collect_list(F.struct("c_custkey", bands.alias("b")))).alias("z"))
+    results = zones.select(F.to_json(F.create_map(F.lit("2020-12-31T00:00:00Z"), F.col("z.b"))).alias("value"))
+    return readers.zonal_lists(spark, results, "2020-12-31T00:00:00Z")
 
 
 @query("SELECT s_suppkey, s_acctbal, s_nationkey::BIGINT AS zone, 'new'::VARCHAR AS status, NULL::DOUBLE AS cpu FROM supplier")
@@ -190,14 +192,18 @@ def legend_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("target", legends.lookup_or_fail("rolled", numbers))
 
 
-@query("SELECT substr(code, 1, 1) AS letter, count(*) AS n FROM (VALUES " + ", ".join(f"('{c}')" for c in legends.LAND_COVER) + ") t(code) GROUP BY 1")
+_CODES = sorted(legends.LAND_COVER)
+
+
+@query(f"SELECT substr(code, 1, 1) AS letter, count(*) AS n FROM (SELECT list_extract({_CODES}, p_partkey % {len(_CODES)} + 1) AS code FROM part) GROUP BY 1")
 def legend_partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes: dict[str, list[str]] = {}
     for code, name in legends.LAND_COVER.items():
         classes.setdefault(code[0], []).append(f"{code} {name}")
     numbers = legends.class_numbers(classes)
-    rows = spark.createDataFrame(sorted(numbers.items()), "code string, number int")
-    return rows.groupBy(F.substring("code", 1, 1).alias("letter")).agg(F.count(F.lit(1)).alias("n"))
+    letters = F.array(*[F.lit(letter) for letter in classes])
+    rows = table(spark, sf_dir, "part").select(F.get(F.array(*map(F.lit, _CODES)), (F.col("p_partkey") % len(_CODES)).cast("int")).alias("code"))
+    return rows.groupBy(F.get(letters, legends.lookup_or_fail("code", numbers)).alias("letter")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _CT = "list_extract([1110, 1120, 1200, 4351, 5100, 8100, 9100, 2210, 3300], {0} % 9 + 1)"

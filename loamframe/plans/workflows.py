@@ -159,9 +159,10 @@ def missing_products(messages: DataFrame, tiles: DataFrame, done: DataFrame) ->
     return named.groupBy("tile").agg(F.array_sort(F.collect_set("product")).alias("products")).withColumn("n", F.size("products"))
 
 
-def expected_gaps(tiles: DataFrame, dates: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Dry run of a load: pairs of tile and date that the catalogue lacks."""
-    return tables.difference(tables.cross_grid(tiles, dates), catalogue, ["tile", "date"])
+def expected_gaps(tiles: DataFrame, first: str, last: str, catalogue: DataFrame, step_days: int = 1) -> DataFrame:
+    """Dry run of a load: tiles with the dates from first to last, every step_days, that the catalogue lacks."""
+    dates = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.make_dt_interval(F.lit(step_days)))
+    return tables.difference(tiles.select("tile", F.explode(dates).alias("date")), catalogue, ["tile", "date"])
 
 
 def production_tiles(tiles: DataFrame, results: DataFrame, least_cropland: float = 0.0) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loamframe.storage import fresh_path
 
@@ -17,19 +20,21 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.parquet(path)
 
 
-def completed(result: DataFrame, name: str) -> DataFrame:
-    """The rows of an aggregating stream after all available files, as a table in the shared folder.
+def completed(result: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """The rows of an aggregating stream after all available files, merged by key from tables in the shared folder.
 
-    Each batch writes the whole result to a folder of its own; the last one is read.
+    Each batch writes the rows that it changed to a folder of its own; of each key the last one counts.  So state
+    behind the watermark is dropped, and no batch writes what it did not change.
     """
     spark = result.sparkSession
     path = fresh_path(spark, name)
-    done: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/result-{number}")
-        done.append(number)
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/changes/number={number}")
 
-    query = result.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query = result.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{path}/result-{max(done)}")
+    others = [c for c in result.columns if c not in keys]
+    changes = spark.read.parquet(f"{path}/changes")
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_last"))
+    return last.select(*[c if c in keys else F.col(f"_last.{c}").alias(c) for c in result.columns])

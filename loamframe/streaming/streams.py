@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +30,5 @@ def sessions(stream: DataFrame, keys: list[str], gap: str = "6 hours", t_col: st
 
 
 def job_states(events: DataFrame, key: str = "job_id") -> DataFrame:
-    """Each job's latest status as its events (job_id, seq, status) arrive, in any order; the state is one row per job."""
-
-    def advance(job: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seq, status = state.get if state.exists else (-1, None)
-        for frame in rows:
-            best = frame.loc[frame["seq"].idxmax()]
-            if best["seq"] > seq:
-                seq, status = int(best["seq"]), str(best["status"])
-        state.update((seq, status))
-        yield pd.DataFrame({key: [job[0]], "seq": [seq], "status": [status]})
-
-    return events.groupBy(key).applyInPandasWithState(advance, f"{key} string, seq long, status string", "seq long, status string", "update", "NoTimeout")
+    """Each job's latest status as its events (job_id, seq, status) arrive, in any order and repeatedly; the state is one row per job."""
+    return events.groupBy(key).agg(F.max(F.struct("seq", "status")).alias("_e")).select(key, "_e.seq", "_e.status")

@@ -1,51 +1,83 @@
+import datetime
+
 import pytest
 
 from loamframe.operators import ledger
 from loamframe.storage import fresh_path
-
-
-def script(queued, running):
-    """The status after start, then one per poll."""
-    return ["created", *["queued"] * queued, *["running"] * running, "finished"]
-
-
-#: Polls in each state, by job.
-SCRIPTS = {"job-2018": script(1, 2), "job-2019": script(2, 3), "job-2020": script(3, 4), "job-2021": script(3, 5), "job-2022": script(5, 6)}
-
-
-def test_jobs_run_to_their_end_on_both_backends(spark):
-    path = fresh_path(spark, "test-ledger")
-    done = []
-    manager = ledger.JobManager(spark, path, poll_seconds=0, on_done=lambda job, backend: done.append(job))
-    for name in ("foo", "bar"):
-        manager.add_backend(name, lambda: None)
-    manager.register(list(SCRIPTS))
-    manager.register(list(SCRIPTS))
-    assert manager.state().count() == 5
-    jobs, busiest = {}, 0
-    start = ledger.replay(SCRIPTS)
-    while manager.step(start, jobs):
-        busiest = max([busiest, *[r.active for r in ledger.load(manager.state()).collect()]])
-    state = manager.state()
-    assert {r.status for r in state.collect()} == {"finished"} and {r.backend for r in state.collect()} == {"foo", "bar"}
-    assert busiest <= 2 and sorted(done) == sorted(SCRIPTS)
-    assert {r.status: r.n for r in ledger.histogram(state).collect()} == {"finished": 5} and ledger.open_jobs(state).count() == 0
-
-
-def test_errors_end_a_job_and_failed_starts_are_noted(spark):
-    path = fresh_path(spark, "test-ledger")
-    failed = []
-    manager = ledger.JobManager(spark, path, poll_seconds=0, on_error=lambda job, backend: failed.append(job))
-    manager.add_backend("foo", lambda: None, capacity=3)
-    manager.register(["a", "b", "c"])
-    run = ledger.replay({"a": ["queued", "running", "error"], "b": ["queued", "finished"]})
-
-    def start(job_id, backend):
-        if job_id == "c":
-            raise ConnectionError
-        return run(job_id, backend) if job_id == "a" else None
-
-    assert {r.job_id: r.status for r in manager.run(start).collect()} == {"a": "error", "b": "skipped", "c": "start_failed"} and failed == ["a"]
+from loamframe.streaming import dispatch
+
+NOW = datetime.datetime(2024, 1, 1)
+
+
+class Service:
+    """Jobs that go on by one status each time they are asked, and write events of it."""
+
+    def __init__(self, spark, events, fails=()):
+        self.spark, self.events, self.fails, self.jobs, self.calls, self.files = spark, events, fails, {}, [], 0
+
+    def write(self, rows):
+        rows = [(j, n, NOW, status, backend, None, None) for j, n, status, backend in rows]
+        self.files += 1
+        self.spark.createDataFrame(rows, ledger.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(self.events)
+
+    def launch(self, job, backend):
+        self.calls.append((job, backend))
+        if job in self.fails:
+            return self.write([(job, 1, "start_failed", backend)])
+        self.jobs[job] = (1, backend)
+        return self.write([(job, 1, "created", backend)])
+
+    def poll(self, last):
+        """Each job's next event, and once more the one before it, behind it."""
+        rows = []
+        for job, (n, backend) in list(self.jobs.items()):
+            if n < len(last):
+                self.jobs[job] = (n + 1, backend)
+                rows += [(job, n + 1, last[n], backend), (job, n, last[n - 1], backend)]
+        if rows:
+            self.write(rows)
+
+
+def run(spark, service, path, backends, launch=None):
+    query = dispatch.dispatch(spark, service.events, path, backends, launch or service.launch, files=1)
+    query.awaitTermination()
+    assert query.exception() is None
+
+
+def test_jobs_run_to_their_end_within_capacity(spark):
+    events, path = fresh_path(spark, "test-events"), fresh_path(spark, "test-dispatch")
+    backends = spark.createDataFrame([("foo", 0, 2), ("bar", 1, 1)], "backend string, position int, capacity int")
+    service = Service(spark, events, fails=("job-3",))
+    service.write([(f"job-{k}", 0, "not_started", None) for k in range(5)])
+    for _ in range(8):
+        run(spark, service, path, backends)
+        active = {r.backend: r.active for r in dispatch.load(spark, path).collect()}
+        assert active.get("foo", 0) <= 2 and active.get("bar", 0) <= 1
+        service.poll(["created", "running", "finished"])
+        if all(n == 3 for n, _ in service.jobs.values()) and len(service.jobs) == 4:
+            break
+    run(spark, service, path, backends)
+    assert {r.job_id: r.status for r in dispatch.states(spark, path).collect()} == {f"job-{k}": "start_failed" if k == 3 else "finished" for k in range(5)}
+    assert sorted(j for j, _ in service.calls) == [f"job-{k}" for k in range(5)] and {b for _, b in service.calls} == {"foo", "bar"}
+
+
+def test_a_batch_that_is_run_again_launches_the_same_jobs(spark, monkeypatch):
+    events, path = fresh_path(spark, "test-events"), fresh_path(spark, "test-dispatch")
+    backends = spark.createDataFrame([("foo", 0, 1)], "backend string, position int, capacity int")
+    service = Service(spark, events)
+    service.write([(f"job-{k}", 0, "not_started", None) for k in range(3)])
+
+    def broken(job, backend):
+        raise ConnectionError(job)
+
+    with pytest.raises(Exception, match="job-0"):
+        run(spark, service, path, backends, broken)
+    run(spark, service, path, backends)
+    assert {j for j, _ in service.calls} == {"job-0"}
+    monkeypatch.setattr(dispatch, "MERGE_EVERY", 1)
+    service.poll(["created", "finished"])
+    run(spark, service, path, backends)
+    assert {r.job_id: r.status for r in dispatch.states(spark, path).collect()}["job-0"] == "finished" and ("job-1", "foo") in service.calls
 
 
 def test_retries():

@@ -6,7 +6,7 @@ from loamframe.plans import catalog
 
 QUERIES, _ = catalog.load()
 #: Grids of small dimensions are crosses; ledgers match at most their capacity's slots.
-CROSSES = {"cross_job_grid", "expected_gaps", "extraction_plan"}
+CROSSES = {"cross_job_grid", "extraction_plan"}
 #: Forests and hulls run Python or collect by design; streams have run before their result is read.
 OTHERS = {"ml_train_predict", "ml_feature_importance", "ml_cv", "ml_boosting", "cluster_hulls", "stream_interval_means", "overlap_groups", "overlap_groups_exact", "parcels_without_overlaps", "ml_gbdt", "dissolved_polygons", "dissolved_parcels", "buffer_outward", "buffer_inward"}
 

@@ -103,7 +103,7 @@ def test_a_folder_streams_like_a_file(spark, sf, stream_dir):
     counts = []
     for where, table in ((folder, name), (sf, "events.parquet")):
         events = runs.table_stream(spark, where, table)
-        counts.append(runs.completed(events.groupBy("event_type").count(), "test-stream").agg(F.sum("count")).first()[0])
+        counts.append(runs.completed(events.groupBy("event_type").count(), "test-stream", ["event_type"]).agg(F.sum("count")).first()[0])
     assert counts[0] == counts[1] == spark.read.parquet(stream_dir).count()
 
 
