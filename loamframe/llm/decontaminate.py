@@ -3,8 +3,9 @@
 Texts become tokens, runs of letters or numbers; runs of digits that one '.' or ','
 joins are one number.  Two channels are searched:
 the literal one, lower-cased tokens as they are, and the template one, in which
-numbers, units after numbers and names (capitalised words inside a sentence) are
-typed placeholders.  Windows of WIDTH tokens of the benchmark are hash-joined
+numbers, number words, units after numbers and names (capitalised words inside a sentence) are
+typed placeholders.  Whether a capitalised word that begins a sentence is a name cannot be seen from it, so
+template windows with such a word come in two variants, with all of these words as literals and with all of them as names.  Windows of WIDTH tokens of the benchmark are hash-joined
 with those of the documents; template windows count only if they hold a
 placeholder and at least LEAST_LITERALS literal tokens.  Where WIDTH tokens hold
 fewer, the window is widened: to the right up to the next literal token that
@@ -36,6 +37,7 @@ columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +61,15 @@ UNITS = (
     "pound pounds kilometer kilometers meter meters gram grams kilogram kilograms"
 ).split()
 
+#: Words that are numbers; fixed values.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+).split()
+#: Two-byte capitals beyond Latin-1, as (first, last, distance to the small letter): Greek and Cyrillic, then pairs of Latin letters whose capital is even or odd.
+CAPITALS = ((0x391, 0x3A9, 32), (0x400, 0x40F, 80), (0x410, 0x42F, 32))
+CAPITAL_PAIRS = ((0x100, 0x136, 0), (0x139, 0x147, 1), (0x14A, 0x176, 0), (0x179, 0x17D, 1))
+
 _U = np.uint64
 _LITERAL, _TEMPLATE, _WHOLE, _WIDE = _U(0x243F6A8885A308D3), _U(0x13198A2E03707344), _U(0xA4093822299F31D0), _U(0x082EFA98EC4E6C89)
 _NUM, _UNIT, _NAME = (K.mix(np.array([x], dtype=np.uint64))[0] for x in (11, 22, 33))
@@ -70,20 +81,28 @@ _IS_TERM = np.isin(np.arange(256), list(b".!?:;\n"))
 
 
 def fold(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with ASCII and Latin-1 letters lower-cased, and where a capital starts; lengths stay."""
+    """Bytes with ASCII, Latin, Greek and Cyrillic letters lower-cased, and where a capital starts; lengths stay."""
     out = K.ASCII_LOWER[buf]
     capital = out != buf
-    if len(buf) > 1:
-        latin = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97))
-        out[latin + 1] += 0x20
-        capital[latin] = True
+    at = np.flatnonzero((buf[:-1] >= 0xC3) & (buf[:-1] <= 0xD0)) if len(buf) > 1 else np.zeros(0, dtype=np.int64)
+    if len(at):
+        code = (buf[at].astype(np.int64) & 0x1F) << 6 | (buf[at + 1] & 0x3F)
+        small = np.where((code >= 0xC0) & (code <= 0xDE) & (code != 0xD7), code + 32, code)
+        for first, last, step in CAPITALS:
+            small = np.where((code >= first) & (code <= last), code + step, small)
+        for first, last, odd in CAPITAL_PAIRS:
+            small = np.where((code >= first) & (code <= last) & (code % 2 == odd), code + 1, small)
+        large = small != code
+        at, small = at[large], small[large]
+        out[at], out[at + 1] = 0xC0 | small >> 6, 0x80 | small & 0x3F
+        capital[at] = True
     return out, capital
 
 
 class Tokens:
-    """Tokens of a piece of texts: row, literal hash, template hash and whether a placeholder stands there."""
+    """Tokens of a piece of texts: row, literal hash, template hash, whether a placeholder stands there and whether a capitalised word begins a sentence."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, units: np.ndarray):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, units: np.ndarray, numbers: np.ndarray):
         low, capital = fold(buf)
         kind = _CLASS[low]
         if len(low) > 2:
@@ -116,6 +135,7 @@ class Tokens:
             ends = ends[head + length - 1]
             self.starts, self.rows, self.run, number = (x[head] for x in (self.starts, self.rows, self.run, number))
         m = len(self.rows)
+        number = number | np.isin(self.literal, numbers)
         same = np.zeros(m, dtype=bool)
         same[1:] = self.rows[1:] == self.rows[:-1]
         after_number = np.zeros(m, dtype=bool)
@@ -129,15 +149,28 @@ class Tokens:
         second = np.minimum(self.starts + wide, max(0, len(buf) - 1))
         title = capital[self.starts] & (self.starts + wide < ends) & ~capital[second] if m else same
         name = inside & title & ~number & ~unit
+        self.initial = title & ~inside & ~number & ~unit
         self.slot = number | unit | name
         self.template = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, self.literal)))
 
-    def windows(self, widths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    def named(self) -> Tokens:
+        """The variant in which capitalised words that begin sentences are names."""
+        out = copy.copy(self)
+        out.slot, out.template = self.slot | self.initial, np.where(self.initial, _NAME, self.template)
+        return out
+
+    def with_initial(self, start: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+        """Which windows hold a capitalised word that begins a sentence, so that the variants differ."""
+        sums = np.concatenate(([0], np.cumsum(self.initial)))
+        return sums[start + width] > sums[start]
+
+    def windows(self, widths: list[int], literal: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
         """(hashes, first tokens, width, template) of each channel and width."""
         slots = np.concatenate(([0], np.cumsum(self.slot)))
         for w in widths:
             h, at = K.window_hashes(self.literal, self.rows, w)
-            yield K.mix(h ^ _LITERAL ^ _U(w)), at, w, False
+            if literal:
+                yield K.mix(h ^ _LITERAL ^ _U(w)), at, w, False
             filled = slots[at + w] - slots[at]
             at = at[(filled > 0) & (w - filled >= LEAST_LITERALS)]
             h = np.zeros(len(at), dtype=np.uint64)
@@ -212,8 +245,8 @@ class Tokens:
         return K.mix(h ^ _WHOLE), first[rows]
 
 
-def unit_hashes() -> np.ndarray:
-    text = " ".join(UNITS).encode()
+def word_hashes(words: list[str]) -> np.ndarray:
+    text = " ".join(words).encode()
     buf = np.frombuffer(text, dtype=np.uint8)
     starts, ends, _ = K.word_bounds(buf, np.array([0, len(buf)]))
     return np.sort(K.span_hashes(buf, starts, ends))
@@ -230,22 +263,29 @@ def window_rows(texts: DataFrame, widths: list[int], shared: Broadcast | None =
     at the position and width of its narrow window, else at its own.  With a filter
     only windows that it may hold are given.
     """
-    units = unit_hashes()
+    units, numbers = word_hashes(UNITS), word_hashes(NUMBER_WORDS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, offs in K.pieces(batch.column(1)):
-                t = Tokens(buf, offs, units)
+                t = Tokens(buf, offs, units, numbers)
+                n = t.named()
                 counts = K.counts_by_row(t.rows, t.n)
                 first = np.cumsum(counts) - counts
                 ids = batch.column(0).slice(i, j - i)
-                found = [(h, at, at, np.full(len(at), w), np.full(len(at), w), template) for h, at, w, template in [*t.windows(widths), (*t.wholes(LEAST_LITERALS - 1), 0, False)]]
-                if wholes is None:
-                    h, at, start, span = t.wide_places()
-                    found.append((h, at, start, np.minimum(counts[t.rows[at]], WIDTH), span, True))
-                else:
-                    found += [(h, at, at, span, span, True) for h, at, span in t.wide_windows(longest, wholes)]
-                for h, at, start, width, span, template in found:
+                found = []
+                for v in (t, n):
+                    plain = [*v.windows(widths, v is t), *([(*t.wholes(LEAST_LITERALS - 1), 0, False)] if v is t else [])]
+                    own = [(h, at, at, np.full(len(at), w), np.full(len(at), w), template) for h, at, w, template in plain]
+                    if wholes is None:
+                        h, at, start, span = v.wide_places()
+                        own.append((h, at, start, np.minimum(counts[t.rows[at]], WIDTH), span, True))
+                    else:
+                        own += [(h, at, at, span, span, True) for h, at, span in v.wide_windows(longest, wholes)]
+                    for h, at, start, width, span, template in own:
+                        new = np.ones(len(at), dtype=bool) if v is t else t.with_initial(start, span)
+                        found.append((v, *(x[new] for x in (h, at, start, width, span)), template))
+                for v, h, at, start, width, span, template in found:
                     if shared is not None:
                         near = bloom.may_hold(shared.value, h)
                         h, at, start, width, span = (x[near] for x in (h, at, start, width, span))
@@ -254,7 +294,7 @@ def window_rows(texts: DataFrame, widths: list[int], shared: Broadcast | None =
                     row = t.rows[at]
                     if template:
                         each = np.arange(span.sum()) + np.repeat(start - (np.cumsum(span) - span), span)
-                        slots = K.ragged(np.where(t.slot[each], t.literal[each].view(np.int64), 0), span, pa.int64())
+                        slots = K.ragged(np.where(v.slot[each], t.literal[each].view(np.int64), 0), span, pa.int64())
                     else:
                         slots = pa.nulls(len(at), pa.list_(pa.int64()))
                     places = [(x - first[row]).astype(np.int32) for x in (at, start)]

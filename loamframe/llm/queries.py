@@ -19,43 +19,6 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _op1_sql() -> str:
-    letter = r"A-Za-z\x{80}-\x{1FFF}\x{2080}-\x{10FFFF}"
-    token = rf"([^{letter}0-9]*)([{letter}]+|[0-9]+)"
-    capital = "A-ZÀ-ÖØ-Þ"
-    units = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
-    w, c = decontaminate.WIDTH, decontaminate.COVERAGE
-    return rf"""
-WITH src AS (
-  SELECT 'd' AS side, doc_id AS id, text AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
-  UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-x AS (SELECT side, id, regexp_extract_all(t, '{token}', 1) AS seps, regexp_extract_all(t, '{token}', 2) AS toks FROM src),
-e AS (SELECT side, id, len(toks) AS n, i, toks[i] AS tok, seps[i] AS sep, CASE WHEN i > 1 THEN toks[i - 1] ELSE '' END AS prev FROM (SELECT *, unnest(range(1, len(toks) + 1)) AS i FROM x)),
-s AS (
-  SELECT side, id, n, i, lower(tok) AS low,
-    CASE WHEN regexp_matches(tok, '^[0-9]') THEN '#num' WHEN regexp_matches(prev, '^[0-9]') AND lower(tok) IN ({units}) THEN '#unit'
-      WHEN i > 1 AND NOT regexp_matches(sep, '[.!?:;\n]') AND regexp_matches(tok, '^[{capital}][^{capital}]') THEN '#name' END AS slot FROM e),
-a AS (SELECT side, id, n, list(low ORDER BY i) AS lit, list(coalesce(slot, low) ORDER BY i) AS tpl, list(slot IS NOT NULL ORDER BY i) AS sl FROM s GROUP BY ALL),
-items AS (SELECT id, n, CASE WHEN n < 3 THEN 0 ELSE least(n, {w}) END AS own FROM a WHERE side = 'b'),
-widths AS (SELECT DISTINCT CASE WHEN own = 0 THEN n ELSE own END AS w FROM items),
-p AS (SELECT a.*, w, unnest(range(1, n - w + 2)) AS pos FROM a, widths WHERE n >= w AND (n > 2 OR n = w)),
-v AS (
-  SELECT side, id, n, w, pos, lit[pos:pos + w - 1] AS vals, array_to_string(lit[pos:pos + w - 1], ' ') AS lit, sl[pos:pos + w - 1] AS sl,
-    array_to_string(tpl[pos:pos + w - 1], ' ') AS tpl, len(list_filter(sl[pos:pos + w - 1], lambda y: y)) AS slots FROM p),
-b AS (SELECT v.*, i.n - v.w + 1 AS n_item FROM v JOIN items i USING (id) WHERE side = 'b' AND v.w = CASE WHEN own = 0 THEN i.n ELSE own END),
-d AS (SELECT * FROM v WHERE side = 'd' AND (w > 2 OR n = w)),
-m AS (
-  SELECT d.id AS doc, b.id AS item, d.pos - b.pos AS shift, b.pos AS place, n_item, false AS template, b.vals AS iv, d.vals AS dv, b.sl FROM d JOIN b ON d.lit = b.lit AND d.w = b.w
-  UNION ALL SELECT d.id, b.id, d.pos - b.pos, b.pos, n_item, true, b.vals, d.vals, b.sl FROM d JOIN b ON d.tpl = b.tpl AND d.w = b.w WHERE b.slots > 0 AND b.w - b.slots >= {decontaminate.LEAST_LITERALS} AND d.sl = b.sl),
-q AS (SELECT doc, item, shift, iv[j] AS i, dv[j] AS o FROM (SELECT *, unnest(range(1, len(sl) + 1)) AS j FROM m WHERE template) WHERE sl[j]),
-ok AS (SELECT doc, item, shift, count(DISTINCT [i, o]) = count(DISTINCT i) AND count(DISTINCT [i, o]) = count(DISTINCT o) AS sound FROM q GROUP BY ALL),
-f AS (SELECT m.doc, m.item, m.place, m.shift, m.n_item, m.template FROM m LEFT JOIN ok USING (doc, item, shift) WHERE NOT template OR sound),
-g AS (SELECT doc, item, n_item, count(DISTINCT place) AS n_windows, count(DISTINCT CASE WHEN NOT template THEN place END) AS n_literal, CAST(min(place + shift) - 1 AS INT) AS first_token FROM f GROUP BY ALL)
-SELECT doc AS doc_id, item AS item_id, CASE WHEN n_literal / n_item::DOUBLE >= {c} THEN 'verbatim' ELSE 'reparameterised' END AS kind,
-  n_windows / n_item::DOUBLE AS coverage, n_windows, first_token FROM g WHERE n_windows / n_item::DOUBLE >= {c}
-"""
-
-
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("sentences").cast("long").alias("n_sentences"))
@@ -345,4 +308,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_leaks": _op1_sql(), "op3_web_archive": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_windows": OP9_SQL, "op10_license_scan": _op10_sql(), "op11_turn_repairs": _op11_sql(), "op12_top_products": OP12_SQL}
+    return {"op3_web_archive": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_chat_windows": OP9_SQL, "op10_license_scan": _op10_sql(), "op11_turn_repairs": _op11_sql(), "op12_top_products": OP12_SQL}

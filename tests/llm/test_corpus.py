@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import json
 import re
 import zlib
@@ -38,6 +39,10 @@ def items(spark):
         ("Before. " + ITEM + " After.", "verbatim"),
         (ITEM.upper().replace(" ", "!! "), "verbatim"),
         ("Intro. Carl has 7 apples and Dora has 9 apples. How many apples do Carl and Dora have after Carl eats 7 of them? End", "reparameterised"),
+        # names at the beginning of sentences, number words and names in other letters
+        ("Dora has 7 apples and Carl has 9 apples. How many apples do Dora and Carl have after Dora eats 7 of them?", "reparameterised"),
+        ("Intro. Carl has seven apples and Dora has nine apples. How many apples do Carl and Dora have after Carl eats seven of them?", "reparameterised"),
+        ("Иван has 7 apples and Ольга has 9 apples. How many apples do Иван and Ольга have after Иван eats 7 of them?", "reparameterised"),
         # the second slot pattern contradicts the first: Dora and Carl change places
         ("Carl has 7 apples and Dora has 9 apples. How many apples do Dora and Carl have after Dora eats 8 of them?", None),
         ("Some other text about pears and plums that nobody has counted before today, says Anna.", None),
@@ -63,6 +68,11 @@ def test_short_items_and_edges(spark, items, messy, no_documents):
 @pytest.mark.parametrize(
     "item,text,kind",
     [
+        ("Tom buys 4 pens. Tom sells 2 pens. Tom keeps the rest.", "Ann buys 9 pens. Ann sells 5 pens. Ann keeps the rest.", "reparameterised"),
+        ("Tom buys 4 pens. Tom sells 2 pens. Tom keeps the rest.", "Then Ann buys 9 pens. Ann sells 5 pens. Ann keeps the rest.", "reparameterised"),
+        ("She walks three miles in ten minutes and then rests.", "She walks five miles in twenty minutes and then rests.", "reparameterised"),
+        ("Βασίλης has 3 dogs and Ελένη has 4 dogs.", "Νίκος has 5 dogs and Μαρία has 6 dogs.", "reparameterised"),
+        ("Tom buys 4 pens. Tom sells 2 pens. Tom keeps the rest.", "The shop buys pens. It sells 2 boxes. Nobody keeps the change.", None),
         ("Add 12 km and 7 km to 30 km.", "Now: Add 15 km and 9 km to 41 km. Done", "reparameterised"),
         ("Compute 17 + 25 - 3", "Please compute 18 + 21 - 4 now", "reparameterised"),
         ("Compute 17 + 25 - 3 + 9 - 11", "compute 1 + 2 - 4 + 5 - 6", "reparameterised"),
@@ -82,6 +92,11 @@ def test_items_dense_in_slots(spark, item, text, kind):
 @pytest.mark.parametrize(
     "item,text,kind",
     [
+        ("Tom buys 4 pens. Tom sells 2 pens. Tom keeps the rest.", "Ann buys 9 pens. Ann sells 5 pens. Ann keeps the rest.", "reparameterised"),
+        ("Tom buys 4 pens. Tom sells 2 pens. Tom keeps the rest.", "Then Ann buys 9 pens. Ann sells 5 pens. Ann keeps the rest.", "reparameterised"),
+        ("She walks three miles in ten minutes and then rests.", "She walks five miles in twenty minutes and then rests.", "reparameterised"),
+        ("Βασίλης has 3 dogs and Ελένη has 4 dogs.", "Νίκος has 5 dogs and Μαρία has 6 dogs.", "reparameterised"),
+        ("Tom buys 4 pens. Tom sells 2 pens. Tom keeps the rest.", "The shop buys pens. It sells 2 boxes. Nobody keeps the change.", None),
         # two values become one
         ("Then we bought 3 apples and later 5 apples at the market", "Then we bought 4 apples and later 4 apples at the market", "reparameterised"),
         # decimals and thousands are single numbers
@@ -119,21 +134,21 @@ def test_verbatim_leaks_match_brute_force(spark, sf):
     assert found == expected and found
 
 
-def typed(text):
-    """(value, template token, is a slot) of every token of an ASCII text."""
+def typed(text, named=False):
+    """(value, template token, is a slot) of every token of an ASCII text; `named` types capitalised words at the beginning of sentences as names."""
     out, end, numeric = [], 0, False
     for m in re.finditer(r"\d+(?:[.,]\d+)*|[A-Za-z]+", text or ""):
         word, between = m[0], text[end : m.start()]
-        if word[0].isdigit():
+        if word[0].isdigit() or word.lower() in decontaminate.NUMBER_WORDS:
             kind = "#"
         elif numeric and word.lower() in decontaminate.UNITS:
             kind = "@"
-        elif out and not re.search(r"[.!?:;\n]", between) and re.match("[A-Z][a-z]", word):
+        elif (named or (out and not re.search(r"[.!?:;\n]", between))) and re.match("[A-Z][a-z]", word):
             kind = "%"
         else:
             kind = None
         out.append((word.lower(), kind or word.lower(), kind is not None))
-        end, numeric = m.end(), word[0].isdigit()
+        end, numeric = m.end(), kind == "#"
     return out
 
 
@@ -158,21 +173,21 @@ def item_windows(item):
 def brute_leaks(docs, items, coverage=decontaminate.COVERAGE):
     found = {}
     for d, text in docs:
-        doc = typed(text)
         for i, item_text in items:
-            item = typed(item_text)
-            windows, hits = item_windows(item), collections.defaultdict(list)
-            for p, (literal, template) in enumerate(windows):
-                for part, span in ((0, literal), (1, template)):
-                    if span is None:
-                        continue
-                    a, b = span
-                    want = [t[part] for t in item[a:b]]
-                    for q in range(len(doc) - (b - a) + 1):
-                        same = [t[part] for t in doc[q : q + b - a]] == want and (len(item) > 2 or len(doc) == len(item))
-                        if same and (not part or [t[2] for t in doc[q : q + b - a]] == [t[2] for t in item[a:b]]):
-                            pairs = {(x[0], y[0]) for x, y in zip(item[a:b], doc[q : q + b - a]) if x[2]} if part else set()
-                            hits[q - a].append((p, part, pairs))
+            hits = collections.defaultdict(list)
+            for item, doc in itertools.product(*([typed(t, named) for named in (False, True)] for t in (item_text, text))):
+                windows = item_windows(item)
+                for p, (literal, template) in enumerate(windows):
+                    for part, span in ((0, literal), (1, template)):
+                        if span is None:
+                            continue
+                        a, b = span
+                        want = [t[part] for t in item[a:b]]
+                        for q in range(len(doc) - (b - a) + 1):
+                            same = [t[part] for t in doc[q : q + b - a]] == want and (len(item) > 2 or len(doc) == len(item))
+                            if same and (not part or [t[2] for t in doc[q : q + b - a]] == [t[2] for t in item[a:b]]):
+                                pairs = {(x[0], y[0]) for x, y in zip(item[a:b], doc[q : q + b - a]) if x[2]} if part else set()
+                                hits[q - a].append((p, part, pairs))
             places, literal_places = set(), set()
             for own in hits.values():
                 values = collections.defaultdict(set)
