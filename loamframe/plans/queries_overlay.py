@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamframe.functions import arith, geo
-from loamframe.operators import buffers, overlay
+from loamframe.operators import buffers, overlay, radar
 from loamframe.operators import cube as C
 from loamframe.plans import workflows
 from loamframe.plans.catalog import query, table
@@ -115,3 +115,31 @@ def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id AS p_partkey, round(sum(w * v) / nullif(sum(CASE WHEN v IS NOT NULL AND w > 0 THEN w END), 0) + 1e-9, 4) AS p_retailprice FROM c LEFT JOIN s USING (i, j) GROUP BY id""")
 def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(spark, sf_dir, "bilinear")
+
+
+_ORBIT = "o AS (SELECT n_nationkey AS i, 7071000 * cos(0.9 + n_nationkey * 0.01) AS x, 1200000::DOUBLE AS y, 7071000 * sin(0.9 + n_nationkey * 0.01) AS z, -7071 * sin(0.9 + n_nationkey * 0.01) AS vx, 0::DOUBLE AS vy, 7071 * cos(0.9 + n_nationkey * 0.01) AS vz FROM nation)"
+_PLACE = "(2*s*s*s - 3*s*s + 1) * a.{0} + (s*s*s - 2*s*s + s) * 10 * a.v{0} + (3*s*s - 2*s*s*s) * b.{0} + (s*s*s - s*s) * 10 * b.v{0} AS s{0}"
+
+
+@query(f"""WITH {_ORBIT}, p AS (SELECT p_partkey AS id, p_partkey // 40 AS line, p_partkey % 40 AS px, p_size AS dn, 5 + p_partkey % 40 * 0.01 AS lon, 52 + p_partkey // 40 * 0.01 AS lat, p_partkey // 40 * 0.4 AS t FROM part),
+g AS (SELECT line, px, 400 + p_retailprice / 10 AS v FROM part JOIN p ON id = p_partkey WHERE line % 10 = 0 AND px % 8 = 0),
+c AS (SELECT id, floor(px / 8) + da AS i, floor(line / 10) + db AS j, abs(1 - da - (px / 8 - floor(px / 8))) * abs(1 - db - (line / 10 - floor(line / 10))) AS w FROM p, range(2) r(da), range(2) q(db)),
+l AS (SELECT id, sum(w * v) / nullif(sum(CASE WHEN v IS NOT NULL AND w > 0 THEN w END), 0) AS scale FROM c LEFT JOIN g ON g.px = i * 8 AND g.line = j * 10 AND w > 0 GROUP BY id),
+k AS (SELECT p.*, floor(t / 10) AS k, t / 10 - floor(t / 10) AS s FROM p),
+m AS (SELECT k.*, {', '.join(_PLACE.format(x) for x in 'xyz')} FROM k LEFT JOIN o a ON a.i = k LEFT JOIN o b ON b.i = k + 1),
+e AS (SELECT *, radians(lon) AS lam, radians(lat) AS phi, 6378137.0 / sqrt(1 - 0.00669437999014 * sin(radians(lat)) ** 2) AS n FROM m),
+d AS (SELECT *, sx - n * cos(phi) * cos(lam) AS dx, sy - n * cos(phi) * sin(lam) AS dy, sz - n * (1 - 0.00669437999014) * sin(phi) AS dz FROM e),
+f AS (SELECT *, acos((cos(phi) * cos(lam) * dx + cos(phi) * sin(lam) * dy + sin(phi) * dz) / sqrt(dx * dx + dy * dy + dz * dz)) AS angle FROM d)
+SELECT id AS p_partkey, round(10 * log10((dn / scale) ** 2 * sin(angle)), 6) AS vv, round(degrees(angle), 6) AS incidence FROM f JOIN l USING (id)""")
+def sigma_nought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of parts as radar counts, calibrated by scales at every eighth pixel of every tenth line."""
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.floor(k / 40).alias("line"), (k % 40).alias("pixel"), F.col("p_size").alias("vv"), "p_retailprice")
+    counts = parts.select("p_partkey", "line", "pixel", "vv", (5 + F.col("pixel") * 0.01).alias("lon"), (52 + F.col("line") * 0.01).alias("lat"), (F.col("line") * 0.4).alias("t"))
+    scales = parts.where("line % 10 = 0 AND pixel % 8 = 0").select("line", "pixel", (400 + F.col("p_retailprice") / 10).alias("vv"))
+    turn, i = 0.9 + F.col("n_nationkey") * 0.01, F.col("n_nationkey")
+    orbit = table(spark, sf_dir, "nation").select(
+        (i * 10.0).alias("t"), (7071000 * F.cos(turn)).alias("x"), F.lit(1200000.0).alias("y"), (7071000 * F.sin(turn)).alias("z"), (-7071 * F.sin(turn)).alias("vx"), F.lit(0.0).alias("vy"), (7071 * F.cos(turn)).alias("vz")
+    )
+    found = radar.calibrated(counts, scales, orbit, ["vv"], lines=10, pixels=8, orbit_step=10.0)
+    return found.select("p_partkey", F.round("vv", 6).alias("vv"), F.round("incidence", 6).alias("incidence"))
