@@ -73,7 +73,8 @@ def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
 def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
     """df with the predicted label's text."""
     labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    out = model.transform(df)
+    # a fitted forest of two classes keeps its summary and with it the session, which tasks cannot take once a query has been observed; a copy has none
+    out = model.copy().transform(df)
     return out.withColumn("predicted", F.get(labels, F.col("prediction").cast("int"))).drop("rawPrediction", "probability", "features", "prediction")
 
 

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from loamframe.functions import geo, text
@@ -129,8 +130,10 @@ def test_model_round_trip(spark, tmp_path):
     table = learning.training_table(df, ["B06_p25", "B06_sd"], "crop", ["zoneID"])
     assert table.count() == 200
     model = learning.forest(["B06_p25", "B06_sd"], "crop", ["zoneID"], trees=10, depth=3).fit(table)
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
     out = learning.predicted(model, table)
-    assert metrics.accuracy(out, "crop", "predicted").first().accuracy > 0.95
+    assert seen.get == {"n": 3} and metrics.accuracy(out, "crop", "predicted").first().accuracy > 0.95
     ranked = learning.importances(model, spark).orderBy("rank").collect()
     assert ranked[0].feature == "B06_p25" and all(r.importance != 0 for r in ranked)
     learning.save(model, str(tmp_path / "m"), ["B06_p25", "B06_sd"], "forest")
