@@ -27,7 +27,7 @@ choice; documents meet items by these alone, and only such pairs are looked up b
 all windows.  So a window common to many items, as a shared instruction, does not
 pair each document that has it with each of these items.
 
-Defined results: null and empty texts match nothing; very long texts are searched
+Defined results: ids are whole numbers, others stop the job; null and empty texts match nothing; very long texts are searched
 whole, each as a piece of its own; an item with fewer than WIDTH tokens is one
 window of its own length, and below LEAST_LITERALS tokens it is found only as a
 whole document; an item without tokens leaks nowhere; rows with one id, in either

@@ -21,7 +21,7 @@
 The work is done when the operator is called; the result is a table in the shared
 folder, all other tables are deleted.
 
-Defined results: an empty text or one without words has an empty set and is linked
+Defined results: ids are whole numbers, others stop the job; an empty text or one without words has an empty set and is linked
 with nothing; fewer words than a shingle has make one shingle; a very long text is
 shingled whole, as a piece of its own; a null id has a null component and is kept;
 rows with one id are one document, whatever their texts; ties go to the smallest

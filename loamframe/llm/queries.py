@@ -21,7 +21,7 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted", F.size("sentences").cast("long").alias("n_sentences"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("sentences").cast("long").alias("n_offending"), "sentences")
 
 
 def op3_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

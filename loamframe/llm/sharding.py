@@ -11,8 +11,9 @@ of cells is summed in one task.  Everything is DataFrame expressions.
 Defined results: null texts have size 1 and checksum 0; very long texts are sized
 and summed whole, and above about 46 kB all lie in the last level of size; null
 metadata lie in bucket 0; null ids come first in their bucket; repeated rows take slots of their
-own; an empty table gives no rows; other columns, whatever their names, are not
-read, and carried through by `write`.
+own; equal texts are rows like others, which law `rows` may place in several shards, and
+no two documents are kept together; an empty table gives no rows; other columns, whatever their names, are not
+read, and carried through by `write`, whose own columns give way to columns of the same name.
 """
 
 from __future__ import annotations
@@ -164,8 +165,11 @@ def prune(shards: DataFrame, **levels: int) -> DataFrame:
 
 
 def write(df: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write df's rows as one folder of Parquet files per shard, in slot order; ids must be unique."""
-    key = free_name(df)
-    placed = assigned.select(F.col(id_col).alias(key), "shard", "slot")
-    rows = df.drop("shard", "slot").join(placed, F.col(id_col).eqNullSafe(F.col(key))).drop(key)
-    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write df's rows as one folder of Parquet files per shard, in slot order; ids must be unique.
+
+    Where df has columns shard or slot of its own, the written ones are called _shard and _slot.
+    """
+    key, shard, slot = (free_name(df, name) for name in ("_key", "shard", "slot"))
+    placed = assigned.select(F.col(id_col).alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    rows = df.join(placed, F.col(id_col).eqNullSafe(F.col(key))).drop(key)
+    rows.repartition(shard, F.floor(F.col(slot) / 100_000)).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

@@ -33,6 +33,9 @@ from loamframe.llm import kernels as K
 #: Unicode white space; fixed values.
 WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Pre-tokens of the vocabulary file's split rule; fixed pattern.
+#: Steps of normalizer and pre-tokenizer, and the pattern of words, that counts follow; fixed values of the file format.
+STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+")
 
 #: Remembered pre-tokens in a task, and the longest that is remembered.
@@ -62,11 +65,19 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _steps(part: dict | None, name: str) -> list[dict]:
+    return [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+
+
 def load_vocabulary(path: str) -> Vocabulary:
     """Read a vocabulary file on the driver; its size does not depend on the data."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model = spec["model"]
+    steps = [n["type"] for n in _steps(spec["normalizer"], "normalizers")], [p["type"] for p in _steps(spec["pre_tokenizer"], "pretokenizers")]
+    split = next((p["pattern"].get("Regex") for p in _steps(spec["pre_tokenizer"], "pretokenizers") if p["type"] == "Split"), None)
+    if model["type"] != "BPE" or steps != STEPS or split != SPLIT:
+        raise ValueError(f"{path}: only byte-level pair encoding with the steps {STEPS} and words split at {SPLIT} is counted here")
     ids, suffix = model["vocab"], model["end_of_word_suffix"] or ""
     size = max(ids.values()) + 1
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]

@@ -14,7 +14,7 @@ fitted too.  The sample's texts are written once; a document of it sends the
 driver one row per distinct set of telling features, with the number of its
 sentences that hold this set, which is all that the noisy-or needs.
 
-Defined results: a null or empty text has the leak as its score; a very long text
+Defined results: ids are whole numbers, others stop the job; a null or empty text has the leak as its score; a very long text
 is scored whole, as a piece of its own; labels that are null do not count, of
 repeated ones the highest does; rows with one id are scored one by one, and learnt
 from as one bag of all their sentences; without any offending sample every score

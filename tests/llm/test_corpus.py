@@ -501,6 +501,10 @@ def test_manifest_prunes_and_files_hold_their_shard(spark, sf):
     back = {r.doc_id: (r.shard, r.slot, r.text) for r in spark.read.parquet(path).collect()}
     texts = {r.doc_id: r.text for r in df.collect()}
     assert back == {r.doc_id: (r.shard, r.slot, texts[r.doc_id]) for r in placed.collect()}
+    path = fresh_path(spark, "test-shards")
+    sharding.write(df.withColumn("shard", F.lit("own")).withColumn("slot", F.lit(-1)), placed, path)
+    again = {r.doc_id: (r._shard, r._slot, r.shard, r.slot) for r in spark.read.parquet(path).collect()}
+    assert again == {r.doc_id: (r.shard, r.slot, "own", -1) for r in placed.collect()}
 
 
 # --- mixing ---------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Kernels, near duplicates, quality rules, token counts and licences against brute force."""
 
 import collections
+import json
 import re
 
 import numpy as np
@@ -429,3 +430,14 @@ def test_telling_parts_miss_no_match():
             text = " ".join(w for w in notice if rng.random() > 0.12)
             if dice(text, " ".join(notice)) >= 0.8:
                 assert pattern.search(text)
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import public_tokenizers
+
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    for key, value in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"})):
+        other = tmp_path / f"{key}.json"
+        other.write_text(json.dumps(spec | {key: value}), encoding="utf-8")
+        with pytest.raises(ValueError, match="is counted here"):
+            tokencount.load_vocabulary(str(other))
