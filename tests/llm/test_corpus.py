@@ -693,7 +693,7 @@ def test_queries_match_their_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = queries.queries()[name](spark, sf)
     rel = con.sql(queries.oracle_sql()[name])
@@ -715,4 +715,4 @@ def test_native_operators_run_no_python(spark, sf, number):
 
 
 def test_numbered_queries_are_registered():
-    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 14))
