@@ -280,7 +280,8 @@ def repair(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     spark = conversations.sparkSession
     one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), one(role_col).alias("role"), one(text_col).alias("text"))
-    rows = rows.repartitionByRange("conv", "turn", "role", "text").sortWithinPartitions("conv", "turn", "role", "text")
+    # ranges are cut by a sample that comes to the driver, so it holds the beginnings of texts only
+    rows = rows.repartitionByRange(F.col("conv"), F.col("turn"), F.col("role"), F.substring("text", 1, 64)).sortWithinPartitions("conv", "turn", "role", "text")
     rows = in_batches(rows, partial(_number, segment=segment), f"{_ddl(rows)}, seg long, pos int")
     tail = F.rtrim(F.col("text"), F.lit(BLANKS))
     initial = F.substring("role", 1, 1)
