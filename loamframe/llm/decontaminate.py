@@ -273,19 +273,25 @@ def window_rows(texts: DataFrame, widths: list[int], shared: Broadcast | None =
                 counts = K.counts_by_row(t.rows, t.n)
                 first = np.cumsum(counts) - counts
                 ids = batch.column(0).slice(i, j - i)
-                found = []
-                for v in (t, n):
-                    plain = [*v.windows(widths, v is t), *([(*t.wholes(LEAST_LITERALS - 1), 0, False)] if v is t else [])]
-                    own = [(h, at, at, np.full(len(at), w), np.full(len(at), w), template) for h, at, w, template in plain]
-                    if wholes is None:
-                        h, at, start, span = v.wide_places()
-                        own.append((h, at, start, np.minimum(counts[t.rows[at]], WIDTH), span, True))
-                    else:
-                        own += [(h, at, at, span, span, True) for h, at, span in v.wide_windows(longest, wholes)]
-                    for h, at, start, width, span, template in own:
-                        new = np.ones(len(at), dtype=bool) if v is t else t.with_initial(start, span)
-                        found.append((v, *(x[new] for x in (h, at, start, width, span)), template))
-                for v, h, at, start, width, span, template in found:
+
+                def found() -> Iterator[tuple]:  # one list of windows at a time
+                    for v in (t, n):
+                        for h, at, w, template in v.windows(widths, v is t):
+                            yield v, h, at, at, np.full(len(at), w), np.full(len(at), w), template
+                        if v is t:
+                            h, at = t.wholes(LEAST_LITERALS - 1)
+                            yield v, h, at, at, np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64), False
+                        if wholes is None:
+                            h, at, start, span = v.wide_places()
+                            yield v, h, at, start, np.minimum(counts[t.rows[at]], WIDTH), span, True
+                        else:
+                            for h, at, span in v.wide_windows(longest, wholes):
+                                yield v, h, at, at, span, span, True
+
+                for v, h, at, start, width, span, template in found():
+                    if v is n:
+                        new = t.with_initial(start, span)
+                        h, at, start, width, span = (x[new] for x in (h, at, start, width, span))
                     if shared is not None:
                         near = bloom.may_hold(shared.value, h)
                         h, at, start, width, span = (x[near] for x in (h, at, start, width, span))
