@@ -29,7 +29,7 @@ from loamframe.storage import Scratch, written
 _POINTS = "array<struct<x:bigint,y:bigint>>"
 _FROM, _TO = ("x1", "y1"), ("x2", "y2")
 #: Pairs that are compared at a time inside a cell.
-_PAIRS = 1 << 21
+PAIRS = 1 << 21
 
 
 def _snapped(df: DataFrame, ring_col: str, precision: float) -> DataFrame:
@@ -42,40 +42,49 @@ def _snapped(df: DataFrame, ring_col: str, precision: float) -> DataFrame:
     return rows.select("g", F.when(F.col("area") < 0, F.reverse("ring")).otherwise(F.col("ring")).alias("ring"))
 
 
-def _crossings(a: np.ndarray, i: np.ndarray, j: np.ndarray) -> set[tuple[int, int]]:
-    """Grid points nearest to where edges i and j cross, by exact arithmetic."""
-    out = set()
-    for p, q in zip(a[i].tolist(), a[j].tolist()):
-        rx, ry, sx, sy = p[2] - p[0], p[3] - p[1], q[2] - q[0], q[3] - q[1]
-        den = rx * sy - ry * sx
-        t, u = (q[0] - p[0]) * sy - (q[1] - p[1]) * sx, (q[0] - p[0]) * ry - (q[1] - p[1]) * rx
-        if den < 0:
-            den, t, u = -den, -t, -u
-        if den and 0 <= t <= den and 0 <= u <= den:
-            out.add((p[0] + (2 * t * rx + den) // (2 * den), p[1] + (2 * t * ry + den) // (2 * den)))
-    return out
+#: Edges whose sides are shorter than this many steps cross by arithmetic of 64 bits.
+SIDE = 1 << 30
+
+
+def crossing_points(edges: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs of edges i and j cross, and the grid points nearest to where they do, by exact arithmetic."""
+    p, q = edges[i], edges[j]
+    r, s, gap = p[:, 2:] - p[:, :2], q[:, 2:] - q[:, :2], q[:, :2] - p[:, :2]
+    wide = np.maximum(np.abs(r), np.maximum(np.abs(s), np.abs(gap))).max(axis=1, initial=0) >= SIDE
+    if wide.any():  # integers without a limit
+        r, s, gap = r.astype(object), s.astype(object), gap.astype(object)
+    den, t, u = r[:, 0] * s[:, 1] - r[:, 1] * s[:, 0], gap[:, 0] * s[:, 1] - gap[:, 1] * s[:, 0], gap[:, 0] * r[:, 1] - gap[:, 1] * r[:, 0]
+    sign = np.where(den < 0, -1, 1)
+    den, t, u = den * sign, t * sign, u * sign
+    found = np.flatnonzero((den != 0) & (t >= 0) & (t <= den) & (u >= 0) & (u <= den))
+    den, t, r = den[found, None], t[found, None], r[found]
+    # a first guess; products that do not fit into 64 bits wrap around, but their difference, less than 2 * den, is right
+    guess = np.rint(t.astype(np.float64) / den.astype(np.float64) * r.astype(np.float64)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        steps = guess + (2 * t * r + den - 2 * den * guess) // (2 * den)
+    return found, p[found, :2] + steps.astype(np.int64)
 
 
 def hot_points(edges: np.ndarray) -> np.ndarray:
     """Ends and crossings of edges (rows x1, y1, x2, y2 of integers), each once."""
     flat = np.unique(np.where((edges[:, :2] <= edges[:, 2:]).all(axis=1)[:, None], edges, edges[:, [2, 3, 0, 1]]), axis=0)
     low, high = np.minimum(flat[:, :2], flat[:, 2:]), np.maximum(flat[:, :2], flat[:, 2:])
-    hot = {tuple(p) for p in flat.reshape(-1, 2).tolist()}
-    step = max(1, _PAIRS // max(1, len(flat)))
+    hot = [np.unique(flat.reshape(-1, 2), axis=0)]
+    step = max(1, PAIRS // max(1, len(flat)))
     for top in range(0, len(flat), step):
         part = slice(top, top + step)
         meet = ((low[part, None] <= high[None]) & (low[None] <= high[part, None])).all(axis=2)
         i, j = np.nonzero(meet)
         i += top
-        hot |= _crossings(flat, i[i < j], j[i < j])
-    return np.array(sorted(hot), dtype=np.int64).reshape(-1, 2)
+        hot.append(np.unique(crossing_points(flat, i[i < j], j[i < j])[1], axis=0))
+    return np.unique(np.concatenate(hot), axis=0)
 
 
 def passes(edges: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (edge, point) of an edge and a point that it passes by half a step, without its own ends."""
     out = [np.zeros((0, 2), dtype=np.int64)]
     low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
-    step = max(1, _PAIRS // max(1, len(points)))
+    step = max(1, PAIRS // max(1, len(points)))
     for top in range(0, len(edges), step):
         e = edges[top : top + step]
         d = e[:, 2:] - e[:, :2]

@@ -92,3 +92,15 @@ def test_rows(spark):
     rows = buffers.buffered(df, "id", -2.0).collect()
     assert sorted((r.id or 0, round(r.area, 6), len(r.ring)) for r in rows) == [(0, 36.0, 4), (1, 36.0, 4), (5, 36.0, 4), (5, 36.0, 4)]
     assert buffers.buffered(df.limit(0), "id", 1.0).count() == 0
+
+
+def test_rings_of_a_batch_and_wide_rings():
+    shapes = [np.array(r, dtype=float) for r in (SQUARE, [(0, 0), (1, 1)], DUMBBELL, LETTER[::-1], [])]
+    joined = np.concatenate([s.reshape(-1, 2) for s in shapes])
+    _, n, at, area = buffers._buffered(joined, np.array([len(s) for s in shapes]), -2.0, 5.0, 0, 1e-6)
+    assert at.tolist() == [0, 2, 2, 3] and n.tolist() == [4, 4, 4, 6] and area.round(6).tolist() == [36.0, 36.0, 36.0, 336.0]
+    # thousands of metres are too many steps for products of 64 bits
+    wide = [(0.0, 0.0), (4000.0, 300.0), (5200.0, 4100.0), (2500.0, 1900.0), (300.0, 3900.0)]
+    small = areas([(x / 100, y / 100) for x, y in wide], -0.5)
+    large = areas(wide, -50.0)
+    assert len(large) == len(small) and all(abs(a / 10000 - b) < 1e-3 for a, b in zip(large, small))
