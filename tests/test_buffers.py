@@ -104,3 +104,11 @@ def test_rings_of_a_batch_and_wide_rings():
     small = areas([(x / 100, y / 100) for x, y in wide], -0.5)
     large = areas(wide, -50.0)
     assert len(large) == len(small) and all(abs(a / 10000 - b) < 1e-3 for a, b in zip(large, small))
+
+
+def test_rings_of_one_partition_are_spread(spark):
+    """A small file is one partition, whose rings would all be one task's."""
+    df = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in SQUARE]) for k in range(400)], "id long, ring array<struct<x:double,y:double>>").coalesce(1)
+    found = buffers.buffered(df, "id", 2.0)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {(r.n, round(r.area)) for r in found.groupBy("id").agg({"area": "sum", "id": "count"}).toDF("id", "area", "n").collect()} == {(1, 196)}
