@@ -63,4 +63,6 @@ def time_label(t: Column | str, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
 
 
 def title(label: Column | str, value: Column | str) -> Column:
-    return F.format_string("%s %.1f", as_col(label), as_col(value))
+    """`label value` with one digit, null if either is."""
+    label, value = as_col(label), as_col(value)
+    return F.when(label.isNotNull() & value.isNotNull(), F.format_string("%s %.1f", label, value))

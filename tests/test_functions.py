@@ -96,6 +96,13 @@ def test_texts(spark):
     assert one(spark, text.with_unit(F.lit(12), F.lit("cpu-seconds"))) == "12 cpu-seconds" and one(spark, text.with_unit(F.lit(None), F.lit("x"))) == "x"
     assert one(spark, text.is_country(F.lit("2018_BE_LPIS_POLY_110"), "BE")) and one(spark, text.country_of(F.lit("2018_FR_x"))) == "FR"
     assert one(spark, text.title(F.lit("cropland"), F.lit(12.345))) == "cropland 12.3"
+    assert one(spark, text.title(F.lit(None).cast("string"), F.lit(1.0))) is None and one(spark, text.title(F.lit("x"), F.lit(None).cast("double"))) is None
+
+
+def test_titles_of_small_negative_values(spark):
+    """Values that are rounded up to zero keep their sign, as in SQL."""
+    shown = lambda v: one(spark, text.title(F.lit("x"), arith.rounded_to_show(F.lit(v), 1)))
+    assert [shown(v) for v in (-0.05, -0.04, -0.01, -0.06, 0.0, -1e-9, 0.04, -123.45)] == ["x -0.0", "x -0.0", "x -0.0", "x -0.1", "x 0.0", "x 0.0", "x 0.0", "x -123.4"]
 
 
 def test_legends(spark):
