@@ -192,6 +192,13 @@ def rings_meet(a: Column | str, b: Column | str) -> Column:
     return inside | F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: touch(e, f)))
 
 
+def clear_around(ring: Column | str, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """Whether a box lies inside a ring none of whose edges has a box that touches it; boxes inside that are near slanted edges are left out."""
+    edges = _edges(as_col(ring))
+    near = F.exists(edges, lambda e: (F.least(e.p.x, e.q.x) <= maxx) & (F.greatest(e.p.x, e.q.x) >= minx) & (F.least(e.p.y, e.q.y) <= maxy) & (F.greatest(e.p.y, e.q.y) >= miny))
+    return ~near & contains(ring, (minx + maxx) / 2, (miny + maxy) / 2)
+
+
 def crossings(ring: Column | str, y: Column | str) -> Column:
     """Where the edges cross a horizontal line."""
     y = as_col(y)

@@ -30,36 +30,38 @@ class CellTree:
     def grow(self, *tables: DataFrame) -> CellTree:
         """Divide cells until the tables' boxes (columns _x0, _y0, _x1, _y1) are at most `limit` in each, as far as depth goes."""
         rows = reduce(DataFrame.unionByName, [t.select(*self.by, *_SIDES) for t in tables])
-        rows = self._top(rows)
+        rows = self.top(rows)
         for _ in range(self.depth):
             counts = rows.groupBy(*self.by, *CELL).agg(F.count(F.lit(1)).alias("_n"))
             full = written(counts.where(F.col("_n") > self.limit).select(*self.by, *CELL), "full_cells")
             if full.isEmpty():
                 break
             self.full.append(full)
-            rows = self.scratch.table(self._below(self._only(rows, full, "left_semi")), "boxes")
+            rows = self.scratch.table(self.below(self._only(rows, full, "left_semi")), "boxes")
         return self
 
     def place(self, df: DataFrame, x0: Column, y0: Column, x1: Column | None = None, y1: Column | None = None) -> DataFrame:
         """df once per cell that its box, or point, touches; with _level, _cx and _cy."""
         x1, y1 = x0 if x1 is None else x1, y0 if y1 is None else y1
-        rows = self._top(df.withColumns(dict(zip(_SIDES, (x0, y0, x1, y1), strict=True))))
+        rows = self.top(df.withColumns(dict(zip(_SIDES, (x0, y0, x1, y1), strict=True))))
         done = []
         for full in self.full:
             done.append(self._only(rows, full, "left_anti"))
-            rows = self._below(self._only(rows, full, "left_semi"))
+            rows = self.below(self._only(rows, full, "left_semi"))
         return reduce(DataFrame.unionByName, [*done, rows]).drop(*_SIDES)
 
     def _only(self, rows: DataFrame, full: DataFrame, how: str) -> DataFrame:
         same = full.select(*[F.col(c).alias(f"_f{c}") for c in (*self.by, *CELL)])
         return rows.join(same, [F.col(c).eqNullSafe(F.col(f"_f{c}")) for c in (*self.by, *CELL)], how)
 
-    def _top(self, rows: DataFrame) -> DataFrame:
+    def top(self, rows: DataFrame) -> DataFrame:
+        """rows once per undivided cell that their boxes (columns _x0, _y0, _x1, _y1) touch."""
         low = lambda c: F.floor(F.col(c) / self.size)
         rows = rows.withColumn("_level", F.lit(0)).withColumn("_cx", F.explode(F.sequence(low("_x0"), low("_x1"))))
         return rows.withColumn("_cy", F.explode(F.sequence(low("_y0"), low("_y1"))))
 
-    def _below(self, rows: DataFrame) -> DataFrame:
+    def below(self, rows: DataFrame) -> DataFrame:
+        """Rows of cells once per quarter of theirs that their boxes touch."""
         rows = rows.withColumn("_level", F.col("_level") + 1)
         side = F.lit(self.size) / F.pow(F.lit(2.0), F.col("_level"))
         for c, low, high in (("_cx", "_x0", "_x1"), ("_cy", "_y0", "_y1")):

@@ -7,16 +7,17 @@ are divided first, so that no task sees more of a crowded place than a small cel
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamframe.functions import geo
 from loamframe.operators.celltree import CELL, CellTree
 from loamframe.operators.graph import components
-from loamframe.storage import Scratch
+from loamframe.storage import Scratch, written
 
 
 def covering_cells(polygons: DataFrame, ring_col: str, size: float) -> DataFrame:
@@ -128,28 +129,73 @@ def convex_hulls(points: DataFrame, group_col: str, x: str = "x", y: str = "y",
     return whole.groupBy(F.col("g").alias(group_col)).agg(ring.alias("ring"))
 
 
-def overlapping_rings(polygons: DataFrame, id_col: str, size: float, ring_col: str = "ring") -> DataFrame:
+def _meeting_groups(
+    shapes: DataFrame, id_col: str, size: float, box: Sequence[Column], meets: Callable[[Column, Column], Column], touches: Callable[..., Column], covers: Callable[..., Column], limit: int, depth: int = 8
+) -> DataFrame:
+    """id and group (smallest id) of shapes (columns id and shape) that meet, directly or over others.
+
+    The first of equal shapes stands for all.  In a cell that a shape covers, all others that touch
+    the cell are linked with that shape; other cells with more than limit shapes are divided, and pairs are compared in
+    those that are left.  touches and covers are of a shape and the four sides of a cell.
+    """
+    sides = ("_x0", "_y0", "_x1", "_y1")
+    with Scratch(shapes.sparkSession) as scratch:
+        rows = scratch.table(shapes.select(F.col(id_col).alias("id"), "shape").where("id IS NOT NULL"), "shapes")
+        classes = scratch.table(rows.groupBy("shape").agg(F.min("id").alias("first")), "classes")
+        # boxes without width do not even meet themselves
+        classes = scratch.table(classes.withColumn("own", F.coalesce(meets(F.col("shape"), F.col("shape")), F.lit(False))), "classes")
+        alike = rows.join(classes.where("NOT own").select("shape"), "shape").select("shape", "id")
+        first = scratch.table(classes.where("own").select("shape", F.col("first").alias("id")).unionByName(alike), "first")
+        member = rows.join(classes, "shape").select("id", F.when(F.col("own"), F.col("first")).otherwise(F.col("id")).alias("first"))
+        member = scratch.table(member, "member")
+        lowest = written(member.groupBy("id").agg(F.min("first").alias("first")), "lowest")
+        # ids with several shapes link these
+        links = [member.join(lowest.withColumnRenamed("first", "a"), "id").where("first <> a").select("a", F.col("first").alias("b"))]
+        tree, alone = CellTree(scratch, size), []
+        rows = tree.top(first.withColumns(dict(zip(sides, box, strict=True))))
+        for level in range(depth + 1):
+            # a little larger than the cell, so that rounding leaves no gap between cells
+            side = size / 2**level
+            cell = [(F.col(c) + k) * side + e for k, e in ((0, -1e-6 * side), (1, 1e-6 * side)) for c in ("_cx", "_cy")]
+            rows = scratch.table(rows.where(touches(F.col("shape"), *cell)).withColumn("_over", covers(F.col("shape"), *cell)), "cells")
+            counts = rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("_over"), F.col("id"))).alias("_cover"))
+            rows = rows.drop("_over").join(counts, list(CELL))
+            links.append(scratch.table(rows.where("_cover <> id").select(F.col("_cover").alias("a"), F.col("id").alias("b")).distinct(), "links"))
+            rows = rows.where("_cover IS NULL AND _n > 1")
+            alone.append(rows.where(F.col("_n") <= limit) if level < depth else rows)
+            rows = scratch.table(rows.where(F.col("_n") > limit).drop("_n", "_cover"), "crowded")
+            if rows.isEmpty():
+                break
+            rows = tree.below(rows)
+        near = scratch.table(reduce(DataFrame.unionByName, [r.select(*CELL, "id", "shape") for r in alone]), "alone")
+        other = near.select(*CELL, F.col("id").alias("b"), F.col("shape").alias("other"))
+        pairs = near.withColumnRenamed("id", "a").join(other, list(CELL)).where((F.col("a") < F.col("b")) & meets(F.col("shape"), F.col("other")))
+        links.append(scratch.table(pairs.select("a", "b").distinct(), "links"))
+        groups = components(reduce(DataFrame.unionByName, links)).select(F.col("id").alias("first"), F.col("component").alias("_group"))
+    found = lowest.join(groups, "first", "left").select(F.col("id").alias(id_col), F.coalesce("_group", "first").alias("_group"))
+    return shapes.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("_group", id_col).alias("group"))
+
+
+def overlapping_rings(polygons: DataFrame, id_col: str, size: float, ring_col: str = "ring", limit: int = 64) -> DataFrame:
     """id and group (smallest id) of polygons that share a point, directly or over others; jobs run when this is called."""
-    cells = covering_cells(polygons.select(id_col, ring_col), ring_col, size)
-    a = cells.select("_cx", "_cy", F.col(id_col).alias("a"), F.col(ring_col).alias("ring_a"))
-    b = cells.select("_cx", "_cy", F.col(id_col).alias("b"), F.col(ring_col).alias("ring_b"))
-    links = a.join(b, ["_cx", "_cy"]).where((F.col("a") < F.col("b")) & geo.rings_meet("ring_a", "ring_b")).select("a", "b").distinct()
-    groups = components(links).select(F.col("id").alias(id_col), F.col("component").alias("_group"))
-    return polygons.select(id_col).join(groups, id_col, "left").select(id_col, F.coalesce("_group", id_col).alias("group"))
+    box = geo.ring_box("shape")
+    touches = lambda ring, *cell: geo.rings_meet(ring, geo.box_ring(*cell))
+    return _meeting_groups(polygons.select(id_col, F.col(ring_col).alias("shape")), id_col, size, (box.minx, box.miny, box.maxx, box.maxy), geo.rings_meet, touches, geo.clear_around, limit)
 
 
-def overlapping_groups(boxes: DataFrame, id_col: str, size: float) -> DataFrame:
+def overlapping_groups(boxes: DataFrame, id_col: str, size: float, limit: int = 64) -> DataFrame:
     """id and group (smallest id) of boxes (minx, miny, maxx, maxy) that overlap, directly or over others.
 
     Boxes meet in shared grid cells of the given size; what overlaps is then joined to
     components, by jobs that run when this is called.
     """
-    ring = geo.box_ring("minx", "miny", "maxx", "maxy")
-    cells = covering_cells(boxes.withColumn("_ring", ring), "_ring", size).drop("_ring")
+
+    def touches(box: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+        return (box.minx < maxx) & (minx < box.maxx) & (box.miny < maxy) & (miny < box.maxy)
+
+    def covers(box: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+        return (box.minx <= minx) & (maxx <= box.maxx) & (box.miny <= miny) & (maxy <= box.maxy)
+
     sides = ("minx", "miny", "maxx", "maxy")
-    a = cells.select("_cx", "_cy", F.col(id_col).alias("a"), *[F.col(c).alias(f"a_{c}") for c in sides])
-    b = cells.select("_cx", "_cy", F.col(id_col).alias("b"), *[F.col(c).alias(f"b_{c}") for c in sides])
-    meet = (F.col("a_minx") < F.col("b_maxx")) & (F.col("b_minx") < F.col("a_maxx")) & (F.col("a_miny") < F.col("b_maxy")) & (F.col("b_miny") < F.col("a_maxy"))
-    links = a.join(b, ["_cx", "_cy"]).where(meet & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    groups = components(links).select(F.col("id").alias(id_col), F.col("component").alias("_group"))
-    return boxes.select(id_col).join(groups, id_col, "left").select(id_col, F.coalesce("_group", id_col).alias("group"))
+    shapes = boxes.select(id_col, F.struct(*[F.col(c).cast("double").alias(c) for c in sides]).alias("shape"))
+    return _meeting_groups(shapes, id_col, size, [F.col("shape")[c] for c in sides], lambda a, b: touches(a, b.minx, b.miny, b.maxx, b.maxy), touches, covers, limit)
