@@ -76,24 +76,33 @@ def points_in_polygons(polygons: DataFrame, id_col: str, ring_col: str = "ring",
     heights; only if none of these keeps the margin either is the margin dropped.  For
     the given share of polygons it is the centroid, if that lies inside.
     """
-    box = geo.ring_box(ring_col)
-    trial = F.explode(F.sequence(F.lit(1), F.lit(candidates)))
-    tries = polygons.select(id_col, ring_col, box.alias("_box"), trial.alias("_k"))
-    u, v = hash_fraction(id_col, "_k", seed=seed + "x"), hash_fraction(id_col, "_k", seed=seed + "y")
-    tries = tries.withColumn("_x", F.col("_box.minx") + u * (F.col("_box.maxx") - F.col("_box.minx"))).withColumn("_y", F.col("_box.miny") + v * (F.col("_box.maxy") - F.col("_box.miny")))
-    good = geo.contains(ring_col, "_x", "_y") & (geo.edge_distance(ring_col, "_x", "_y") >= margin)
-    # on a line at a candidate's height, a point of the widest part inside
-    cross = F.array_sort(geo.crossings(ring_col, "_y"))
-    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size("_r") / 2).cast("int") - 1), lambda i: F.struct((F.get("_r", 2 * i + 1) - F.get("_r", 2 * i)).alias("d"), F.get("_r", 2 * i).alias("x")))
-    drawn = F.struct("_k", "_x", "_y")
-    first = tries.where(good).groupBy(id_col).agg(F.min(drawn).alias("_p"))
-    left = polygons.join(first, id_col, "left_anti").select(id_col).distinct()
-    lines = tries.join(left, id_col, "left_semi").withColumn("_r", cross).where(F.size("_r") >= 2).withColumn("_w", F.array_max(parts))
-    lines = lines.withColumn("_x", F.col("_w.x") + u * F.col("_w.d")).where(geo.contains(ring_col, "_x", "_y"))
-    far = geo.edge_distance(ring_col, "_x", "_y") >= margin
-    second = lines.groupBy(id_col).agg(F.coalesce(F.min(F.when(far, drawn)), F.min(drawn)).alias("_p"))
+    # tries are made one after another in the row itself, and those behind the first good one not at all
+    draw = lambda k, axis: hash_fraction(id_col, k, seed=seed + axis)
+    point = lambda k, x, y: F.struct(k.alias("_k"), x.alias("_x"), y.alias("_y"))
+    named = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  # so that value is worked out once
+    good = lambda p: geo.contains(ring_col, p["_x"], p["_y"]) & (geo.edge_distance(ring_col, p["_x"], p["_y"]) >= margin)
+    box = F.col("_box")
+    none = F.lit(None).cast("struct<_k:int,_x:double,_y:double>")
+
+    def candidate(k: Column) -> Column:
+        at = point(k, box["minx"] + draw(k, "x") * (box["maxx"] - box["minx"]), box["miny"] + draw(k, "y") * (box["maxy"] - box["miny"]))
+        return named(at, lambda p: F.when(good(p), p))
+
+    def on_line(k: Column) -> Column:
+        """At a candidate's height, a point of the widest part inside."""
+        y = box["miny"] + draw(k, "y") * (box["maxy"] - box["miny"])
+        parts = lambda r: F.transform(F.sequence(F.lit(0), F.floor(F.size(r) / 2).cast("int") - 1), lambda i: F.struct((F.get(r, 2 * i + 1) - F.get(r, 2 * i)).alias("d"), F.get(r, 2 * i).alias("x")))
+        across = lambda r: F.when(F.size(r) >= 2, F.array_max(parts(r)))
+        widest = lambda y: named(F.array_sort(geo.crossings(ring_col, y)), across)
+        at = named(y, lambda y: named(widest(y), lambda w: point(k, w["x"] + draw(k, "x") * w["d"], y)))
+        return named(at, lambda p: F.when(geo.contains(ring_col, p["_x"], p["_y"]), p))
+
+    numbers = F.sequence(F.lit(1), F.lit(candidates))
+    first = F.aggregate(numbers, none, lambda found, k: F.when(found.isNull(), candidate(k)).otherwise(found))
+    lines = F.filter(F.transform(numbers, on_line), lambda p: p.isNotNull())
+    second = named(lines, lambda all_: F.coalesce(F.get(F.filter(all_, good), F.lit(0)), F.get(all_, F.lit(0))))
+    out = polygons.withColumn("_box", geo.ring_box(ring_col)).withColumn("_p", F.coalesce(first, second)).drop("_box").withColumn("_c", geo.centroid(ring_col))
     central = hash_fraction(id_col, seed=seed + "c") < centroid_share
-    out = polygons.join(first.unionByName(second), id_col, "left").withColumn("_c", geo.centroid(ring_col))
     middle = F.col("_p").isNull() | (central & geo.contains(ring_col, F.col("_c.x"), F.col("_c.y")))
     x = F.when(middle, F.col("_c.x")).otherwise(F.col("_p._x"))
     y = F.when(middle, F.col("_c.y")).otherwise(F.col("_p._y"))

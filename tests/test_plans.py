@@ -30,3 +30,9 @@ def test_season_statistics_shuffle_twice(spark, sf):
 
 def test_windows_of_a_day_are_not_joined(spark, sf):
     assert "Join" not in plan(QUERIES["cube_interval_median"](spark, sf))
+
+
+def test_points_are_drawn_in_their_row(spark, sf):
+    """No row per candidate, and no joins to find the first good one."""
+    text = plan(QUERIES["polygon_points"](spark, sf))
+    assert "Generate" not in text and "Join" not in text and "Exchange" not in text
