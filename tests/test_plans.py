@@ -36,3 +36,8 @@ def test_points_are_drawn_in_their_row(spark, sf):
     """No row per candidate, and no joins to find the first good one."""
     text = plan(QUERIES["polygon_points"](spark, sf))
     assert "Generate" not in text and "Join" not in text and "Exchange" not in text
+
+
+def test_names_of_files_are_taken_apart_once(spark, sf):
+    """What takes a name apart reads the sums per file, not every value."""
+    assert "regexp_extract(format_string" not in plan(QUERIES["training_rows"](spark, sf))
