@@ -19,21 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamframe.operators.overlay import PAIRS, SIDE, crossing_points
-
-
-def _neighbours(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows before and after each row of closed curves of n rows each."""
-    last = np.cumsum(n)
-    first, last = (last - n)[n > 0], last[n > 0] - 1
-    before, after = np.arange(n.sum()) - 1, np.arange(n.sum()) + 1
-    before[first], after[last] = last, first
-    return before, after
-
-
-def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sums of runs of n > 0 values each."""
-    return np.add.reduceat(values, np.cumsum(n) - n) if len(n) else np.zeros(0)
+from loamframe.operators.overlay import PAIRS, SIDE, crossing_points, neighbours, sums
 
 
 def _pairs(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -50,7 +36,7 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 def _moved(xy: np.ndarray, n: np.ndarray, distance: float, mitre: float, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """The raw curves of counter-clockwise rings of n corners each, moved outward by distance (inward if negative), and the corner of each point."""
-    before, after = _neighbours(n)
+    before, after = neighbours(n)
     edge = xy[after] - xy
     b = np.column_stack([edge[:, 1], -edge[:, 0]]) / np.hypot(edge[:, 0], edge[:, 1])[:, None]
     a = b[before]
@@ -121,7 +107,7 @@ def _wound(curve: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     number: the curve of each point, sorted.  Returns the corners, the number of corners of each ring and its curve.
     """
-    after = _neighbours(np.unique(number, return_counts=True)[1])[1]
+    after = neighbours(np.unique(number, return_counts=True)[1])[1]
     edges = np.column_stack([curve, curve[after]])
     if len(edges) and np.abs(edges).max() >= SIDE:  # integers without a limit
         edges = edges.astype(object)
@@ -181,7 +167,7 @@ def _wound(curve: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarra
     xy = vertices[:, 1:]
     ring, sizes = _walked(q[order].tolist(), np.searchsorted(p[order], np.arange(len(xy) + 1)).tolist(), xy.tolist())
     ring, sizes = np.array(ring, dtype=np.int64), np.array(sizes, dtype=np.int64)
-    before, after = _neighbours(sizes)
+    before, after = neighbours(sizes)
     into, out = xy[ring] - xy[ring[before]], xy[ring[after]] - xy[ring]
     bent = into[:, 0] * out[:, 1] != into[:, 1] * out[:, 0]
     of = np.repeat(np.arange(len(sizes)), sizes)[bent]
@@ -192,12 +178,12 @@ def _wound(curve: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _buffered(xy: np.ndarray, n: np.ndarray, distance: float, mitre: float, segments: int, precision: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buffers of polygons of n corners each: the corners of their rings and, of each ring, the number of corners, the polygon and the signed area."""
     of = np.repeat(np.arange(len(n)), n)
-    new = (xy != xy[_neighbours(n)[0]]).any(axis=1)
+    new = (xy != xy[neighbours(n)[0]]).any(axis=1)
     n = np.bincount(of[new], minlength=len(n))
     large = np.repeat(n > 2, n)
     polygon, xy, n = np.flatnonzero(n > 2), xy[new][large], n[n > 2]
-    after = _neighbours(n)[1]
-    twice = _sums(xy[:, 0] * xy[after, 1] - xy[after, 0] * xy[:, 1], n)
+    after = neighbours(n)[1]
+    twice = sums(xy[:, 0] * xy[after, 1] - xy[after, 0] * xy[:, 1], n)
     real = np.isfinite(twice) & (twice != 0)
     xy, polygon, n, twice = xy[np.repeat(real, n)], polygon[real], n[real], twice[real]
     if not len(n):
@@ -208,8 +194,8 @@ def _buffered(xy: np.ndarray, n: np.ndarray, distance: float, mitre: float, segm
     curve, corner = _moved(xy[turned] - base[of], n, distance, mitre, segments)
     xy, n, at = _wound(np.round(curve / precision).astype(np.int64), of[corner])
     rest = (xy - np.repeat(xy[np.cumsum(n) - n], n, axis=0)) * precision
-    after = _neighbours(n)[1]
-    area = _sums(rest[:, 0] * rest[after, 1] - rest[after, 0] * rest[:, 1], n) / 2
+    after = neighbours(n)[1]
+    area = sums(rest[:, 0] * rest[after, 1] - rest[after, 0] * rest[:, 1], n) / 2
     return xy * precision + np.repeat(base[at], n, axis=0), n, polygon[at], area
 
 

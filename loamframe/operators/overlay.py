@@ -16,8 +16,11 @@ area, and null rings, add nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +35,69 @@ _FROM, _TO = ("x1", "y1"), ("x2", "y2")
 PAIRS = 1 << 21
 
 
-def _snapped(df: DataFrame, ring_col: str, precision: float) -> DataFrame:
-    """g and ring: integer corners without repeated neighbours, counter-clockwise; each step reads the column of the one before it, so none is worked out twice."""
-    whole = F.transform(ring_col, lambda p: F.struct(F.round(p.x / precision).cast("long").alias("x"), F.round(p.y / precision).cast("long").alias("y")))
-    before = F.concat(F.slice("whole", -1, 1), F.slice("whole", 1, F.greatest(F.size("whole") - 1, F.lit(0))))
-    moved = F.filter(F.zip_with("whole", "before", lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda e: e.p != e.q)
-    rows = df.select("g", whole.alias("whole")).where(F.size("whole") > 2).withColumn("before", before).select("g", F.transform(moved, lambda e: e.p).alias("ring"))
-    rows = rows.where(F.size("ring") > 2).withColumn("area", geo.signed_area("ring")).where("area <> 0")
-    return rows.select("g", F.when(F.col("area") < 0, F.reverse("ring")).otherwise(F.col("ring")).alias("ring"))
-
-
 #: Edges whose sides are shorter than this many steps cross by arithmetic of 64 bits.
 SIDE = 1 << 30
 
 
+def neighbours(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows before and after each row of closed curves of n rows each."""
+    last = np.cumsum(n)
+    first, last = (last - n)[n > 0], last[n > 0] - 1
+    before, after = np.arange(n.sum()) - 1, np.arange(n.sum()) + 1
+    before[first], after[last] = last, first
+    return before, after
+
+
+def sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of n > 0 values each."""
+    return np.add.reduceat(values, np.cumsum(n) - n) if len(n) else np.zeros(0)
+
+
+def snapped_rings(xy: np.ndarray, n: np.ndarray, precision: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Integer corners of rings of n corners each, without repeated neighbours, counter-clockwise; the number of corners and the number of each ring that is left."""
+    steps = np.abs(xy / precision)
+    if not (steps < 2.0**63).all():
+        raise ValueError("a corner is not finite or too far out for the precision")
+    low = np.floor(steps)
+    xy = np.copysign(low + (steps - low >= 0.5), xy).astype(np.int64)  # halves away from zero
+    of = np.repeat(np.arange(len(n)), n)
+    new = (xy != xy[neighbours(n)[0]]).any(axis=1)
+    n = np.bincount(of[new], minlength=len(n))
+    large = np.repeat(n > 2, n)
+    ring, xy, n = np.flatnonzero(n > 2), xy[new][large], n[n > 2]
+    first, of = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    rest = xy - xy[first[of]]
+    if len(rest) and np.abs(rest).max() >= SIDE:  # integers without a limit; below it, sums that wrap around come back
+        rest = xy.astype(object) - xy[first[of]].astype(object)
+    after = neighbours(n)[1]
+    twice = sums(rest[:, 0] * rest[after, 1] - rest[after, 0] * rest[:, 1], n)
+    at = np.arange(len(xy))
+    at = np.where((twice < 0).astype(bool)[of], (2 * first + n - 1)[of] - at, at)
+    real = (twice != 0).astype(bool)
+    return xy[at][real[of]], n[real], ring[real]
+
+
+def _snapped(df: DataFrame, ring_col: str, precision: float) -> DataFrame:
+    """g and ring of each different snapped ring; equal rings are dropped before they are snapped, in a shuffle that spreads the others over all tasks."""
+    point = pa.struct([("x", pa.int64()), ("y", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings = batch.column("ring")
+            flat, sizes = rings.flatten(), rings.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            xy = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
+            xy, n, at = snapped_rings(xy, sizes, precision)
+            corners = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], fields=list(point))
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), corners)
+            yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(at, pa.int64())), out], ["g", "ring"])
+
+    points = F.transform(ring_col, lambda p: F.struct(p.x.cast("double").alias("x"), p.y.cast("double").alias("y")))
+    rows = df.select("g", points.alias("ring")).distinct()
+    # a ring with a corner that is not known has no area
+    rows = rows.where((F.size("ring") > 2) & ~F.exists("ring", lambda p: p.x.isNull() | p.y.isNull()))
+    return rows.mapInArrow(work, f"g {rows.schema['g'].dataType.simpleString()}, ring {_POINTS}").distinct()
+
+
 def crossing_points(edges: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the pairs of edges i and j cross, and the grid points nearest to where they do, by exact arithmetic."""
     p, q = edges[i], edges[j]
@@ -181,7 +233,7 @@ def union_rings(polygons: DataFrame, size: float, by: str | None = None, ring_co
     spark = polygons.sparkSession
     group = F.struct((F.lit(0) if by is None else F.col(by)).alias("v"))  # a struct is never null, so null groups join like others
     with Scratch(spark) as scratch:
-        rings = _snapped(polygons.select(group.alias("g"), F.col(ring_col).alias("ring")), "ring", precision).distinct()
+        rings = _snapped(polygons.select(group.alias("g"), F.col(ring_col).alias("ring")), "ring", precision)
         rings = scratch.table(rings, "rings")
         # numbered where the written table is read, which gives the same numbers each time
         rings = scratch.table(rings.select("g", F.monotonically_increasing_id().alias("poly"), "ring"), "numbered")

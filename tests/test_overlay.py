@@ -108,3 +108,29 @@ def test_cells_divide_where_boxes_are_many(spark):
         b = geo.ring_box("ring")
         met = placed.join(tree.place(shape, b.minx, b.miny, b.maxx, b.maxy), list(CELL)).where(geo.contains("ring", "x", "y")).count()
         assert met == points.where("x between 0.2 and 0.7 and y between 0.1 and 2.0").count()
+
+
+def test_corners_far_out(spark):
+    """Millions of metres in steps of a micrometre: their products do not fit into 64 bits."""
+    east, north = 500_000.0, 5_000_000.0
+    shapes = [("a", box(east, north, 10, 10)), ("a", box(east + 5, north + 5, 10, 10)), ("b", box(east, north, 6000, 4000)[::-1])]
+    found = overlay.union_rings(frame(spark, shapes), 10_000.0, by="g", precision=1e-6).collect()
+    assert sorted((r.g, round(r.area, 3), len(r.ring)) for r in found) == [("a", 175.0, 8), ("b", 24_000_000.0, 4)]
+
+
+def test_equal_rings_are_dropped_before_they_are_snapped(spark, tmp_path):
+    """A small file is one partition: its different rings go to other tasks before the work on them begins."""
+    shapes = [("a", box(x, 0, 1, 1)) for x in range(3)] * 50 + [("a", box(0.2, 0.1, 1, 1)), (None, box(0, 0, 1, 1))]
+    frame(spark, shapes).coalesce(1).write.parquet(f"{tmp_path}/shapes")
+    snapped = overlay._snapped(spark.read.parquet(f"{tmp_path}/shapes").select(F.struct("g").alias("g"), "ring"), "ring", 1.0)
+    above, below = snapped._jdf.queryExecution().executedPlan().toString().split("MapInArrow", 1)
+    assert "Exchange" in above and "Exchange" in below
+    assert sorted((r.g.g or "", [(p.x, p.y) for p in r.ring]) for r in snapped.collect()) == [("", box(0, 0, 1, 1)), *[("a", box(x, 0, 1, 1)) for x in range(3)]]
+
+
+def test_corners_that_are_not_known(spark):
+    rows = [(1, [(0.0, 0.0), (1.0, 0.0), (None, 1.0), (0.0, 1.0)]), (2, [(0.0, 0.0), None, (1.0, 0.0), (0.0, 1.0)]), (3, [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5)])]
+    found = overlay.union_rings(spark.createDataFrame(rows, "id int, ring array<struct<x:double,y:double>>"), 4.0, precision=1.0).collect()
+    assert [sorted((p.x, p.y) for p in r.ring) for r in found] == [[(-1, -1), (1, -1), (1, 1)]]
+    with pytest.raises(Exception, match="not finite"):
+        overlay.union_rings(spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (float("nan"), 1.0)])], "id int, ring array<struct<x:double,y:double>>"), 4.0)
