@@ -11,11 +11,13 @@ Rings that touch themselves in a point are cut there so that each part of the un
 counter-clockwise, holes clockwise; corners on a straight line are left out.
 
 A ring crosses no edge of its own; of equal rings of a group one is used.  Rings with fewer than three different corners or without
-area, and null rings, add nothing.
+area, and null rings, add nothing.  Nor do rings inside another one of their group: where that one is convex and among the widest
+of its cell, they are left out at the start.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,8 @@ PAIRS = 1 << 21
 
 #: Edges whose sides are shorter than this many steps cross by arithmetic of 64 bits.
 SIDE = 1 << 30
+#: Convex rings of a cell, its widest, in which others are looked for.
+WIDEST = 64
 
 
 def neighbours(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +102,45 @@ def _snapped(df: DataFrame, ring_col: str, precision: float) -> DataFrame:
     return rows.mapInArrow(work, f"g {rows.schema['g'].dataType.simpleString()}, ring {_POINTS}").distinct()
 
 
+def _ahead(ring: Column, n: int = 1) -> Column:
+    """The corners of a ring, begun n corners later."""
+    return F.concat(F.slice(ring, n + 1, F.size(ring)), F.slice(ring, 1, n))
+
+
+def _turn(p: Column, q: Column, r: Column) -> Column:
+    return (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)
+
+
+def _convex(ring: Column) -> Column:
+    """Whether a counter-clockwise ring never turns right and winds once: its edges turn upward once."""
+    edges = F.arrays_zip(ring.alias("p"), _ahead(ring).alias("q"), _ahead(ring, 2).alias("r"))
+    up = lambda p, q: (q.y > p.y) | ((q.y == p.y) & (q.x > p.x))
+    return F.forall(edges, lambda e: _turn(e.p, e.q, e.r) >= 0) & (F.size(F.filter(edges, lambda e: ~up(e.p, e.q) & up(e.q, e.r))) == 1)
+
+
+def outermost(rings: DataFrame, size: float) -> DataFrame:
+    """Counter-clockwise rings of integers (g, poly, ring) without those inside another of their group, as far as the WIDEST convex ones of a cell show it.
+
+    A ring is left out for one that comes before it, by the size of its box and by poly, so that never both of a pair go.
+    """
+    box = geo.ring_box("ring")
+    sides = {"_x0": box.minx, "_y0": box.miny, "_x1": box.maxx, "_y1": box.maxy}
+    rings = rings.withColumns(sides).withColumn("_wide", (F.col("_x1").cast("double") - F.col("_x0")) * (F.col("_y1").cast("double") - F.col("_y0")))
+    narrow = (F.col("_x1").cast("double") - F.col("_x0") < SIDE) & (F.col("_y1").cast("double") - F.col("_y0") < SIDE)  # no product of sides is too large
+    over = rings.where(F.when(narrow, _convex(F.col("ring"))).otherwise(False))
+    over = over.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_x0") / size), F.floor(F.col("_x1") / size))))
+    over = over.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_y0") / size), F.floor(F.col("_y1") / size))))
+    first = Window.partitionBy("g", "_cx", "_cy").orderBy(F.col("_wide").desc(), "poly")
+    over = over.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= WIDEST).drop("_n")
+    over = over.select(*[F.col(c).alias(f"o{c}") for c in over.columns])
+    same = (F.col("g") == F.col("og")) & (F.floor(F.col("_x0") / size) == F.col("o_cx")) & (F.floor(F.col("_y0") / size) == F.col("o_cy"))
+    before = (F.col("o_wide") > F.col("_wide")) | ((F.col("o_wide") == F.col("_wide")) & (F.col("opoly") < F.col("poly")))
+    boxed = (F.col("o_x0") <= F.col("_x0")) & (F.col("o_y0") <= F.col("_y0")) & (F.col("o_x1") >= F.col("_x1")) & (F.col("o_y1") >= F.col("_y1"))
+    edges = F.arrays_zip(F.col("oring").alias("p"), _ahead(F.col("oring")).alias("q"))
+    inside = F.forall(edges, lambda e: F.forall("ring", lambda r: _turn(e.p, e.q, r) >= 0))
+    return rings.join(over, same & F.when(before & boxed, inside).otherwise(False), "left_anti").select("g", "poly", "ring")
+
+
 def crossing_points(edges: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the pairs of edges i and j cross, and the grid points nearest to where they do, by exact arithmetic."""
     p, q = edges[i], edges[j]
@@ -237,13 +280,15 @@ def union_rings(polygons: DataFrame, size: float, by: str | None = None, ring_co
         rings = scratch.table(rings, "rings")
         # numbered where the written table is read, which gives the same numbers each time
         rings = scratch.table(rings.select("g", F.monotonically_increasing_id().alias("poly"), "ring"), "numbered")
-        after = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-        ends = F.arrays_zip(F.col("ring").alias("p"), after.alias("q"))
+        rings = scratch.table(outermost(rings, size / precision), "outermost")
+        ends = F.arrays_zip(F.col("ring").alias("p"), _ahead(F.col("ring")).alias("q"))
         edges = rings.select("g", "poly", F.posexplode(ends).alias("k", "e"))
         edges = edges.select("g", "poly", "k", F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2"))
         edges = scratch.table(edges, "edges")
         box = [F.least("x1", "x2") - 1, F.least("y1", "y2") - 1, F.greatest("x1", "x2") + 1, F.greatest("y1", "y2") + 1]
-        tree = CellTree(scratch, size / precision, ["g"], limit).grow(edges.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), box))))
+        # a cell of one step holds one grid point: to divide it parts nothing
+        depth = min(16, max(0, math.floor(math.log2(size / precision))))
+        tree = CellTree(scratch, size / precision, ["g"], limit, depth).grow(edges.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), box))))
         placed = scratch.table(tree.place(edges, *box), "placed")
         cell = ["g", *CELL]
         split = placed.groupBy(*cell).applyInPandas(_split_points(tree.size), "poly long, k int, px long, py long")

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamframe.functions import geo
-from loamframe.operators import overlay
+from loamframe.operators import overlay, spatial
 from loamframe.operators.celltree import CELL, CellTree
+from loamframe.plans import workflows
 from loamframe.storage import Scratch
 
 SHAPES = "id long, g string, ring array<struct<x:double,y:double>>"
@@ -134,3 +135,62 @@ def test_corners_that_are_not_known(spark):
     assert [sorted((p.x, p.y) for p in r.ring) for r in found] == [[(-1, -1), (1, -1), (1, 1)]]
     with pytest.raises(Exception, match="not finite"):
         overlay.union_rings(spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (float("nan"), 1.0)])], "id int, ring array<struct<x:double,y:double>>"), 4.0)
+
+
+def outermost(spark, shapes, size=8.0):
+    rows = [((g,), i, [tuple(p) for p in ring]) for i, (g, ring) in enumerate(shapes)]
+    rings = spark.createDataFrame(rows, "g struct<v:string>, poly long, ring array<struct<x:bigint,y:bigint>>")
+    return {r.poly for r in overlay.outermost(rings, size).collect()}
+
+
+def test_rings_inside_convex_ones_are_left_out(spark):
+    big = box(0, 0, 20, 20)
+    notch = [(30, 0), (50, 0), (50, 20), (45, 20), (45, 5), (35, 5), (35, 20), (30, 20)]
+    star = [(100, 0), (130, 90), (50, 35), (150, 35), (70, 90)]  # turns left only, but winds twice
+    far = box(0, 1000, 1 << 31, 1 << 31)  # products of its sides do not fit into 64 bits
+    stays = [big, box(15, 15, 6, 2), notch, box(36, 6, 8, 8), star, box(99, 52, 2, 2), [(60, 0), (80, 0), (80, 20)], box(61, 10, 3, 3), far, box(10, 1010, 5, 5)]
+    goes = [big[1:] + big[:1], box(0, 0, 5, 20), box(3, 4, 5, 6), [(0, 0), (10, 0), (20, 0), (20, 20), (0, 20)], box(76, 1, 4, 4), [(75, 1), (79, 1), (79, 9), (78, 2)], [(2, 0), (18, 0), (18, 18), (10, 3)]]
+    shapes = [("a", r) for r in stays + goes] + [("b", box(3, 4, 5, 6)), (None, box(3, 4, 5, 6)), (None, box(4, 5, 1, 1))]
+    kept = outermost(spark, shapes)
+    assert kept == {*range(len(stays)), len(stays + goes), len(stays + goes) + 1}
+    # more convex rings in a cell than are looked at: fewer go, but none that is inside no other
+    stairs = [("a", box(0, 0, k, 200 - k)) for k in range(1, 200)] + [("a", box(0, 0, 1, 1))]
+    assert outermost(spark, stairs, 16.0) == set(range(199))
+
+
+def test_left_out_rings_lie_in_those_that_stay(spark):
+    draw = random.Random(2)
+    shapes = []
+    for k in range(400):
+        cx, cy, r, n = draw.randrange(60), draw.randrange(60), draw.randrange(2, 14), draw.randrange(3, 9)
+        ring = [(round(cx + f * math.cos(t)), round(cy + f * math.sin(t))) for t in sorted(draw.uniform(0, 2 * math.pi) for _ in range(n)) for f in [r * draw.choice([1, 1, 0.5])]]
+        if shoelace(ring) > 0 and len(set(ring)) == n:
+            shapes.append(("a", ring))
+    kept = outermost(spark, shapes)
+    assert 50 < len(kept) < len(shapes) - 30
+    for k, (_, ring) in enumerate(shapes):
+        if k not in kept:
+            edges = [list(zip(r, r[1:] + r[:1])) for i, (_, r) in enumerate(shapes) if i in kept]
+            assert any(all((q[0] - p[0]) * (y - p[1]) >= (q[1] - p[1]) * (x - p[0]) for p, q in e for x, y in ring) for e in edges)
+
+
+def test_cells_of_a_step_are_not_divided(spark, monkeypatch):
+    """More edges than the limit meet in one grid point; no cell, however small, has fewer."""
+    made = []
+    monkeypatch.setattr(overlay, "CellTree", lambda *a: made.append(CellTree(*a)) or made[-1])
+    shapes = [("a", box(0, 0, k, 9 - k)) for k in range(1, 9)]
+    found = overlay.union_rings(frame(spark, shapes), 16.0, precision=1.0, limit=2).collect()
+    assert [(r.area, len(r.ring)) for r in found] == [(36.0, 18)] and len(made[0].full) <= made[0].depth == 4
+    overlay.union_rings(frame(spark, shapes), 0.5, precision=1.0)
+    assert made[1].depth == 0 and made[1].full == []
+
+
+def test_equal_parcels_are_looked_up_once(spark, monkeypatch):
+    """One inner point per different ring, dealt out over tasks, and the attributes of the smallest id."""
+    seen = []
+    join = spatial.spatial_join
+    monkeypatch.setattr(spatial, "spatial_join", lambda points, *a, **k: seen.append(points.count()) or join(points, *a, **k))
+    shapes = [(9 - i % 10, f"n{9 - i % 10}", box(10 * (i % 2), 0, 4, 4) if i < 10 else None) for i in range(11)]
+    parcels = spark.createDataFrame([(i + 10 * (r is None), n, [(float(x), float(y)) for x, y in r] if r else None) for i, n, r in shapes], "id long, name string, ring array<struct<x:double,y:double>>")
+    found = workflows.dissolved_parcels(parcels, "id", 8.0, precision=1.0).collect()
+    assert sorted((r.id, r.name, r.area) for r in found) == [(0, "n0", 16.0), (1, "n1", 16.0)] and seen[0] <= 3
