@@ -151,6 +151,49 @@ def test_crowds_lose_no_link(spark, percent):
     assert linked <= near and linked
 
 
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_rare_values_bound_what_sets_share(spark, percent):
+    rng = np.random.default_rng(percent)
+    passage = [f"p{k}" for k in range(300)]
+    docs = [" ".join(passage + [f"r{x}" for x in rng.integers(0, 10**6, int(rng.integers(40, 80)))]) for _ in range(30)]
+    for g in range(6):
+        base = rng.choice([f"w{k}" for k in range(300)], int(rng.integers(3, 160)))
+        docs += [edited(rng, base[: rng.integers(len(base) * 3 // 4, len(base) + 1)], int(rng.integers(0, 7))) for _ in range(12)]
+    s, sets = neardup.Similarity(3, percent), [shingles(t, 3) for t in docs]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
+    with neardup.Scratch(spark) as scratch:
+        full = neardup.full_sets(df, df.select("id"), 3, scratch)
+        near = neardup.crowded(df.select(F.col("id").alias("rep"), F.col("id").alias("component")), full, s, scratch)
+        rows = near.join(full, F.col("id") == F.col("rep")).select("rep", "n", "rare")
+        pairs = rows.toDF("a", "na", "ra").join(rows.toDF("b", "nb", "rb"), F.expr("a < b"))
+        shared, na, nb = F.size(F.array_intersect("ra", "rb")), F.col("na"), F.col("nb")
+        found = pairs.select("a", "b", (shared > 0).alias("meet"), (s.sizes_fit(na, nb) & s.linked(s.at_most(shared, na, nb), na, nb)).alias("may")).collect()
+    linked = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    may = {(r.a, r.b) for r in found if r.may}
+    meet = {(r.a, r.b) for r in found if r.meet}
+    assert linked and linked <= may <= meet
+    assert percent == 100 or len(may) < len(meet)
+
+
+def test_crowds_with_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHORT_LIST", 2)  # so that groups go the way of long lists
+    rng = np.random.default_rng(13)
+    passage = [f"p{k}" for k in range(120)]
+    bases = [passage + [f"r{x}" for x in rng.integers(0, 10**6, 20)] for _ in range(10)]
+    texts = [edited(rng, base, int(rng.integers(0, 9))) for base in bases for _ in range(4)]
+    rows = [(k + 100, t) for k, t in enumerate(texts)]
+    odd = [rows[0], rows[0], (100, None), (139, "a text of its own"), (7, ""), (8, None), (None, texts[0]), (None, None), (50, texts[5]), (50, texts[39])]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    found = neardup.near_duplicates(df, neardup.Similarity(3, 85)).collect()
+    expected = brute_components([(k, t) for k, (_, t) in enumerate(rows)], 3, 85)
+    groups = {100 + k: 100 + c for k, c in expected.items()}
+    joined = {groups[105], groups[139]}  # document 50 has the texts of both
+    assert len(found) == len(rows) + len(odd) and len(set(groups.values())) > 5
+    for r in found:
+        own = {None: None, 7: 7, 8: 8, 50: 50}.get(r.doc_id, 50 if groups.get(r.doc_id) in joined else groups.get(r.doc_id))
+        assert (r.component_id, r.kept) == (own, own is None or own == r.doc_id)
+
+
 def test_least_overlap_is_safe():
     rng = np.random.default_rng(1)
     s = neardup.Similarity(3, 85)
