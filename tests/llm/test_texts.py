@@ -151,6 +151,26 @@ def test_crowds_lose_no_link(spark, percent):
     assert linked <= near and linked
 
 
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_each_text_is_sorted_by_itself(width, monkeypatch):
+    rng = np.random.default_rng(width)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, size)) for size in rng.permutation(np.repeat(np.arange(12), 4))]
+    texts += [None, "", " \n", "one", "a a a a a a a a a", " ".join(f"w{x}" for x in range(5000)), "ONE"]
+
+    def whole_sort(*_):
+        raise AssertionError("all texts of a piece were sorted together")
+
+    monkeypatch.setattr(np, "lexsort", whole_sort)
+    ((_, _, buf, offs),) = kernels.pieces(pa.array(texts))
+    values, counts = neardup.sets_of(buf, offs, width)
+    ends = np.cumsum(counts)
+    assert counts.tolist() == [len(shingles(t, width)) for t in texts] and ends[-1] == len(values)
+    for t, i, j in zip(texts, ends - counts, ends):
+        ((_, _, own, at),) = kernels.pieces(pa.array([t], pa.string()))
+        alone, _ = neardup.sets_of(own, at, width)
+        assert (values[i:j] == alone).all() and (alone[1:] > alone[:-1]).all()
+
+
 @pytest.mark.parametrize("percent", [80, 85, 100])
 def test_rare_values_bound_what_sets_share(spark, percent):
     rng = np.random.default_rng(percent)
